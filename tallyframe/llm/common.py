@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there; the table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def held_out(n: int, r: int):
     """crc32 of doc_id as text, modulo n, is r; a null doc_id is hashed as the empty text."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n) == r
