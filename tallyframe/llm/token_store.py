@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ BLOCK = 65_536
 #: A segment is closed when it has so many ids.
 SEGMENT = 262_144
 #: Words whose ids a worker remembers; when it is full, those of the present batch stay.
-CACHE = 500_000
+CACHE = 800_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -150,6 +149,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.apart, self.words = apart, {}
+        # Many words go to the library as one text, between them a special token that is known as such.
+        self.joined = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special]
+        self.mark = max(special, default=None)
+        self.strings = [s.encode() for _, s in special]
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
         if not self.apart:
@@ -159,16 +163,28 @@ class Encoder:
         new = list({w for s in split for w in s if w not in have})
         if len(have) + len(new) > CACHE:
             self.words = have = {w: have[w] for s in split for w in s if w in have}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            lens = [e.ids for e in coded]
-            flat = np.fromiter(chain.from_iterable(lens), "<u4").tobytes()
-            ends = (4 * np.cumsum([len(x) for x in lens])).tolist()
-            have.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        self.learn(new)
         get = have.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def learn(self, new: list[bytes]) -> None:
+        """Remember the ids of words."""
+        odd = new if self.mark is None else [w for w in new if any(x in w for x in self.strings)]
+        for e, w in zip(self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), odd):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        if self.mark is None:
+            return
+        known = set(odd)
+        plain = [w for w in new if w not in known] if known else new
+        mark, between = self.mark[0], self.mark[1].encode()
+        parts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        coded = self.joined.encode_batch_fast([between.join(p).decode() for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, coded):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark)
+            flat = ids.tobytes()
+            self.words.update(zip(part, [flat[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]))
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -216,7 +232,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, apart: bool = Fa
 def read(spark: SparkSession, at: str) -> DataFrame:
     """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids (binary, 32-bit)."""
     store = spark.read.schema(STORE).parquet(at)
-    # One row a shard: as many as the writer had partitions.
+    # One row of a few bytes for each shard, as many as the writer had partitions: small enough to send.
     sizes = store.select("shard", F.aggregate("doc_lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = sizes.select("shard", (F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
 
@@ -231,7 +247,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
 
-    return store.join(before, "shard").select("start", "doc_ids", "doc_lens", "payload", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return store.join(F.broadcast(before), "shard").select("start", "doc_ids", "doc_lens", "payload", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
