@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, decontaminate, html_text, lang_id, quality, token_store, toxicity, url_filter
+from tallyframe.llm import bpe, decontaminate, html_text, lang_id, near_dedup, quality, substring_dedup, token_store, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         lang_id.op1_language_id, decontaminate.op2_decontaminate, toxicity.op3_toxicity, html_text.op4_main_text, bpe.op5_byte_bpe,
-        quality.op6_quality_rules, token_store.op8_token_store, url_filter.op10_url_filter,
+        quality.op6_quality_rules, substring_dedup.op7_substring_dedup, token_store.op8_token_store, near_dedup.op9_near_dedup, url_filter.op10_url_filter,
     )
 }
 ORACLES = {"op10_url_filter": url_filter.ORACLE_SQL}
