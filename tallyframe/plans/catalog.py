@@ -1,5 +1,10 @@
 """Registry of queries over the star-schema tables and their SQL."""
 
-FLAGSHIP = "claim_resolution"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tallyframe.plans import interval_queries
+
+PARTS = (interval_queries,)
+FLAGSHIP = "extent_lead"
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
