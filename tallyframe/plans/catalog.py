@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import claim_queries, interval_queries
+from tallyframe.plans import claim_queries, interval_queries, matching_queries
 
-PARTS = (claim_queries, interval_queries)
+PARTS = (claim_queries, interval_queries, matching_queries)
 FLAGSHIP = "claim_resolution"
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
