@@ -1,0 +1,378 @@
+"""Training-data operators against brute force, libraries and round trips, and their edge cases."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.llm import bpe, common, components, decontaminate, html_text, lang_id, near_dedup, quality, queries, substring_dedup, token_store, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = ["", None, "x", " ", "\n\n", "a b c d", "the the the the the the the the", "é" * 70, "漢字 かな", "w " * 3000, "tab\tand\r\nline", "Ünï ́cödé", "<|endoftext|>", "\0 \0"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A folder of tables whose documents are odd, some rows twice, with further columns."""
+    at = str(tmp_path_factory.mktemp("odd"))
+    docs = [(i, t, "en" if i % 2 else None, "s", 0) for i, t in enumerate(ODD)] + [(2, "x", "en", "s", 0), (None, "null id", None, None, None)]
+    spark.createDataFrame(docs, DOCS).withColumn("score", F.lit("clash")).withColumn("n_words", F.lit(1)).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (6, 1, 1), (6, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(1, None, None), (2, "no scheme", ""), (3, "http://", "<p>"), (3, "http://", "<p>")], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("empty"))
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_odd_and_empty_tables(spark, odd, empty, name):
+    rows = queries.QUERIES[name](spark, odd).collect()
+    if name != "op2_decontaminate":
+        assert len(rows) == (4 if name in ("op4_main_text", "op10_url_filter") else len(ODD) + 2)
+    assert queries.QUERIES[name](spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    told = con.execute(queries.ORACLES[name])
+    names = [x[0] for x in told.description]
+    assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect())
+
+
+def test_language_held_out(spark):
+    rows = lang_id.op1_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in rows) > 0.97 * len(rows)
+
+
+def test_language_spans_and_scripts():
+    counts = []
+    for lang, words in (("aa", ["hello", "world", "there"]), ("bb", ["bonjour", "monde", "ici"]), ("cc", ["привет", "мир"])):
+        total = np.zeros(lang_id.WIDTH + len(lang_id.NAMES))
+        bucket, _, points = lang_id.grams(words)
+        total += np.bincount(bucket, minlength=len(total))
+        total += np.bincount(lang_id.WIDTH + lang_id.script_table()[points[points != 10].astype(np.int64)], minlength=len(total))
+        counts += [(lang, int(i), float(total[i])) for i in np.flatnonzero(total)]
+    tagger = lang_id.Tagger(lang_id.Model(counts))
+    text = "hello world there hello, bonjour monde ici bonjour"
+    assert tagger.spans([text, "", "мир"]) == [[("aa", 0, 4), ("bb", 4, 8)], [], [("cc", 0, 1)]]
+    assert tagger.predict(["12 34", "мир мир hello"]) [0] == ["und", "cc"]
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(4)
+    import itertools
+
+    for _ in range(40):
+        table = rng.normal(0, 5, (6, 3)).astype(np.float32)
+        docs = [rng.integers(0, 6, n) for n in rng.integers(0, 6, 5)]
+        for words, got in zip(docs, lang_id.label(docs, table, 4.0)):
+            cost = lambda p: sum(table[w, x] for w, x in zip(words, p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            best = max(map(cost, itertools.product(range(3), repeat=len(words))))
+            assert cost(got.tolist()) == pytest.approx(best, abs=1e-3)
+
+
+def brute_tiles(a, b, least):
+    ma, mb, out = [False] * len(a), [x < 0 for x in b], 0
+    while True:
+        found = []
+        for p in range(len(a)):
+            for t in range(len(b)):
+                k = 0
+                while p + k < len(a) and t + k < len(b) and a[p + k] == b[t + k] and not ma[p + k] and not mb[t + k]:
+                    k += 1
+                found.append((-k, p, t))
+        best = -min(found, default=(0,))[0]
+        if best < least:
+            return out
+        for k, p, t in sorted(found):
+            if k == -best and not any(ma[p : p + best]) and not any(mb[t : t + best]):
+                ma[p : p + best] = mb[t : t + best] = [True] * best
+                out += best
+
+
+def test_tiles_against_brute_force():
+    rnd = random.Random(3)
+    for _ in range(150):
+        a = [rnd.randint(1, 6) for _ in range(rnd.randint(5, 40))]
+        b = []
+        for _ in range(6):
+            i = rnd.randrange(len(a))
+            b += a[i : i + rnd.randint(3, 15)] if rnd.random() < 0.6 else [rnd.randint(1, 6) for _ in range(4)]
+        assert sum(t[2] for t in decontaminate.tile(np.array(a), np.array(b), 5)) == brute_tiles(a, b, 5)
+
+
+def test_decontamination_finds_reordered_passages(spark):
+    item = " ".join(f"tok{i}" for i in range(40))
+    w = item.split()
+    docs = [(1, "pad " * 50 + " ".join(w[20:]) + " between it " + " ".join(w[:20])), (2, " ".join(w[:25]).upper() + "!"), (3, " ".join(w[:15])), (4, " ".join(w[::-1])), (5, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, "a b")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, round(r.coverage, 3), r.n_tiles) for r in got.collect()} == {(1, 7, 1.0, 2), (2, 7, 0.625, 1)}
+
+
+def test_decontamination_against_brute_force(spark, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): round(r.coverage, 6) for r in decontaminate.op2_decontaminate(spark, SF).collect()}
+    tokens = lambda t: re.findall(r"\w+", t.lower())
+    seeds = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = {}
+    for d, t in texts.items():
+        w = tokens(t)
+        s = seeds(w)
+        for i, x in items.items():
+            y = tokens(x)
+            if len(y) >= 5 and s & seeds(y):
+                ids = collections.defaultdict(lambda: len(ids) + 1)  # noqa: B023
+                share = brute_tiles([ids[k] for k in y], [ids[k] for k in w], 5) / len(y)
+                if share >= 0.5:
+                    want[d, i] = round(share, 6)
+    assert got == want and want
+
+
+def test_restored_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([("idiot stupid moron clown " * 200,)], "text string")
+    model = toxicity.character_model(docs.select("text").unionAll(extra))
+    for said, meant in (("1d10t", "idiot"), ("st*pid", "stupid"), ("stuuuupid", "stupid"), ("m-o-r-o-n", "moron"), ("cl0wn!!", "clown"), ("the!!", "the")):
+        assert meant in toxicity.words_of(said, model), said
+    assert toxicity.unspaced("so s t u p i d it is", model) == ["stupid"]
+
+
+def test_toxicity_held_out(spark):
+    rows = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    found = [(r.predicted, truth[r.doc_id]) for r in rows if r.doc_id in truth]
+    right = sum(p and t for p, t in found)
+    assert right > 0.9 * sum(p for p, _ in found) and right > 0.7 * sum(t for _, t in found)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("a < b > c <3", "a < b > c <3"), ("<div>" * 3000 + "deep", "deep"), ("<!-- open", ""), ("<p>x &amp; &lt;b&gt; &#x41;&nbsp;z</p>", "x & <b> A z"),
+        ("<body><nav>menu</nav><article><h1>T</h1><p>One, <b>two</b>three<br>four<aside>side</aside><form>f<input></form></article><div class='comments'><p>hey, you, there, all</div><footer>c</footer>", "T One, twothree four"),
+        ("<div id=main><p>Long text, with commas, and more of it here.<script>var a='</p>'</script><p>Next one, too.</div><div class='sidebar'><p>Links, links, links, links, links.</div>", "Long text, with commas, and more of it here. Next one, too."),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_main_text_of_articles(spark):
+    import html
+
+    for r in html_text.op4_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub("</?b>", "", inner))).split()) and r.n_chars == len(r.text)
+
+
+def test_bpe_against_library(texts):
+    import tiktoken
+
+    ranks = bpe.Ranks(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}, special_tokens={})
+    rnd = random.Random(1)
+    letters = list("ab cdé \n\t  ß漢字  \x1c\x85​'sd1٣½😀́!?.$'re'll\0")
+    cases = [t for t in ODD if t] + list(texts.values()) + ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(1500)] + ["x" * 5000, "abcé" * 900, " " * 300, "\n" * 90]
+    for t, ids in zip(cases, ranks.encode(cases)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+        assert ranks.decode(ids) == t.encode()
+
+
+def test_bpe_digests(spark, texts):
+    for r in bpe.op5_byte_bpe(spark, SF).collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_quality_counts(spark, texts):
+    for r in quality.op6_quality_rules(spark, SF).collect():
+        t = texts[r.doc_id]
+        w = WORD.findall(t)
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        twice = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice))
+        assert r.base_failed == (len(w) < 10 or 100 * len(twice) > 20 * len(w))
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_distance(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 3.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "p array<double>, q array<double>")
+    assert [round(r[0], 9) for r in df.select(quality.distance(F.col("p"), F.col("q"))).collect()] == [1.0, 0.0, 0.0]
+
+
+def brute_repeats(docs, window):
+    count, words = collections.Counter(), [(t or "").encode().split() for t in docs]
+    for w in words:
+        count.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append((len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return out
+
+
+def test_substring_dedup(spark, texts):
+    want = dict(zip(texts, brute_repeats(texts.values(), 35)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op7_substring_dedup(spark, SF).collect()}
+    assert got == want
+
+
+def test_substring_dedup_of_few_words(spark):
+    rnd = random.Random(8)
+    base = [str(rnd.randint(0, 30)) for _ in range(400)]
+    docs = ["", None, "w " * 100, " ".join(base), " ".join(base)]
+    for _ in range(60):
+        a, b = rnd.randrange(350), rnd.randrange(10, 90)
+        docs.append(" ".join([*rnd.choices("xyz", k=rnd.randrange(30)), *base[a : a + b], *rnd.choices("xyz", k=rnd.randrange(60))]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df).collect()}
+    assert [got[i] for i in range(len(docs))] == brute_repeats(docs, 35)
+
+
+def test_simple8b():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 59, 60, 61, 239, 240, 241, 1000, 70_000):
+        for top in (1, 2, 16, 256, 50_000, 2**32 - 1):
+            x = rng.integers(0, top, n).astype("<u4")
+            x[rng.random(n) < 0.3] = 0
+            assert (token_store.load(token_store.dump(x)) == x).all()
+    x = np.array([2**63, 1, 2**61, 0, 2**33], np.uint64)
+    assert (token_store.unpack(token_store.pack(x)) == x).all()
+    with pytest.raises(ValueError):
+        token_store.load(b"S8B0")
+
+
+def test_token_store(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    start = 0
+    got = {r.doc_id: r for r in token_store.op8_token_store(spark, SF).collect()}
+    for d in sorted(texts):
+        ids = [*t.encode(texts[d], add_special_tokens=False).ids, 1]
+        r = got[d]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    odd = [x.encode() for x in ODD if x] + ["ΑΣ ΣΑΣ İ".encode(), "a b c d".encode()]
+    for x, ids in zip(odd, token_store.Encoder(P.path("word_bpe_49k.json"), True).encode(odd)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x.decode(), add_special_tokens=False).ids
+
+
+def brute_groups(docs):
+    sets = {}
+    for d, t in docs.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {d: d for d in docs}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(docs)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y) and top(a) != top(b):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    return {d: (len(sets[d]), top(d), top(d) == d) for d in docs}
+
+
+def test_near_dedup(spark, texts):
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.op9_near_dedup(spark, SF).collect()} == brute_groups(texts)
+
+
+def test_near_dedup_of_large_groups(spark):
+    rnd = random.Random(2)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(120)]
+    docs = {0: " ".join(base), 1: "", 2: None, 3: "a b", 4: "A B", 5: "a b c"}
+    for i in range(10, 130):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            w[rnd.randrange(len(w))] = f"new{i}"
+        docs[i] = " ".join(w)
+    for i in range(200, 260):
+        docs[i] = " ".join(base[:50] + [f"own{i}x{j}" for j in range(60)])  # share a passage only
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(df).collect()}
+    assert got == brute_groups(docs)
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20)] + [(100 + i, 101 + i) for i in range(30)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{x: 1 for x in (1, 2, 3)}, **{x: 5 for x in (5, 6, 7, 8, 9)}, **{x: 100 for x in range(100, 131)}}
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(1, "http://WWW.Example.com/en/x"), (2, "http://a.b.example.com/en/"), (3, "https://x.net/es/?q"), (4, "http://net"), (5, None), (6, "net/es/"), (7, "ftp://y.org#a/es/")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {
+        1: ("www.example.com", "/en/x", "www.example.com/en/", "allow"), 2: ("a.b.example.com", "/en/", "example.com/en/", "block"), 3: ("x.net", "/es/", "net/es/", "block"),
+        4: ("net", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("y.org", "", None, "allow"),
+    }
+    assert {r.verdict for r in url_filter.judge(pages, rules.where("false")).collect()} == {"allow"}
+
+
+def test_word_hashes_are_by_content():
+    docs = [b"a b  c", b"", b" b", b"c\x0ba"]
+    h, bounds = common.word_hashes(docs)
+    assert bounds.tolist() == [0, 3, 3, 4, 6]
+    assert h[1] == h[3] and h[2] == h[4] and h[0] == h[5] and len(set(h.tolist())) == 3
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text for r in docs.collect()}
+        out = stage(spark, docs, SF)
+        if i < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        rows = {r.doc_id: r for r in docs.collect()}
+        if name == "near_dedup":
+            assert set(rows) == {d for d, x in brute_groups(before).items() if x[2]}
+        elif name == "substring_dedup":
+            assert {d: hashlib.sha256(b" ".join(r.text.encode().split())).hexdigest() for d, r in rows.items()} == {d: x[2] for d, x in zip(before, brute_repeats(before.values(), 35))}
+        elif name == "byte_bpe":
+            assert {d: r.decoded_sha256 for d, r in rows.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in before.items()}
+        else:
+            assert set(rows) <= set(before)
+    assert rows
