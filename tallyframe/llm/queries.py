@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, decontaminate, html_text, lang_id, near_dedup, quality, substring_dedup, token_store, toxicity, url_filter
+from tallyframe.llm import bpe, decontaminate, html_text, lang_id, near_dedup, oracles, quality, substring_dedup, token_store, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -11,4 +11,4 @@ QUERIES = {
         quality.op6_quality_rules, substring_dedup.op7_substring_dedup, token_store.op8_token_store, near_dedup.op9_near_dedup, url_filter.op10_url_filter,
     )
 }
-ORACLES = {"op10_url_filter": url_filter.ORACLE_SQL}
+ORACLES = oracles.ORACLES
