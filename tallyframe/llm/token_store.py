@@ -48,25 +48,26 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64)
-    need = np.zeros(n, np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):
-        need[ids >= np.uint64(1 << b)] = b + 1
-    need[(ids > 0) & (need == 0)] = 1
+    small = ids < np.uint64(1 << 31)
+    need = np.where(small, np.frexp(ids.astype(np.float64))[1], 64).astype(np.uint8)  # bits of each id
     best = np.full(n, ESCAPE, np.uint8)
-    # most[i] is the widest of the next c ids; a window of c joins two windows of a power of two.
-    doubled = {1: need}
-    size = 1
-    while size * 2 <= min(n, 240):
-        half = doubled[size]
-        doubled[size * 2] = np.maximum(half[:-size], half[size:])
-        size *= 2
+    doubled, size = {1: need}, 1  # by c, the widest of the next c ids
+    fits = []
     for s in range(14, -1, -1):
         c = int(COUNTS[s])
         if c > n:
-            continue
+            break
         p = 1 << (c.bit_length() - 1)
+        while size < p:  # a window of c joins two windows of a power of two
+            half = doubled[size]
+            doubled[size * 2] = np.maximum(half[:-size], half[size:])
+            size *= 2
+        if doubled[p].min() > BITS[s]:
+            break  # longer windows are no narrower, and have fewer bits for each id
         most = doubled[p] if p == c else np.maximum(doubled[p][: n - c + 1], doubled[p][c - p : c - p + n - c + 1])
-        best[: n - c + 1][most <= BITS[s]] = s
+        fits.append((s, np.flatnonzero(most <= BITS[s])))
+    for s, places in fits:
+        best[places] = s
     step = COUNTS[best].tolist()
     at, starts = 0, []
     put = starts.append
@@ -202,7 +203,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, apart: bool = Fa
     """Encode docs (doc_id, text) in ascending doc_id order, end_id after each document, into a store at `to`."""
     spark = docs.sparkSession
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         from tallyframe.llm.token_store import encoder  # the worker's own copy, which remembers
@@ -229,8 +230,12 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, apart: bool = Fa
     rows.mapInArrow(run, STORE).write.option("compression", "zstd").parquet(to)
 
 
-def read(spark: SparkSession, at: str) -> DataFrame:
-    """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids (binary, 32-bit)."""
+def read(spark: SparkSession, at: str, digest: bool = False) -> DataFrame:
+    """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids (binary, 32-bit).
+
+    With digest=True ids_crc32, the CRC of the ids as 32-bit words, stands for the ids.
+    """
+    last = "ids_crc32" if digest else "ids"
     store = spark.read.schema(STORE).parquet(at)
     # One row of a few bytes for each shard, as many as the writer had partitions: small enough to send.
     sizes = store.select("shard", F.aggregate("doc_lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
@@ -243,11 +248,11 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 ids = load(payload).astype("<u4")
                 ends = np.cumsum(lens)
                 for d, n, e in zip(docs, lens, ends.tolist()):
-                    for to, x in zip(out, (d, base + start + e - n, n, ids[e - n : e].tobytes())):
+                    for to, x in zip(out, (d, base + start + e - n, n, zlib.crc32(ids[e - n : e]) if digest else ids[e - n : e].tobytes())):
                         to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()))], ["doc_id", "start", "n_tokens", last])
 
-    return store.join(F.broadcast(before), "shard").select("start", "doc_ids", "doc_lens", "payload", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return store.join(F.broadcast(before), "shard").select("start", "doc_ids", "doc_lens", "payload", "before").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,4 +260,4 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     to = f"{common.shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     write(common.table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), to, end_id=1, apart=True)
-    return read(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, to, digest=True)
