@@ -26,7 +26,7 @@ LANES = 64
 #: Rows merged in step at a time, so that their arrays stay in the processor's cache.
 ROWS = 2048
 #: Words, and pre-tokens, whose ids a worker remembers; when it is full, those of the present batch stay.
-CACHE = 700_000
+CACHE = 350_000
 #: In the arrays: no pair. Ranks are below 2**24, so that a rank and a position below LANES fit 31 bits.
 NONE = np.int32(2**31 - 1)
 
@@ -258,15 +258,6 @@ class Ranks:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[tuple[str, str], Ranks] = {}
-
-
-def load(path: str, pattern: str) -> Ranks:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Ranks(path, pattern)
-    return _loaded[path, pattern]
-
-
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False, text: str = "text") -> DataFrame:
     """docs' columns, and n_tokens, ids_sha256 and decoded_sha256; with ids=True also the ids (binary, 32-bit words).
 
@@ -281,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False, text: st
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.BinaryType())] if ids else [])])
 
     def run(batches):
-        ranks = load(path, pattern)
+        ranks = common.tool(("bpe", path, pattern), lambda: Ranks(path, pattern))
         for b in common.slices(batches, text):
             coded = ranks.encode(common.texts(b, text))
             new = [

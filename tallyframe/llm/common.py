@@ -50,6 +50,22 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+_tool: dict = {}
+
+
+def tool(key, make):
+    """What a Python worker keeps from task to task under the key; a worker keeps one such thing, as they take memory."""
+    if key not in _tool:
+        _tool.clear()
+        _tool[key] = make()
+    return _tool[key]
+
+
+def no_tool() -> None:
+    """For tasks that need no such thing, and the memory for themselves."""
+    _tool.clear()
+
+
 def held_out(n: int, r: int):
     """crc32 of doc_id as text, modulo n, is r; a null doc_id is hashed as the empty text."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n) == r

@@ -174,6 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         held = spark.sparkContext.broadcast(Block([tuple(r) for r in rows], threshold, seed))
 
         def run(batches, held=held):
+            common.no_tool()
             block = held.value
             for b in common.slices(batches):
                 ids = b.column(0).to_pylist()

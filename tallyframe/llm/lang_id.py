@@ -255,22 +255,14 @@ class Tagger:
         return langs, scores
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) with lang_pred and score; learns from train (lang, text)."""
     counts = [tuple(r) for r in count(train).toLocalIterator()]  # at most WIDTH and the scripts for each language
     held = docs.sparkSession.sparkContext.broadcast(Model(counts))
-    key = str(held._jbroadcast.id()) if held._jbroadcast is not None else str(id(held))
+    key = f"languages {held._jbroadcast.id()}"
 
     def run(batches):
-        from tallyframe.llm.lang_id import _taggers
-
-        if key not in _taggers:
-            _taggers.clear()
-            _taggers[key] = Tagger(held.value)
-        tagger = _taggers[key]
+        tagger = common.tool(key, lambda: Tagger(held.value))
         for b in common.slices(batches, most=SLICE):
             langs, scores = tagger.predict(common.texts(b)) if tagger.model.langs else (["und"] * b.num_rows, [0.0] * b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

@@ -13,6 +13,7 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -37,7 +38,7 @@ THRESHOLD = 0.7
 #: Hashed tables of the character model: trigrams and their contexts.
 TRI_BITS, BI_BITS = 20, 16
 #: Words held while counting; tokens a worker remembers.
-HELD, CACHE = 400_000, 900_000
+HELD, CACHE = 200_000, 400_000
 #: Tokens longer than this are no disguised words and are only cut at what is no letter.
 LONGEST = 40
 #: What a character may stand for.
@@ -237,7 +238,7 @@ def of_text(text: str, model: CharModel, memo: dict[str, list[str]]) -> set[str]
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of features by Newton's method, with an L2 penalty; n is at most FEATURES."""
-    x = np.zeros((len(rows), n + 1), np.float32)
+    x = np.zeros((len(rows), n + 1), np.float32)  # factors in the same precision: no copy of it is made in another
     x[:, n] = 1
     for i, r in enumerate(rows):
         x[i, r] = 1
@@ -246,9 +247,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray,
     w = np.zeros(n + 1)
     w[n] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(np.float64), -30, 30)))
         r = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * r[:, None].astype(np.float32)).T @ x + np.diag(penalty), x.T @ (labels - p) - penalty * w)
+        step = np.linalg.solve((x * r[:, None].astype(np.float32)).T @ x + np.diag(penalty), x.T @ (labels - p).astype(np.float32) - penalty * w)
         w += np.clip(step, -2, 2)
     return w[:n], float(w[n])
 
@@ -327,9 +328,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def character_model(docs: DataFrame) -> CharModel:
     counts = count_characters(docs).toPandas()  # at most 2**TRI_BITS + 2**BI_BITS rows
     return CharModel(counts["bucket"].to_numpy(np.int64), counts["n"].to_numpy())
@@ -342,17 +340,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = character_model(docs)
     weights, base = train(docs, labels, model)
     held = docs.sparkSession.sparkContext.broadcast(Scorer(model, weights, base))
-    key = str(held._jbroadcast.id())
+    key = f"toxicity {held._jbroadcast.id()}"
     kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        from tallyframe.llm.toxicity import _scorers
-
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = held.value
-        tool = _scorers[key]
+        tool = common.tool(key, lambda: copy.copy(held.value))
+        tool.memo = {} if tool.memo is held.value.memo else tool.memo  # the broadcast's own stays empty
         for b in common.slices(batches):
             out = pa.array([tool.score(t) for t in common.texts(b)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, out], schema=pa.schema([*b.schema, pa.field("score", pa.float64())]))
