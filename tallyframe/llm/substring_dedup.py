@@ -33,7 +33,9 @@ from tallyframe.llm import common
 WINDOW, ANCHOR = 35, 8
 #: Bits of the maps, as a power of two: 16 MB each.
 MAP_BITS = 27
-SLICE = 4 << 20
+#: Words of a map that are gathered as one byte string.
+PIECE = 1 << 13
+SLICE = 2 << 20
 KEY = ["doc_id", "text_key"]
 
 
@@ -97,9 +99,19 @@ def bit_map(df: DataFrame, value) -> np.ndarray:
                 s = np.unique(slot(value(b)))
                 yield pa.RecordBatch.from_arrays([pa.array(s >> 6), pa.array(s & 63)], ["word", "bit"])
 
-    words = df.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
+    words = df.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        piece = np.zeros(PIECE, np.int64)
+        word = t.column("word").to_numpy()
+        piece[word % PIECE] = t.column("bits").to_numpy()
+        return pa.table({"piece": pa.array([int(word[0]) // PIECE], pa.int64()), "data": pa.array([piece.tobytes()], pa.binary())})
+
+    # Pieces of the map are put together on executors: the driver gets a few hundred byte strings, not millions of rows.
+    pieces = words.withColumn("piece", F.floor(F.col("word") / PIECE)).groupBy("piece").applyInArrow(pack, "piece long, data binary")
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for r in pieces.toLocalIterator():
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.data, np.int64)
     return out
 
 
@@ -121,6 +133,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     spark = docs.sparkSession
 
     def anchors(batches):
+        common.no_tool()
         for b in common.slices(batches, most=SLICE):
             _, _, _, h, *_ = factors(common.blobs(b), window, anchor)
             yield pa.RecordBatch.from_arrays([signed(h)], ["anchor"])
@@ -129,6 +142,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     index = spark.sparkContext.broadcast(bit_map(met.select("anchor"), lambda b: numbers(b, 0)))
 
     def parse(batches):
+        common.no_tool()
         for b in common.slices(batches, most=SLICE):
             doc, lo, count, h, block, *_ = factors(common.blobs(b), window, anchor)
             keep = marked(index.value, h)
@@ -140,7 +154,8 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     parsed = common.stash(rows.mapInArrow(parse, "doc_id long, text_key long, lo int, n_windows int, anchor long, block long"))
     blocks = parsed.groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "lo")).alias("one"))
     blocks = common.stash(blocks)
-    kinds = blocks.groupBy("anchor").agg(F.sum("copies").alias("all_copies"), F.min("copies").alias("fewest")).where(F.col("all_copies") > 1)
+    # Written before the join, so that both its sides are plain tables and a hot anchor's blocks can be split.
+    kinds = common.stash(blocks.groupBy("anchor").agg(F.sum("copies").alias("all_copies"), F.min("copies").alias("fewest")).where(F.col("all_copies") > 1))
     known = common.stash(blocks.join(kinds, "anchor").select("anchor", "block", "copies", "fewest", "one"))
     # Blocks that have an equal: the whole factor is a span.
     equal = known.where(F.col("copies") > 1).select("anchor", "block")
@@ -150,6 +165,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     chosen = spark.sparkContext.broadcast(bit_map(open_blocks, lambda b: occurrence(numbers(b, 0), numbers(b, 1), numbers(b, 2)).view(np.int64)))
 
     def windows(batches):
+        common.no_tool()
         for b in common.slices(batches, most=SLICE):
             doc, lo, count, h, _, words, bounds = factors(common.blobs(b), window, anchor)
             keep = marked(index.value, h)
@@ -196,6 +212,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     text_at = [f.name for f in kept].index("text")
 
     def run(batches):
+        common.no_tool()
         for b in common.slices(batches):
             n_words, n_removed, digests, texts = [], [], [], []
             lows, highs = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
