@@ -1,6 +1,6 @@
 """Quality rules with DataFrame functions only: divergence of a document from its language's references.
 
-References are gathered over all documents: for each value of lang (null is one of its own) the mean histogram of
+References are gathered over all documents: for each value of lang (null is one of its own) the histogram of
 character classes, and the COMMON most frequent short words with their shares of all words. A document is compared to
 its language's two references by Jensen-Shannon distance (base 2, 0 to 1). It fails if the distance of the character
 classes is over MAX_CLASS, given MIN_CHARS characters in it, or that of the words over MAX_WORDS, given MIN_WORDS words.
@@ -26,33 +26,44 @@ COMMON, CODES = 16, "abcdefghijklmnop"
 SHORT_WORD = 5
 MIN_CHARS, MIN_WORDS = 100, 50
 MAX_CLASS, MAX_WORDS = 0.33, 0.55
-#: Character classes, as patterns of what is not in them.
-CLASSES = {"lower": r"[^a-z]+", "upper": r"[^A-Z]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+", "mark": r"[^.,;:!?'\"()\-]+", "symbol": r"[^#*$%&|<>@=+/\\_~^{}\[\]`]+"}
+#: Character classes, as patterns of what is not in them. Lower-case letters, white space and all other characters are
+#: classes too; these patterns are looked for in what lower-case letters leave of a text.
+CLASSES = {"upper": r"[^A-Z]+", "digit": r"[^0-9]+", "mark": r"[^.,;:!?'\"()\-]+", "symbol": r"[^#*$%&|<>@=+/\\_~^{}\[\]`]+"}
+SYMBOLS = r"[^#*$%&|<>]+"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def repeats(words: Column) -> Column:
-    """Words in windows of five that are in the text twice or more, the first included."""
-    n = F.size(words)
-    starts = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
-    quick = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)]))
-    exact = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(5)]))
-    return starts, quick, exact
+def window_hashes(d: DataFrame) -> DataFrame:
+    """d with quick, the hashes of all windows of five words: those of two, four and five words, each from two of the step before."""
+    n = F.size("words")
+
+    def step(left: str, right: str, skip: int, m: Column) -> Column:
+        joined = F.zip_with(F.slice(left, F.lit(1), m), F.slice(right, F.lit(skip + 1), m), lambda a, b: F.xxhash64(a, b))
+        return F.when(n >= 5, joined).otherwise(F.array().cast("array<bigint>"))
+
+    # A column for each step: one that is used twice is then computed once.
+    d = d.withColumn("one", F.transform("words", lambda w: F.xxhash64(w))).withColumn("two", step("one", "one", 1, n - 1)).withColumn("four", step("two", "two", 2, n - 3))
+    return d.withColumn("quick", step("four", "one", 4, n - 4)).drop("one", "two", "four")
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, lang, text) with words, the counts of the contract and base_failed."""
+    """docs (doc_id, lang, text) with words, the counts of the contract, class_counts and base_failed."""
     d = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("words", words_of(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    starts, quick, exact = repeats(F.col("words"))
-    d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    d = d.withColumn("n_symbols", F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long"))
+    d = d.withColumn("rare", F.regexp_replace("text", "[a-z]+", ""))
+    starts = F.when(F.size("words") >= 5, F.sequence(F.lit(0), F.size("words") - 5)).otherwise(F.array().cast("array<int>"))
+    exact = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(5)]))
+    d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long")).withColumn("n_chars", F.length("text").cast("long"))
+    d = d.withColumn("n_symbols", F.length(F.regexp_replace("rare", SYMBOLS, "")).cast("long"))
+    counted = [F.length(F.regexp_replace("rare", p, "")).cast("long") for p in CLASSES.values()] + [F.col("n_chars") - F.length("rare"), F.col("n_chars") - F.col("word_chars")]
+    d = d.withColumn("counted", F.array(*counted)).drop("rare")
+    d = d.withColumn("class_counts", F.concat("counted", F.array(F.col("n_chars") - F.aggregate("counted", F.lit(0).cast("long"), lambda a, v: a + v)))).drop("counted")
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     # Most texts repeat no window; only where the hashes are not all different are the windows themselves compared.
-    d = d.withColumn("quick", quick).withColumn("some", F.size("quick") > F.size(F.array_distinct("quick"))).drop("quick")
+    d = window_hashes(d).withColumn("some", F.size("quick") > F.size(F.array_distinct("quick"))).drop("quick")
     sorted_windows = F.when(F.col("some"), F.array_sort(F.zip_with(exact, starts, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
     d = d.withColumn("windows", sorted_windows)
     at = lambda i: F.get(F.col("windows"), i)["w"]
@@ -66,12 +77,6 @@ def base(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def class_counts(text: Column) -> Column:
-    counts = [F.length(F.regexp_replace(text, p, "")).cast("double") for p in CLASSES.values()]
-    total = F.length(text).cast("double")
-    return F.array(*counts, total)
-
-
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares; each is made to sum to 1, an empty one is at distance 0."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -81,51 +86,61 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((add(p) > 0) & (add(q) > 0), F.sqrt(F.greatest(F.lit(0.0), add(terms) / 2))).otherwise(F.lit(0.0))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """For each lang: classes (mean share of each character class, the rest last), common (words), shares (of all words, the rest last)."""
-    d = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.col("lang").isNull().alias("ref_null"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = ["ref_lang", "ref_null"]
-    counts = class_counts(F.col("text"))
-    k = len(CLASSES)
-    classes = d.withColumn("c", counts).groupBy(*keys).agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(k + 1)], F.sum(F.size(words_of(F.col("text")))).alias("n_words"))
-    classes = classes.select(*keys, "n_words", F.array(*[F.col(f"c{i}") for i in range(k)], F.col(f"c{k}") - sum(F.col(f"c{i}") for i in range(k))).alias("classes"))
+KEYS = ["ref_lang", "ref_null"]
+
+
+def of_lang(df: DataFrame) -> DataFrame:
+    return df.withColumn("ref_lang", F.coalesce("lang", F.lit(""))).withColumn("ref_null", F.col("lang").isNull())
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """For each lang its COMMON most frequent short words and their counts (common, n)."""
     # Letters only, and short: there are few such words, so that they are counted before the shuffle.
-    short = d.select(*keys, F.explode(F.split("low", r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, SHORT_WORD))
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
+    short = of_lang(docs).select(*KEYS, F.explode(words).alias("w")).where(F.length("w").between(1, SHORT_WORD))
     # The rank is limited in each task before the shuffle, so that a group's list is of COMMON words.
-    ranked = short.groupBy(*keys, "w").count().withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "w")))
-    top = ranked.where(F.col("place") <= COMMON).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "w", "count"))).alias("top"))
-    top = top.select(*keys, F.col("top.w").alias("common"), F.col("top.count").alias("n"))
-    none = F.array().cast("array<string>")
-    joined = classes.join(top, keys, "left").withColumn("common", F.coalesce("common", none)).withColumn("n", F.coalesce("n", F.array().cast("array<bigint>")))
-    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v)
-    shares = F.concat(F.transform("n", lambda v: v.cast("double")), F.array(F.greatest(F.lit(0.0), (F.col("n_words") - total).cast("double"))))
-    return joined.select(*keys, "classes", "common", shares.alias("shares"))
+    ranked = short.groupBy(*KEYS, "w").count().withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("count"), "w")))
+    top = ranked.where(F.col("place") <= COMMON).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "w", "count"))).alias("top"))
+    return top.select(*KEYS, F.col("top.w").alias("common"), F.col("top.count").alias("n"))
 
 
-#: References of so many languages at most, about a kilobyte each, are sent to every task; more are joined by shuffle.
+#: References of so many languages at most, under a kilobyte each, are sent to every task; more are joined by shuffle.
 BROADCAST_LANGS = 10_000
 
 
+def sent(refs: DataFrame) -> DataFrame:
+    refs = common.cut(refs)
+    return F.broadcast(refs) if refs.count() <= BROADCAST_LANGS else refs
+
+
+def measured(docs: DataFrame, top: DataFrame) -> DataFrame:
+    """Per document the counts of base() and how often each of its language's common words is in it (seen, the rest last)."""
+    d = of_lang(base(docs).drop("words")).join(top.drop("n"), KEYS, "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    places = F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.array_position("common", w))
+    d = d.withColumn("code", F.array_join(F.transform(F.filter(places, lambda i: i > 0), lambda i: F.substring(F.lit(CODES), i.cast("int"), 1)), "")).drop("text")
+    seen = F.transform(F.sequence(F.lit(1), F.greatest(F.size("common"), F.lit(1))), lambda i: (F.length("code") - F.length(F.replace("code", F.substring(F.lit(CODES), i, 1), F.lit("")))).cast("long"))
+    others = F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.length("code"))
+    return d.withColumn("seen", F.concat(F.slice(seen, F.lit(1), F.size("common")), F.array(others))).drop("code", "common", "lang")
+
+
+def references(told: DataFrame, top: DataFrame) -> DataFrame:
+    """For each lang: classes (counts of each character class) and shares (counts of its common words, the rest last)."""
+    k = len(CLASSES) + 3
+    sums = told.groupBy(*KEYS).agg(*[F.sum(F.get("class_counts", F.lit(i))).alias(f"c{i}") for i in range(k)], F.sum("n_words").alias("total"))
+    joined = sums.join(top.drop("common"), KEYS, "left").withColumn("n", F.coalesce("n", F.array().cast("array<bigint>")))
+    known = F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v)
+    return joined.select(*KEYS, F.array(*[F.col(f"c{i}") for i in range(k)]).alias("classes"), F.concat("n", F.array(F.greatest(F.lit(0).cast("long"), F.col("total") - known))).alias("shares"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the counts and base_failed of base(), class_distance, word_distance and kept."""
-    refs = common.cut(references(docs))
-    if refs.count() <= BROADCAST_LANGS:
-        refs = F.broadcast(refs)
-    d = base(docs).drop("words")
-    d = d.join(refs, (F.coalesce(d["lang"], F.lit("")) == F.col("ref_lang")) & (d["lang"].isNull() == F.col("ref_null")), "left")
-    d = d.withColumn("counts", class_counts(F.col("text")))
-    k = len(CLASSES)
-    given = F.slice("counts", 1, k)
-    rest = F.get("counts", F.lit(k)) - F.aggregate(given, F.lit(0.0), lambda a, v: a + v)
-    d = d.withColumn("class_distance", distance(F.concat(given, F.array(rest)), F.col("classes")))
-    places = F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.array_position("common", w))
-    d = d.withColumn("code", F.array_join(F.transform(F.filter(places, lambda i: i > 0), lambda i: F.substring(F.lit(CODES), i.cast("int"), 1)), ""))
-    seen = F.transform(F.sequence(F.lit(1), F.greatest(F.size("common"), F.lit(1))), lambda i: (F.length("code") - F.length(F.replace("code", F.substring(F.lit(CODES), i, 1), F.lit("")))).cast("double"))
-    shown = F.slice(seen, F.lit(1), F.size("common"))
-    others = F.greatest(F.lit(0.0), F.col("n_words").cast("double") - F.length("code").cast("double"))
-    d = d.withColumn("word_distance", distance(F.concat(shown, F.array(others)), F.col("shares")))
-    far = ((F.length("text") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "word_distance")
+    top = sent(common_words(docs))
+    told = common.stash(measured(docs, top))
+    d = told.join(sent(references(told, top)), KEYS, "left")
+    real = lambda c: F.transform(c, lambda v: v.cast("double"))
+    d = d.withColumn("class_distance", distance(real("class_counts"), real("classes"))).withColumn("word_distance", distance(real("seen"), real("shares")))
+    far = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
