@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,8 @@ class Encoder:
     """A tokenizer of the tokenizers library that remembers the ids of words.
 
     apart: white space has no ids and no match crosses it, as for the tokenizer used here, so words go to the library
-    one by one and equal words once; else whole texts go to it.
+    one by one and equal words once; else whole texts go to it. A text without combining marks is then put in lower
+    case first where the tokenizer does so itself: with a mark the order of composing and lowering would matter.
     """
 
     def __init__(self, path: str, apart: bool):
@@ -150,6 +152,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.apart, self.words = apart, {}
+        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
         # Many words go to the library as one text, between them a special token that is known as such.
         self.joined = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special]
@@ -159,11 +162,14 @@ class Encoder:
     def encode(self, docs: list[bytes]) -> list[bytes]:
         if not self.apart:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([d.decode() for d in docs], add_special_tokens=False)]
+        if self.lower:
+            docs = [d if b"\xcc" in d or b"\xcd" in d else d.lower() for d in docs]
         split = [d.split() for d in docs]
         have = self.words
-        new = list({w for s in split for w in s if w not in have})
+        met = set(chain.from_iterable(split))
+        new = [w for w in met if w not in have]
         if len(have) + len(new) > CACHE:
-            self.words = have = {w: have[w] for s in split for w in s if w in have}
+            self.words = have = {w: have[w] for w in met if w in have}
         self.learn(new)
         get = have.__getitem__
         return [b"".join(map(get, s)) for s in split]
@@ -187,15 +193,6 @@ class Encoder:
             self.words.update(zip(part, [flat[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, apart: bool) -> Encoder:
-    if (path, apart) not in _encoders:
-        _encoders[path, apart] = Encoder(path, apart)
-    return _encoders[path, apart]
-
-
 STORE = "shard int, start long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
@@ -206,9 +203,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, apart: bool = Fa
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        from tallyframe.llm.token_store import encoder  # the worker's own copy, which remembers
-
-        tool, shard = encoder(path, apart), TaskContext.get().partitionId()
+        tool, shard = common.tool(("tokens", path, apart), lambda: Encoder(path, apart)), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         start, ids, doc_ids, doc_lens, held = 0, [], [], [], 0
 
