@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.graph import cut
+
 #: Fixed values of the grades: shortest signature at all, shortest substantial one, and how much of each must be fixed.
 LEAST, LEAST_FIXED, SUBSTANTIAL, SUBSTANTIAL_FIXED = 8, 6, 16, 10
 
@@ -50,18 +52,52 @@ def shingles(rows: DataFrame, key: str, tokens: Column, width: int, stride: int
     return t.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_t", i + 1, width), " "))))).alias("digest"))
 
 
-def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, stride: int = 1) -> DataFrame:
-    """Pairs (a, b) of rows that share a wide shingle, or two narrow ones.
+def first_links(rows: DataFrame, key: str, tokens: Column, narrow: int, stride: int = 1) -> DataFrame:
+    """Pairs (a, b, shared) of the first row of a shingle and another row, where the two share two such shingles or more.
 
-    A pair with a wide run in common has wide - narrow + 1 narrow runs in common, so narrow shingles alone find both
-    cases at stride 1. Shingles of whole groups of equal rows are joined through the group's first row only: each row is
-    paired with the first row of every shingle it has, which links groups without all their pairs.
+    Only a shingle's first row is paired: two rows whose shared shingles begin in different rows are not found. clones() finds them.
     """
     s = shingles(rows, key, tokens, narrow, stride)
     first = s.groupBy("digest").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return s.join(first, "digest").where(F.col("a") != F.col(key)).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
+def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, stride: int = 1) -> DataFrame:
+    """Pairs (a, b, shared, same) of rows that share a wide shingle, or two narrow ones; shared counts narrow ones.
+
+    Rows with the same shared shingles are one class, which stands under its first row: with `same`, b is a further row of
+    a's class; without, a and b are the first rows of two classes, and each row of one makes such a pair with each of the
+    other. A wide run in common has narrow runs in common, two different ones unless it repeats itself: only then it is a
+    shingle of its own. Shingles found in the same classes are joined once, with their number as weight.
+    """
+    spans = (wide - narrow) // stride + 1
+    t = rows.select(key, tokens.alias("_t")).where(F.size("_t") >= narrow)
+    starts = F.sequence(F.lit(0), F.size("_t") - narrow, F.lit(stride))
+    t = t.withColumn("_t", F.transform("_t", lambda w: F.xxhash64(w)))
+    t = t.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i + 1, narrow))))
+    alike = lambda k: (F.get("_h", k) == F.get("_h", k + (spans - 1))) & (F.size(F.array_distinct(F.slice("_h", k + 1, spans))) == 1)
+    last = F.floor((F.size("_t") - wide) / stride).cast("int")
+    again = F.when(F.size("_t") >= wide, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), alike)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(again, lambda k: F.xxhash64(F.lit("wide"), F.slice("_t", k * stride + 1, wide)))
+    kind = lambda digests, bit: F.transform(digests, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+    # A narrow digest is odd. They are dealt once, for the count and the join: a digest has a row a document at most.
+    s = t.select(F.col(key).alias("row"), F.explode(F.array_distinct(F.concat(kind("_h", 1), kind(runs, 0)))).alias("digest")).repartition("digest")
+    common = s.groupBy("digest").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one <> other").select("digest")
+    s = cut(s.join(common, "digest").select("row", "digest", F.col("digest").bitwiseAND(F.lit(1)).alias("narrow")).distinct())
+    mark = lambda c: [F.count("*").alias("n"), F.bit_xor(F.xxhash64(c)).alias("x"), F.sum(F.xxhash64(F.lit(1), c).cast("decimal(38,0)")).alias("y")]
+    sets = cut(s.groupBy("row").agg(*mark("digest"), F.sum("narrow").alias("shared")))
+    classes = cut(sets.groupBy("n", "x", "y").agg(F.min("row").alias("a")))
+    same = sets.join(classes, ["n", "x", "y"]).where("row <> a and (shared >= 2 or n > shared)").select("a", F.col("row").alias("b"), "shared", F.lit(True).alias("same"))
+    reps = s.join(classes.select(F.col("a").alias("row")), "row", "left_semi")
+    found = cut(reps.groupBy("digest", "narrow").agg(*mark("row")).where("n > 1"))
+    weighed = found.groupBy("n", "x", "y", "narrow").agg(F.min("digest").alias("digest"), F.count("*").alias("weight"))
+    p = cut(reps.drop("narrow").join(weighed.select("digest", "narrow", "weight"), "digest"))
+    two = p.select("digest", F.col("row").alias("b"))
+    pairs = p.select("digest", F.col("row").alias("a"), "narrow", "weight").join(two, "digest").where("a < b").groupBy("a", "b")
+    pairs = pairs.agg(F.sum(F.col("narrow") * F.col("weight")).alias("shared"), F.min("narrow").alias("least")).where("shared >= 2 or least = 0")
+    return same.unionByName(pairs.select("a", "b", "shared", F.lit(False).alias("same")))
+
+
 def bag_difference(left: DataFrame, right: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Keys whose counts differ (by, key, n_left, n_right, surplus); exclusive: one side has none and the other two or more."""
     l = left.groupBy(*by, key).agg(F.count("*").alias("n_left"))  # noqa: E741

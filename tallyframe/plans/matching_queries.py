@@ -51,6 +51,18 @@ s AS (SELECT DISTINCT doc_id, array_to_string(t[i + 1 : i + 12], ' ') AS digest
 f AS (SELECT digest, min(doc_id) AS a FROM s GROUP BY digest HAVING count(*) > 1)
 SELECT a, doc_id AS b, count(*) AS shared FROM s JOIN f USING (digest) WHERE a <> doc_id GROUP BY a, doc_id HAVING count(*) >= 2""")
 def shingle_clone(spark, d):
+    return mt.first_links(table(spark, d, "documents"), "doc_id", F.split("text", " "), narrow=12)
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, 1 AS narrow, array_to_string(t[i + 1 : i + 12], ' ') AS g FROM w, unnest(range(0, len(t) - 11)) AS u(i)
+UNION ALL SELECT DISTINCT doc_id, 0, array_to_string(t[i + 1 : i + 24], ' ') FROM w, unnest(range(0, len(t) - 23)) AS u(i) WHERE len(list_distinct(t[i + 1 : i + 24])) = 1),
+m AS (SELECT narrow, g FROM s GROUP BY ALL HAVING count(*) > 1), k AS (SELECT * FROM s JOIN m USING (narrow, g)),
+c AS (SELECT doc_id, md5(string_agg(narrow || g, chr(10) ORDER BY narrow, g)) AS class, sum(narrow) AS shared, count(*) AS n FROM k GROUP BY doc_id), r AS (SELECT class, min(doc_id) AS a FROM c GROUP BY class),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.narrow) AS shared, min(x.narrow) AS least FROM k x JOIN k y ON x.narrow = y.narrow AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, doc_id AS b, CAST(shared AS BIGINT) AS shared, true AS same FROM c JOIN r USING (class) WHERE doc_id <> a AND (shared >= 2 OR n > shared)
+UNION ALL SELECT a, b, CAST(shared AS BIGINT), false FROM p WHERE (shared >= 2 OR least = 0) AND a IN (SELECT a FROM r) AND b IN (SELECT a FROM r)""")
+def shingle_clone_pairs(spark, d):
     return mt.clones(table(spark, d, "documents"), "doc_id", F.split("text", " "), wide=24, narrow=12)
 
 
