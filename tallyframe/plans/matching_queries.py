@@ -203,15 +203,25 @@ def byte_histogram(spark, d):
     return wide.select("lang", F.posexplode(F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(32, 127)]))).select("lang", (F.col("pos") + 32).cast("int").alias("code"), F.col("col").alias("n"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE doc_id % 20 = 0), i AS (SELECT *, (pos * 7 + doc_id) % 5 AS id FROM l)
-SELECT doc_id, CAST(id AS BIGINT) AS id, arg_max(length(line), pos) AS chars, CAST(max(pos) AS BIGINT) AS pos FROM i GROUP BY doc_id, id""")
-def positional_join_last(spark, d):
-    lines = table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def last_lines(docs):
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.withColumn("id", ((F.col("pos") * 7 + F.col("doc_id")) % 5).cast("long"))
     last = keyed.groupBy("doc_id", "id").agg(F.max(F.struct("pos", F.length("line").cast("long").alias("chars"))).alias("last"))
     return last.select("doc_id", "id", "last.chars", F.col("last.pos").cast("long").alias("pos"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE doc_id % 20 = 0), i AS (SELECT *, (pos * 7 + doc_id) % 5 AS id FROM l)
+SELECT doc_id, CAST(id AS BIGINT) AS id, arg_max(length(line), pos) AS chars, CAST(max(pos) AS BIGINT) AS pos FROM i GROUP BY doc_id, id""")
+def positional_join_last(spark, d):
+    return last_lines(table(spark, d, "documents").where("doc_id % 20 = 0"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), i AS (SELECT *, (pos * 7 + doc_id) % 5 AS id FROM l)
+SELECT doc_id, CAST(id AS BIGINT) AS id, arg_max(length(line), pos) AS chars, CAST(max(pos) AS BIGINT) AS pos FROM i GROUP BY doc_id, id""")
+def positional_join_last_all(spark, d):
+    return last_lines(table(spark, d, "documents"))
+
+
 @query("""WITH m AS (SELECT l_partkey AS path, l_linenumber AS mount, min(l_suppkey) AS value, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS disabled FROM lineitem GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mount) AS n FROM m)
 SELECT path, mount, CASE WHEN disabled THEN NULL ELSE value END AS value, disabled FROM f WHERE n = 1""")
 def overlay_lookup(spark, d):

@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from tallyframe.operators import matching
+from tallyframe.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def expanded(got):
@@ -32,3 +35,12 @@ def test_clones_find_every_pair(spark):
     want = {(a, b) for a in docs for b in docs if a < b and (len(cuts(docs[a], 12) & cuts(docs[b], 12)) >= 2 or cuts(docs[a], 24) & cuts(docs[b], 24))}
     assert {(3, 4), (3, 5), (4, 5), (6, 7), (8, 10)} <= want
     assert expanded([(r.a, r.b, r.same) for r in got.collect()]) == want
+
+
+def test_positional_join_takes_every_document(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", "text").collect():
+        for pos, line in enumerate(r.text.split("\n")):
+            want[r.doc_id, (pos * 7 + r.doc_id) % 5] = (len(line), pos)
+    got = {(r.doc_id, r.id): (r.chars, r.pos) for r in catalog.QUERIES["positional_join_last_all"](spark, SF).collect()}
+    assert got == want and any(doc % 20 for doc, _ in got)
