@@ -4,7 +4,8 @@ Documents are sets of word shingles. Equal sets are one class, represented by it
 independent trees a class goes down the path of its minwise tokens, one for each level; classes that share a path share
 a node. A node of at most SMALL classes is compared exhaustively; a larger one compares its classes with one drawn by
 lot, at the first level also with that of its classes which was most similar to those drawn, and branches again. The
-latter stands in the middle of a large group, so that it reaches members few others do. Sketches of the same minwise tokens rule out what cannot reach the similarity; what remains is
+latter stands in the middle of a large group, so that it reaches members few others do. Whatever stays in different
+components although it shared a large node is joined exactly in the end (remainder). Sketches of the same minwise tokens rule out what cannot reach the similarity; what remains is
 confirmed on the full sets, and linked classes form components. A pair at the limit of similarity meets in one tree's
 first level with probability 0.75, so TREES of them miss it with 0.25 ** TREES where nodes are small.
 
@@ -140,14 +141,15 @@ def token(level: int):
     return F.expr(f"substring(sketch, (tree * {LEVELS} + {level}) * 4 + 1, 4)")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b, agree) of classes (rep, n, sketch) that meet in a node and may reach the similarity."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b, agree) of classes (rep, n, sketch) that meet in a node and may reach the similarity; (path, rep) of large first nodes."""
     trees = F.array(*[F.lit(t) for t in range(TREES)])
     paths = classes.select("rep", F.explode(trees).alias("tree"), "sketch").select("rep", "tree", F.xxhash64("tree", token(0)).alias("path"))
     sizes = common.stash(paths.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1))
     # Sketches are fetched only for classes that share a node with another.
     here = common.stash(paths.join(sizes, "path"))
     level = common.stash(here.join(classes, "rep"))
+    crowded = level.where(F.col("size") > SMALL).select("path", "rep")
     found = []
     for depth in range(LEVELS):
         if depth and level.isEmpty():
@@ -175,7 +177,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)
-    return common.stash(out.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    return common.stash(out.groupBy("a", "b").agg(F.max("agree").alias("agree"))), crowded
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -205,6 +207,51 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFr
     return common.stash(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
 
 
+def remainder(crowded: DataFrame, placed: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame | None:
+    """All links (a, b) between components, of classes that stand in one large node (crowded: path, rep); placed (rep, component).
+
+    A prefix-filter join on full sets, so exact: in any order of shingles, two sets that reach the similarity share one of
+    the first n - ceil(n * PERCENT / 100) + 1 of each. Shingles of one component only come first, then rare ones. Of a
+    shingle's sets, those in its commonest component are not paired with each other, so a group that is linked already
+    costs nothing for its size. None if no node has two components.
+    """
+    here = common.stash(crowded.join(placed, "rep"))
+    mixed = here.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path")
+    left = common.stash(here.join(mixed, "path").select("rep", "component").distinct())
+    if left.isEmpty():
+        return None
+
+    def sets(batches):
+        common.no_tool()
+        for b in common.slices(batches, most=SLICE):
+            found = shingle_sets(common.blobs(b), shingle)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            sums = [int(np.sum(s, dtype=np.uint64).view(np.int64)) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "component", "s", "n", "shingles"])
+
+    of = docs.join(left.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "component", "text")
+    full = common.stash(of.mapInArrow(sets, "rep long, component long, s long, n int, shingles array<long>"))
+    tokens = full.select("rep", "component", "s", "n", F.explode("shingles").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    # Only shingles of several components travel back to their sets; the others come first and are but counted.
+    held = tokens.join(common.stash(spread.select("token", "f")), "token").groupBy("rep", "component", "s", "n")
+    ranked = held.agg(F.array_sort(F.collect_set(F.struct("f", "token"))).alias("held"))
+    ranked = ranked.withColumn("own", F.col("n") - F.size("held")).withColumn("prefix", F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1"))
+    first = ranked.where("prefix > own").select("rep", "component", "s", "n", "own", F.posexplode(F.expr("slice(held, 1, int(prefix - own))")).alias("pos", "x"))
+    first = common.stash(first.select("rep", "component", "s", "n", (F.col("own") + F.col("pos")).alias("at"), F.col("x.token").alias("token")))
+    most = first.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("most"))
+    x = common.stash(first.join(most, "token").where("component <> most"))
+    x = x.select("token", "most", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "s", "n", "at")])
+    y = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "s", "n", "at")])
+    near = f"component_x <> component_y and 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and (component_y = most or rep_x < rep_y)"
+    met = x.join(y, "token").where(near).groupBy("rep_x", "s_x", "n_x", "rep_y", "s_y", "n_y").agg(F.min("at_x").alias("i"), F.min("at_y").alias("j"))
+    # Nothing before the first common shingle is shared: what follows it must be enough.
+    may = met.where(f"{100 + PERCENT} * least(n_x - i, n_y - j) >= {PERCENT} * (n_x + n_y)")
+    pairs = common.stash(may.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
+    return None if pairs.isEmpty() else confirm(pairs, docs, shingle)
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -215,7 +262,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # A doc_id with rows of different sets stands in several classes; it links them.
     many = real.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     shared = common.stash(real.join(many, "doc_id", "left_semi").join(classes.drop("sketch"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    pairs = candidates(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"))
+    pairs, crowded = candidates(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"))
     texts = docs.where("doc_id is not null").join(shared.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
     first = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
     # Each class has one link to an earlier one at most: a forest.
@@ -227,11 +274,21 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     if not apart.isEmpty():
         links = links.unionAll(confirm(apart.select("a", "b"), texts, shingle).join(apart, ["a", "b"]).select("ca", "cb"))
     links = common.stash(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    labels = classes.select(*key, "rep").join(tree.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("parent", "rep").alias("component"))
+    labels = classes.select(*key, "rep").join(tree.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("parent", "rep").alias("component"))
+
+    def joined(labels, links):
+        least = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
+        return labels.join(least, "component", "left").select(*key, "rep", F.coalesce("least", "component").alias("component"))
+
     if not links.isEmpty():
-        joined = components(links)
-        labels = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select(*key, F.coalesce("least", "component").alias("component"))
+        labels = joined(labels, links)
     labels = common.stash(labels)
+    at_rep = labels.select("rep", "component").distinct()
+    late = remainder(crowded, at_rep, texts, shingle)
+    if late is not None and not late.isEmpty():
+        of = lambda end, name: at_rep.select(F.col("rep").alias(end), F.col("component").alias(name))
+        labels = common.stash(joined(labels, common.stash(late.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))))
+    labels = labels.drop("rep")
     out = told.join(labels, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

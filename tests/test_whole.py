@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyframe.llm import near_dedup
 from tallyframe.operators import matching
 from tallyframe.plans import catalog
 
@@ -44,3 +45,11 @@ def test_positional_join_takes_every_document(spark):
             want[r.doc_id, (pos * 7 + r.doc_id) % 5] = (len(line), pos)
     got = {(r.doc_id, r.id): (r.chars, r.pos) for r in catalog.QUERIES["positional_join_last_all"](spark, SF).collect()}
     assert got == want and any(doc % 20 for doc, _ in got)
+
+
+def test_near_dedup_links_pairs_in_a_crowd(spark):
+    """Sixty pairs at 117 of 155 shingles; texts of different pairs share 116 of 156, which is too few, and fill large nodes."""
+    base = " ".join(f"b{i}" for i in range(120))
+    docs = [(i, f"{base} pair{i // 2} " + " ".join(f"own{i}x{j}" for j in range(19))) for i in range(120)]
+    got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (136, i - i % 2) for i, _ in docs}
