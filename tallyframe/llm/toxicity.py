@@ -34,18 +34,22 @@ CANDIDATES, FEATURES, MIN_DOCS = 40_000, 1_000, 3
 LIFT, SURPRISE = 6.0, 22.0
 RIDGE = 0.05
 PREFIXES = (4, 5, 6, 7)
+#: What is read from within a run of spaced letters: so many different ones in a row that none of PREFIXES is cut, however drawn out.
+REACH = re.compile(r"[\W_]*(?:([^\W_])\1*[\W_]*){1,12}")
 THRESHOLD = 0.7
 #: Hashed tables of the character model: trigrams and their contexts.
 TRI_BITS, BI_BITS = 20, 16
 #: Words held while counting; tokens a worker remembers.
 HELD, CACHE = 200_000, 400_000
-#: Tokens longer than this are no disguised words and are only cut at what is no letter.
-LONGEST = 40
+#: Longer tokens are read each time they come, so that what a worker remembers stays small.
+REMEMBERED = 40
+#: Log-probabilities the character model remembers.
+MEMO = 1 << 20
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou", "§": "s", "ß": "b"}
 #: Characters that may only be fillers between letters, and log-probabilities of the channel.
 FILLERS = set("._-*~'`,:;/\\|+=^#")
-P_LEET, P_WILD, P_DROP, P_FOLD, P_KEEP_TWO = -1.0, -3.0, -0.3, -0.2, -1.0
+P_LEET, P_WILD, P_DROP, P_FOLD, P_KEEP_TWO, P_END = -1.0, -3.0, -0.3, -0.2, -1.0, -1.3
 EDGE = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?[\\]^_`{|}~«»“”„‘’…–—¿¡"
 SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|*+])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|*+])){3,}(?![^\s.,;:!?])")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
@@ -117,6 +121,8 @@ class CharModel:
             ctx = (a * 0x100000001B3 + b) & m
             x = self.tri[mix(ctx * 0x9E3779B1 + c & m) >> (64 - TRI_BITS)]
             y = self.bi[mix(ctx) >> (64 - BI_BITS)]
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
             got = self.memo[abc] = math.log((float(x) + 0.01) / (float(y) + 10.0))
         return got
 
@@ -130,8 +136,11 @@ def mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character, the strings it may stand for with their log-probabilities in the channel."""
+def lattice(token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of a character, the strings it may stand for with their log-probabilities in the channel.
+
+    With ends a filler may also be a line feed, which ends a word.
+    """
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i + 1
@@ -154,6 +163,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                     ways.append((o * 2, 2 * p))
         if c in FILLERS or not c.isalnum():
             ways.append(("", P_DROP))
+            if ends:
+                ways.append(("\n", P_END))
         if not ways:
             ways.append((c * min(n, 2), 0.0))
         out.append(ways)
@@ -161,23 +172,31 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> tuple[str, float]:
-    """The likeliest word behind a token, and its log-probability with its end."""
-    states: dict[str, tuple[float, str]] = {"\n\n": (0.0, "")}
+def decode(token: str, model: CharModel, ends: bool = False) -> tuple[str, float]:
+    """The likeliest word behind a token, and its log-probability with its end; words between line feeds where ends allows several."""
+    states: dict[str, tuple[float, tuple]] = {"\n\n": (0.0, ())}  # a reading is a chain of its pieces, last one first
     log = model.log
-    for ways in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
-        for two, (p, word) in states.items():
+    for ways in lattice(token, ends):
+        after: dict[str, tuple[float, tuple]] = {}
+        for two, (p, said) in states.items():
             for way, q in ways:
                 s, r = two, p + q
                 for ch in way:
-                    r += log(s + ch)
-                    s = s[1] + ch
+                    if ch != "\n":
+                        r += log(s + ch)
+                        s = s[1] + ch
+                    elif s != "\n\n":
+                        r += log(s + ch)
+                        s = "\n\n"
                 if s not in after or r > after[s][0]:
-                    after[s] = (r, word + way)
+                    after[s] = (r, (way, said))
         states = after
-    best, word = max(((p + log(s + "\n"), w) for s, (p, w) in states.items()), key=lambda x: x[0])
-    return word, best
+    best, said = max(((p + (log(s + "\n") if s != "\n\n" or not ends else 0.0), w) for s, (p, w) in states.items()), key=lambda x: x[0])
+    out = []
+    while said:
+        out.append(said[0])
+        said = said[1]
+    return "".join(reversed(out)), best
 
 
 def words_of(token: str, model: CharModel) -> list[str]:
@@ -190,7 +209,7 @@ def words_of(token: str, model: CharModel) -> list[str]:
         if (len(tail) > 1 or tail not in ("$", "@", "!", "|")) and lead not in ("$", "@", "!", "|"):
             return [core]
     plain = LETTERS(t)
-    if len(t) > LONGEST or not plain:
+    if not plain:
         return plain
     tail = t[-1:]
     whole = t.strip("\"'()[]{}<>,.;:?") if tail in "$@!|" else core
@@ -199,19 +218,28 @@ def words_of(token: str, model: CharModel) -> list[str]:
         return plain
     word, _ = decode(whole, model)
     found = [*plain, word]
+    if any(c in FILLERS or not c.isalnum() for c in whole):
+        found += [w for w in decode(whole, model, ends=True)[0].split("\n") if w]
     if whole != core and core:
         found.append(core if core.isalpha() and not DRAWN.search(core) else decode(core, model)[0])
     return found
 
 
 def unspaced(text: str, model: CharModel) -> list[str]:
-    """Words whose letters stand apart, where the model likes them better joined."""
+    """Words whose letters stand apart, where the model likes them better joined.
+
+    The gaps do not tell where a word begins, and trigrams do not know words: what begins at each letter is read too, as
+    far as features reach.
+    """
     out = []
     for m in SPACED.finditer(text):
         letters = re.sub(r"[ ._\-]", "", m[0].lower())
-        word, p = decode(letters, model)
-        if p > sum(decode(c, model)[1] for c in letters):
-            out.append(word)
+        alone = [decode(c, model)[1] for c in letters]
+        for at in range(max(1, len(letters) - PREFIXES[0] + 1)):
+            part = letters if not at else found[0] if (found := REACH.match(letters, at)) else letters[at:]
+            word, p = decode(part, model)
+            if p > sum(alone[at : at + len(part)]) and word not in out:
+                out.append(word)
     return out
 
 
@@ -229,7 +257,9 @@ def of_text(text: str, model: CharModel, memo: dict[str, list[str]]) -> set[str]
     for token in set(text.split()):
         got = memo.get(token)
         if got is None:
-            got = memo[token] = features(words_of(token, model))
+            got = features(words_of(token, model))
+            if len(token) <= REMEMBERED:
+                memo[token] = got
         out.update(got)
     for w in unspaced(text, model):
         out.update(features([w]))
@@ -319,7 +349,9 @@ class Scorer:
             if got is None:
                 if len(memo) > CACHE:
                     memo.clear()
-                got = memo[token] = self.ids(words_of(token, self.model))
+                got = self.ids(words_of(token, self.model))
+                if len(token) <= REMEMBERED:
+                    memo[token] = got
             if got:
                 hits.update(got)
         for w in unspaced(text, self.model):
