@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +40,9 @@ BLOCK = 65_536
 #: A segment is closed when it has so many ids.
 SEGMENT = 262_144
 #: Words whose ids a worker remembers; when it is full, those of the present batch stay.
-CACHE = 800_000
+CACHE = 1_500_000
+#: Bytes of text that are encoded together: the more, the fewer equal words are looked up.
+SLICE = 16 << 20
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -139,58 +141,107 @@ def load(payload: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library that remembers the ids of words.
+    """A tokenizer of the tokenizers library, as it is loaded, that remembers the ids of words.
 
-    apart: white space has no ids and no match crosses it, as for the tokenizer used here, so words go to the library
-    one by one and equal words once; else whole texts go to it. A text without combining marks is then put in lower
-    case first where the tokenizer does so itself: with a mark the order of composing and lowering would matter.
+    apart: white space has no ids and no match crosses it, as for the tokenizer used here, so equal words of a batch go
+    to the library once; else whole texts go to it. A text with the string of a special token goes to it whole, as that
+    string may stand across words. A text without combining marks is put in lower case first where the tokenizer does
+    so itself: with a mark the order of composing and lowering would matter.
     """
 
     def __init__(self, path: str, apart: bool):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.apart, self.words = apart, {}
+        self.apart = apart
+        # The words that are remembered, their ids one after the other, and how many each has.
+        self.words, self.flat, self.size = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
-        # Many words go to the library as one text, between them a special token that is known as such.
-        self.joined = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special]
-        self.mark = max(special, default=None)
-        self.strings = [s.encode() for _, s in special]
-
-    def encode(self, docs: list[bytes]) -> list[bytes]:
+        added = self.library.get_added_tokens_decoder()
+        self.strings = [t.content for t in added.values()]
+        # Many words go to the library as one text, between them a special token.
+        self.mark = max(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), default=None)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has; a null is an empty text."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        special = np.zeros(len(column), bool)
+        for x in self.strings:  # in any case: lowering may make one
+            special |= np.asarray(pc.match_substring(column, x, ignore_case=True))
+        odd = np.flatnonzero(special) if self.apart else np.arange(len(column))
+        parts = self.whole([column[i].as_py() for i in odd.tolist()])
         if not self.apart:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([d.decode() for d in docs], add_special_tokens=False)]
-        if self.lower:
-            docs = [d if b"\xcc" in d or b"\xcd" in d else d.lower() for d in docs]
-        split = [d.split() for d in docs]
-        have = self.words
-        met = set(chain.from_iterable(split))
-        new = [w for w in met if w not in have]
-        if len(have) + len(new) > CACHE:
-            self.words = have = {w: have[w] for w in met if w in have}
-        self.learn(new)
-        get = have.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def learn(self, new: list[bytes]) -> None:
-        """Remember the ids of words."""
-        odd = new if self.mark is None else [w for w in new if any(x in w for x in self.strings)]
-        for e, w in zip(self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), odd):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            return np.concatenate([np.zeros(0, "<u4"), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
+        if len(odd):
+            column = pc.if_else(pa.array(special), "", column)
+        ids, counts = self.by_word(lowered(column) if self.lower else column)
+        if len(odd):
+            pieces = np.split(ids, np.cumsum(counts)[:-1])
+            for i, x in zip(odd.tolist(), parts):
+                pieces[i], counts[i] = x, len(x)
+            ids = np.concatenate(pieces)
+        return ids, counts
+
+    def by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(column)
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        met = coded.dictionary
+        place = pc.index_in(met, self.words)
+        fresh = met.filter(pc.is_null(place))
+        if len(self.words) + len(fresh) > CACHE:  # those of the present batch stay
+            stay = np.asarray(place.drop_null())
+            self.flat, self.size = gather(self.flat, self.size, stay), self.size[stay]
+            self.words = self.words.take(pa.array(stay))
+            place = pc.index_in(met, self.words)
+        if len(fresh):
+            parts = self.learn(fresh)
+            self.flat = np.concatenate([self.flat, *parts])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, parts), np.int64, len(parts))])
+            self.words = pa.concat_arrays([self.words, fresh])
+            place = pc.index_in(met, self.words)
+        which = np.asarray(place)[np.asarray(coded.indices)]
+        ends = np.concatenate([[0], np.cumsum(self.size[which])])
+        return gather(self.flat, self.size, which), np.diff(ends[bounds])
+
+    def learn(self, fresh: pa.Array) -> list[np.ndarray]:
+        """The ids of words, none of which has the string of a special token in it."""
         if self.mark is None:
-            return
-        known = set(odd)
-        plain = [w for w in new if w not in known] if known else new
-        mark, between = self.mark[0], self.mark[1].encode()
-        parts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
-        coded = self.joined.encode_batch_fast([between.join(p).decode() for p in parts], add_special_tokens=False)
-        for part, e in zip(parts, coded):
-            ids = np.array(e.ids, "<u4")
+            return self.whole(fresh.to_pylist())
+        mark, between = self.mark
+        bounds = [*range(0, len(fresh), 1000), len(fresh)]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), fresh)
+        out = []
+        for a, b, ids in zip(bounds, bounds[1:], self.whole(pc.binary_join(lists, between).to_pylist())):
             cuts = np.flatnonzero(ids == mark)
-            flat = ids.tobytes()
-            self.words.update(zip(part, [flat[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]))
+            if len(cuts) == b - a - 1:
+                out += [ids[x:y] for x, y in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
+            else:  # a word and the token beside it made another special token
+                out += self.whole(fresh[a:b].to_pylist())
+        return out
+
+
+def gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of flat (their lengths in size) named by which, one after the other."""
+    first, out = np.cumsum(size) - size, []
+    for a in range(0, len(which), 1 << 18):
+        w = which[a : a + (1 << 18)]
+        n = size[w]
+        at = np.repeat(first[w] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        out.append(flat[at])
+    return np.concatenate([flat[:0], *out])
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """The strings with A to Z in lower case, but for those with a combining mark."""
+    raw = column.cast(pa.binary())
+    marks = pc.or_(pc.match_substring(raw, b"\xcc"), pc.match_substring(raw, b"\xcd"))
+    low = pc.ascii_lower(column)
+    return pc.if_else(marks, column, low) if pc.any(marks).as_py() else low
 
 
 STORE = "shard int, start long, doc_ids array<long>, doc_lens array<long>, payload binary"
@@ -204,21 +255,25 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, apart: bool = Fa
 
     def run(batches):
         tool, shard = common.tool(("tokens", path, apart), lambda: Encoder(path, apart)), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         start, ids, doc_ids, doc_lens, held = 0, [], [], [], 0
 
         def close():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([doc_lens], pa.list_(pa.int64())), pa.array([dump(np.frombuffer(b"".join(ids), "<u4"))], pa.binary())], ["shard", "start", "doc_ids", "doc_lens", "payload"])
-
-        for b in common.slices(batches):
-            for doc_id, coded in zip(b.column(0).to_pylist(), tool.encode(common.blobs(b))):
-                ids.append(coded + end)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([doc_lens], pa.list_(pa.int64())), pa.array([dump(np.concatenate(ids))], pa.binary())], ["shard", "start", "doc_ids", "doc_lens", "payload"])
+
+        for b in common.slices(batches, most=SLICE):
+            coded, counts = tool.encode(b.column(1))
+            coded = np.insert(coded, np.cumsum(counts), end_id)
+            at = 0
+            for doc_id, n in zip(b.column(0).to_pylist(), (counts + 1).tolist()):
+                ids.append(coded[at : at + n])
                 doc_ids.append(doc_id)
-                doc_lens.append(len(coded) // 4 + 1)
-                held += doc_lens[-1]
+                doc_lens.append(n)
+                at += n
+                held += n
                 if held >= SEGMENT:
                     yield close()
                     start, ids, doc_ids, doc_lens, held = start + held, [], [], [], 0
+            ids = [np.concatenate(ids)] if ids else []  # not views that keep the whole slice
         if doc_ids:
             yield close()
 
@@ -255,4 +310,6 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     to = f"{common.shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     write(common.table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), to, end_id=1, apart=True)
-    return read(spark, to, digest=True)
+    told = common.stash(read(spark, to, digest=True))  # a few numbers a document; the store itself is not left behind
+    common.remove(spark, to)
+    return told

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,7 +278,6 @@ def test_token_store(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     start = 0
     got = {r.doc_id: r for r in token_store.op8_token_store(spark, SF).collect()}
     for d in sorted(texts):
@@ -285,9 +285,23 @@ def test_token_store(spark, texts):
         r = got[d]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    odd = [x.encode() for x in ODD if x] + ["ΑΣ ΣΑΣ İ".encode(), "a b c d".encode()]
-    for x, ids in zip(odd, token_store.Encoder(P.path("word_bpe_49k.json"), True).encode(odd)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x.decode(), add_special_tokens=False).ids
+
+
+def test_token_ids_are_the_library_s(monkeypatch, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    odd = [*ODD, "ΑΣ ΣΑΣ İ É É A", "a b c d", "a <|endoftext|> b", "x<|startoftext|>y z", "<|ENDOFTEXT|> q", "<|endof<|endoftext|> text|>", "it'S 'S", " lead  trail "]
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in [*odd, *texts.values()]]
+    for apart in (True, False):
+        e = token_store.Encoder(P.path("word_bpe_49k.json"), apart)
+        for cache in (1_500_000, 1_000):  # the second time words are forgotten on the way
+            monkeypatch.setattr(token_store, "CACHE", cache)
+            at, rows = 0, [*odd, *texts.values()]
+            for lo in range(0, len(rows), 50):
+                ids, counts = e.encode(pa.array(rows[lo : lo + 50], pa.string()))
+                assert ids.tolist() == [i for w in want[lo : lo + 50] for i in w] and counts.tolist() == list(map(len, want[lo : lo + 50]))
 
 
 def brute_groups(docs):
