@@ -115,20 +115,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+#: Powers that are kept for the next batch, of each base.
+KEPT = 1 << 16
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept for the next batch."""
+def powers(base: int, n: int, prime: int = 0) -> np.ndarray:
+    """base**0 .. base**(n-1), modulo the prime if one is named (below 2**31), else modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
+        size = max(n, 1 << 10)
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base & (2**64 - 1), np.uint64)]))
-        _powers[base] = have
+            if prime:
+                have = np.ones(size, np.uint64)
+                at = 1
+                while at < size:
+                    some = have[: min(at, size - at)]
+                    have[at : at + len(some)] = some * np.uint64(pow(base, at, prime)) % np.uint64(prime)
+                    at *= 2
+            else:
+                have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base & (2**64 - 1), np.uint64)]))
+        _powers[base] = have if size <= KEPT else have[:KEPT].copy()
     return have[:n]
 
 
-R_BYTE, R_WORD, R_WORD2 = 0x5851F42D4C957F2D, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F
+R_WORD, R_WORD2 = 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F
+#: Primes, and a base for each, of the polynomials over a word's bytes: over a field words of n bytes that differ agree for
+#: n of the bases at most, which modulo a power of two is not so.
+BYTES = ((2_147_483_647, 1_583_458_089), (2_147_483_629, 784_588_716))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,7 +151,7 @@ _LOWER[65:91] += 32
 def word_hashes(docs: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit content hash of every word of the documents, and where each document's words begin (len(docs)+1).
 
-    A word's hash is a polynomial over its bytes, read off prefix sums, and then mixed; it is the same in every process.
+    A word's hash is two polynomials over its bytes, modulo two primes, mixed; it is the same in every process.
     """
     data = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
     if lower:
@@ -155,10 +168,19 @@ def word_hashes(docs: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     inside = np.flatnonzero(~space)
     offset = inside - starts[word_of]
     top = int(offset.max()) + 1 if len(offset) else 1
-    terms = (data[inside].astype(np.uint64) + np.uint64(1)) * powers(R_BYTE, top)[offset]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    first = np.concatenate([[0], np.cumsum(ends - starts)])
-    return mix(total[first[1:]] - total[first[:-1]]), bounds
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    values = data[inside].astype(np.uint64)
+    values += np.uint64(1)
+    first = np.concatenate([[0], np.cumsum(ends - starts)[:-1]])
+    # A term is below 2**39, so that sums are exact for words of up to 32 MB; longer ones are reduced on the way.
+    out = np.zeros(len(starts), np.uint64)
+    for shift, (prime, base) in zip((0, 32), BYTES):
+        terms = values * powers(base, top, prime)[offset]
+        if top > 1 << 24:
+            terms %= np.uint64(prime)
+        out |= np.add.reduceat(terms, first) % np.uint64(prime) << np.uint64(shift)
+    return mix(out), bounds
 
 
 _inverses: dict[int, int] = {}

@@ -1,17 +1,21 @@
 """Connected components of a link table, by rounds of joins.
 
 Each round replaces links by links to smaller ends (large star, then small star); the longest path shrinks as its
-logarithm. No node's links are ever gathered in one place: a round takes minima by node and joins them back.
+logarithm. No node's links are ever gathered in one place: a round takes minima by node and joins them back. Only a
+table of counted, bounded size is done by one task, to the same result.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import common
 
 MOST_ROUNDS = 60
+#: Links that one task holds, some tens of MB.
+AT_ONCE = 1 << 18
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -19,21 +23,33 @@ def _star(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """parents (node, parent), parent below node and one for each node at most; the same with the top of each node's tree as parent."""
-    now = common.stash(parents)
-    for _ in range(MOST_ROUNDS):
-        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-        step = common.stash(now.join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")))
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return now
-    raise RuntimeError("roots: no fixed point")
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Components of at most AT_ONCE edges (u, v) by union and find."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = top(x), top(y)
+                up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) of longs; returns (node, component), component the smallest node reachable, for nodes with links."""
     edges = common.stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= AT_ONCE:
+        return _in_one_task(edges)
     before = None
     for _ in range(MOST_ROUNDS):
         # Large star: each neighbour above u is linked to u's smallest instead.

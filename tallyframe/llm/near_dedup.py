@@ -1,16 +1,17 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-Documents are sets of word shingles. Equal sets are one class, represented by its smallest doc_id. In each of TREES
-independent trees a class goes down the path of its minwise tokens, one for each level; classes that share a path share
-a node. A node of at most SMALL classes is compared exhaustively; a larger one compares its classes with one drawn by
-lot, at the first level also with that of its classes which was most similar to those drawn, and branches again. The
-latter stands in the middle of a large group, so that it reaches members few others do. Whatever stays in different
-components although it shared a large node is joined exactly in the end (remainder). Sketches of the same minwise tokens rule out what cannot reach the similarity; what remains is
-confirmed on the full sets, and linked classes form components. A pair at the limit of similarity meets in one tree's
-first level with probability 0.75, so TREES of them miss it with 0.25 ** TREES where nodes are small.
-
-Confirming comes in two passes: first each class with its most similar earlier candidate, then only candidates that are
-not in one component yet. A large group of near copies so costs about one comparison for each member.
+Documents are sets of word shingles. Equal sets are one class. In each of TREES independent trees a class goes to the
+node of its minwise token; a node of at most SMALL classes is compared exhaustively. A larger node first compares its
+classes with one drawn by lot, and with that of its classes which was most similar to those drawn: that costs one
+comparison for each class, and links most of a large group. A node whose classes are linked by then is done. Where at
+most FEW stand apart from the rest, these are compared with all of the node; any other node branches: it draws one or
+two of the minwise positions, 1 / 0.75 on the average, and sends its classes down by their tokens there, so that a pair
+at the limit of similarity is expected in one child of each node it is in, however deep. What is still larger after
+LEVELS is compared all the same, in blocks: nothing is left out for a node's size.
+
+Sketches of the minwise tokens, a byte each, rule out what cannot reach the similarity; what remains is confirmed on the
+full sets, and linked classes form components. A pair at the limit of similarity misses the first level of all trees
+with probability 0.25 ** TREES; only pairs between components that are not linked otherwise depend on it at all.
 
 Edge cases: a null or empty text has no shingles and no links; with fewer words than a shingle the whole sequence is
 one; texts of any length are taken whole; repeated rows with one doc_id are one document if their sets agree, and are
@@ -26,18 +27,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import common
-from tallyframe.llm.components import components, roots
+from tallyframe.llm.components import components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-TREES, LEVELS = 20, 5
-SLOTS = TREES * LEVELS
-#: Classes of a node that are compared exhaustively.
-SMALL = 24
+#: Trees, minwise positions of a sketch (the first TREES of them are the trees' first tokens), and levels below the first.
+TREES, SLOTS, LEVELS = 16, 100, 8
+#: Classes of a node that are compared exhaustively; classes that stand apart in a node and are compared with all of it.
+SMALL, FEW = 24, 1024
+#: Classes of a node that are compared in one task, those apart and all: larger nodes are split into blocks and parts.
+BLOCK, PART = 1024, 4096
 #: Sketches agree in so many of SLOTS places at least: 75 are expected at 0.75, and this is over five deviations less.
 AGREE = 52
+#: Bytes of shingles in one block of sets that are confirmed together.
+BLOCK_BYTES = 8 << 20
 SLICE = 2 << 20
+PAIR = "a long, b long, agree int"
+PAIR_TYPES = (pa.int64(), pa.int64(), pa.int32())
 
 
 def shingle_sets(docs: list[bytes], k: int) -> list[np.ndarray]:
@@ -55,63 +62,83 @@ def shingle_sets(docs: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """[set, slot]: the smallest of each slot's hash over the set; sets are not empty."""
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """[set, tree]: the first minwise token of each tree; [set, slot]: the last byte of each minwise token; sets are not empty."""
     flat = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets)])[:-1]
     draw = np.random.default_rng(20_240_229)
-    odd = draw.integers(0, 1 << 63, slots, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = draw.integers(0, 1 << 63, slots, np.uint64)
-    out = np.zeros((len(sets), slots), "<u4")
-    for j in range(slots):
-        x = flat * odd[j] + add[j]
+    odd = draw.integers(0, 1 << 63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
+    add = draw.integers(0, 1 << 63, SLOTS, np.uint64)
+    heads, slots = np.zeros((len(sets), TREES), "<u4"), np.zeros((len(sets), SLOTS), np.uint8)
+    for j in range(SLOTS):
+        x = flat * odd[j]
+        x += add[j]
         x ^= x >> np.uint64(29)
         x *= common.MIX1
-        out[:, j] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), first)
-    return out
+        x >>= np.uint64(32)
+        least = np.minimum.reduceat(x.astype(np.uint32), first)
+        slots[:, j] = least.astype(np.uint8)
+        if j < TREES:
+            heads[:, j] = least
+    return heads, slots
 
 
 def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and its sketch (null for an empty set)."""
+    """doc_id, text_key, n_shingles, two hashes of the set, and its heads and sketch (null for an empty set)."""
 
     def run(batches):
         common.no_tool()
         for b in common.slices(batches, most=SLICE):
             sets = shingle_sets(common.blobs(b), shingle)
             full = [s for s in sets if len(s)]
-            rows = iter(sketches(full, SLOTS)) if full else iter(())
-            out = ([], [], [], [])
+            heads, slots = sketches(full) if full else ((), ())
+            rows = iter(zip(heads, slots))
+            out = ([], [], [], [], [])
             for s in sets:
-                x = (len(s), int(np.sum(s, dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(common.mix(s)).view(np.int64)) if len(s) else 0, next(rows).tobytes() if len(s) else None)
+                x = (len(s), int(np.sum(s, dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(common.mix(s)).view(np.int64)) if len(s) else 0, *(x.tobytes() for x in next(rows))) if len(s) else (0, 0, 0, None, None)
                 for to, v in zip(out, x):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "text_key", "n_shingles", "s1", "s2", "heads", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, heads binary, sketch binary")
 
 
-PAIR = "a long, b long, agree int"
+def table_of(column) -> np.ndarray:
+    """[row, slot] of a column of sketches."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SLOTS)
+
+
+def sizes_allow(n, m):
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
 
+def batch_of(found: list[tuple]) -> pa.RecordBatch:
+    """Pairs (p, q, agree) as a < b."""
+    p, q, agree = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.minimum(p, q), np.maximum(p, q), agree.astype(np.int32)), PAIR_TYPES)], ["a", "b", "agree"])
 
-def exhaustive(nodes: DataFrame) -> DataFrame:
-    """nodes (members: array of rep, n, sketch; at most SMALL): pairs whose sketches and sizes allow the similarity."""
+
+def exhaustive(nodes: DataFrame, across: bool = False) -> DataFrame:
+    """nodes (members: array of rep, n, sketch and, if across, component; at most SMALL): pairs (of two components, if
+    across) whose sketches and sizes allow the similarity."""
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [])
-            members = batch.column(0)
+            members, found = batch.column(0), []
             for i in range(batch.num_rows):
                 m = members[i].values
-                rep, n = np.asarray(m.field("rep")), np.asarray(m.field("n"))
-                s = np.frombuffer(b"".join(m.field("sketch").to_pylist()), "<u4").reshape(len(rep), SLOTS)
+                rep, n, s = np.asarray(m.field("rep")), np.asarray(m.field("n")), table_of(m.field("sketch"))
                 x, y = np.triu_indices(len(rep), 1)
+                if across:
+                    c = np.asarray(m.field("component"))
+                    two = c[x] != c[y]
+                    x, y = x[two], y[two]
                 agree = (s[x] == s[y]).sum(axis=1)
-                ok = (agree >= AGREE) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-                p, q = rep[x[ok]], rep[y[ok]]
-                for to, v in zip(out, (np.minimum(p, q), np.maximum(p, q), agree[ok])):
-                    to.append(v)
-            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "agree"])
+                ok = (agree >= AGREE) & sizes_allow(n[x], n[y])
+                found.append((rep[x[ok]], rep[y[ok]], agree[ok]))
+            yield batch_of(found)
 
     return nodes.mapInArrow(run, PAIR)
 
@@ -124,9 +151,8 @@ def with_drawn(large: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             rep, n, other, m = (np.asarray(b.column(i)) for i in (0, 1, 3, 4))
-            s, t = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(b.num_rows, SLOTS) for i in (2, 5))
-            agree = (s == t).sum(axis=1).astype(np.int32)
-            ok = (agree >= AGREE) & (rep != other) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            agree = (table_of(b.column(2)) == table_of(b.column(5))).sum(axis=1).astype(np.int32)
+            ok = (agree >= AGREE) & (rep != other) & sizes_allow(n, m)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(other), pa.array(agree), pa.array(ok)], ["rep", "other", "agree", "ok"])
 
     return large.select("rep", "n", "sketch", "drawn_rep", "drawn_n", "drawn_sketch").mapInArrow(run, "rep long, other long, agree int, ok boolean")
@@ -136,120 +162,193 @@ def possible(compared: DataFrame) -> DataFrame:
     return compared.where("ok").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), "agree")
 
 
-def token(level: int):
-    """The minwise token of a tree's level, as four bytes of the sketch."""
-    return F.expr(f"substring(sketch, (tree * {LEVELS} + {level}) * 4 + 1, 4)")
-
-
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b, agree) of classes (rep, n, sketch) that meet in a node and may reach the similarity; (path, rep) of large first nodes."""
+    """classes (rep, n, heads, sketch): distinct pairs (a < b, agree) that meet in a small node, or with a drawn class of
+    a larger one, and may reach the similarity; and (path, rep) of larger nodes."""
     trees = F.array(*[F.lit(t) for t in range(TREES)])
-    paths = classes.select("rep", F.explode(trees).alias("tree"), "sketch").select("rep", "tree", F.xxhash64("tree", token(0)).alias("path"))
+    paths = classes.select("rep", F.explode(trees).alias("tree"), "heads").select("rep", F.xxhash64("tree", F.expr("substring(heads, tree * 4 + 1, 4)")).alias("path"))
     sizes = common.stash(paths.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1))
     # Sketches are fetched only for classes that share a node with another.
     here = common.stash(paths.join(sizes, "path"))
-    level = common.stash(here.join(classes, "rep"))
-    crowded = level.where(F.col("size") > SMALL).select("path", "rep")
-    found = []
-    for depth in range(LEVELS):
-        if depth and level.isEmpty():
-            break
-        small = level.where(F.col("size") <= SMALL).groupBy("path").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
-        found.append(exhaustive(small.select("members")))
-        large = level.where(F.col("size") > SMALL)
-        if large.isEmpty():
+    level = common.stash(here.join(classes.drop("heads"), "rep"))
+    small = level.where(F.col("size") <= SMALL).groupBy("path").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
+    found = exhaustive(small.select("members"))
+    large = level.where(F.col("size") > SMALL)
+    lot = F.struct(F.xxhash64("path", "rep").alias("lot"), F.col("rep").alias("drawn_rep"), F.col("n").alias("drawn_n"), F.col("sketch").alias("drawn_sketch"))
+    drawn = common.stash(large.groupBy("path").agg(F.min(lot).alias("drawn")).select("path", "drawn.*"))
+    if not drawn.isEmpty():
+        compared = common.stash(with_drawn(large.join(drawn, "path")))
+        middle = compared.where("rep <> other").groupBy("rep").agg(F.avg("agree").alias("mean"))
+        lead = F.struct("mean", F.col("rep").alias("drawn_rep"), F.col("n").alias("drawn_n"), F.col("sketch").alias("drawn_sketch"))
+        best = common.stash(common.stash(large.join(middle, "rep")).groupBy("path").agg(F.max(lead).alias("best")).select("path", "best.drawn_rep", "best.drawn_n", "best.drawn_sketch"))
+        found = found.unionAll(possible(compared)).unionAll(possible(with_drawn(large.join(best, "path"))))
+    return common.stash(found.groupBy("a", "b").agg(F.max("agree").alias("agree"))), large.select("path", "rep")
+
+
+def to_compare(level: DataFrame) -> DataFrame:
+    """(near, rep, apart): what has to be compared on full sets, of level (path, rep, n, component, sketch; size, main,
+    n_out of the node). Those apart from the node's commonest component, main, are held against all of the node, in
+    blocks and parts; who meets a class of another component whose sketch and size allow the similarity is returned for
+    the component near, once: as many rows as classes, not as pairs."""
+    blocks, parts = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("size") / PART).cast("int")
+    block_of, part_of = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int")
+    row = ["path", "rep", "n", "component", "sketch"]
+    out = level.where("component <> main").select(*row, block_of.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    all_ = level.select(*row, "main", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), part_of.alias("part"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        hit = np.zeros(right.num_rows, bool)
+        found = []
+        if left.num_rows and right.num_rows:
+            n, c, s = right.column("n").to_numpy(), right.column("component").to_numpy(), table_of(right.column("sketch"))
+            for rep, m, d, t in zip(*(left.column(k).to_pylist() for k in ("rep", "n", "component", "sketch"))):
+                may = np.flatnonzero((c != d) & sizes_allow(n, m))
+                may = may[(s[may] == np.frombuffer(t, np.uint8)).sum(axis=1) >= AGREE]
+                hit[may] = True
+                if len(may):
+                    found.append(rep)
+        y = right.column("rep").to_numpy()[hit] if right.num_rows else np.zeros(0, np.int64)
+        near = right.column("main")[0].as_py() if right.num_rows else 0
+        return pa.table({"near": pa.array(np.full(len(found) + len(y), near), pa.int64()), "rep": pa.array(np.concatenate([np.array(found, np.int64), y])), "apart": pa.array(np.arange(len(found) + len(y)) < len(found))})
+
+    key = ["path", "block", "part"]
+    return out.groupBy(*key).cogroup(all_.groupBy(*key)).applyInArrow(compare, "near long, rep long, apart boolean")
+
+
+def apart(crowded: DataFrame, classes: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """What meets in larger nodes (crowded: path, rep) and is in two components (placed: rep, component) although it may
+    reach the similarity: pairs (a < b, agree) of small nodes further down, and (near, rep, apart) as of to_compare().
+    None if no node has two components."""
+    level = common.stash(crowded.join(placed, "rep"))
+    pairs, crowds = [], []
+    for depth in range(LEVELS + 1):
+        by = level.groupBy("path", "component").agg(F.count("*").alias("k")).groupBy("path")
+        told = by.agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most"))
+        told = common.stash(told.where("size > most.k").select("path", "size", F.col("most.component").alias("main"), (F.col("size") - F.col("most.k")).alias("n_out")))
+        if told.isEmpty():
             break
-        lot = F.struct(F.xxhash64("path", "rep").alias("lot"), F.col("rep").alias("drawn_rep"), F.col("n").alias("drawn_n"), F.col("sketch").alias("drawn_sketch"))
-        drawn = common.stash(large.groupBy("path").agg(F.min(lot).alias("drawn")).select("path", "drawn.*"))
-        compared = with_drawn(large.join(drawn, "path"))
-        if depth == 0:
-            compared = common.stash(compared)
-            middle = compared.where("rep <> other").groupBy("rep").agg(F.avg("agree").alias("mean"))
-            lead = F.struct("mean", F.col("rep").alias("drawn_rep"), F.col("n").alias("drawn_n"), F.col("sketch").alias("drawn_sketch"))
-            best = common.stash(common.stash(large.join(middle, "rep")).groupBy("path").agg(F.max(lead).alias("best")).select("path", "best.drawn_rep", "best.drawn_n", "best.drawn_sketch"))
-            found.append(possible(with_drawn(large.join(best, "path"))))
-        found.append(possible(compared))
-        if depth + 1 == LEVELS:
+        level = level.join(told, "path")
+        if not depth:
+            level = level.join(classes.select("rep", "n", "sketch"), "rep")
+        level = common.stash(level)
+        if depth:
+            small = level.where(F.col("size") <= SMALL).groupBy("path").agg(F.collect_list(F.struct("rep", "n", "component", "sketch")).alias("members"))
+            pairs.append(common.stash(exhaustive(small.select("members"), across=True)))
+        few = (F.col("n_out") <= FEW) | F.lit(depth == LEVELS)
+        crowds.append(common.stash(to_compare(level.where((F.col("size") > SMALL) & few))))
+        rest = level.where((F.col("size") > SMALL) & ~few)
+        if rest.isEmpty():
             break
-        deeper = common.stash(large.drop("size").withColumn("path", F.xxhash64("path", token(depth + 1))))
-        sizes = common.stash(deeper.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-        level = common.stash(deeper.join(sizes, "path"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return common.stash(out.groupBy("a", "b").agg(F.max("agree").alias("agree"))), crowded
+        # One position, or in one node of three another too: 1 / 0.75 on the average.
+        place = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(SLOTS)).cast("int")  # noqa: E731, B023
+        places = F.when(F.pmod(F.xxhash64("path", F.lit(0)), F.lit(3)) == 0, F.array_distinct(F.array(place(1), place(2)))).otherwise(F.array(place(1)))
+        rest = rest.select("path", "rep", "component", "n", "sketch", F.explode(places).alias("place"))
+        level = common.stash(rest.select(F.xxhash64("path", "place", F.expr("substring(sketch, place + 1, 1)")).alias("path"), "rep", "component", "n", "sketch"))
+    if not crowds:
+        return None
+    all_ = lambda found, schema: found[0] if len(found) == 1 else found[0].unionAll(all_(found[1:], schema)) if found else placed.sparkSession.createDataFrame([], schema)
+    return common.stash(all_(pairs, PAIR).groupBy("a", "b").agg(F.max("agree").alias("agree"))), common.stash(all_(crowds, None).groupBy("near", "rep").agg(F.max("apart").alias("apart")))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity; docs (doc_id, text) has one row for each end."""
-    ends = common.stash(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def full_sets(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The shingles of each class of reps (rep); texts (rep, text) has one text of each class at least."""
 
     def sets(batches):
         common.no_tool()
         for b in common.slices(batches, most=SLICE):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(common.blobs(b), shingle)], pa.binary())], ["doc_id", "shingles"])
+            found = shingle_sets(common.blobs(b), shingle)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "shingles"])
+
+    return common.stash(texts.join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, shingles binary"))
+
 
-    full = common.stash(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary"))
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Those pairs (a, b) whose full sets reach the similarity; each set travels once for each of its pairs."""
+    ends = common.stash(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct())
+    full = full_sets(ends, texts, shingle)
 
     def check(batches):
         for b in batches:
             out = ([], [])
             for a, c, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
                     out[0].append(a)
                     out[1].append(c)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    one = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    two = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return common.stash(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
+    one = full.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    two = full.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    return common.stash(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct())
 
 
-def remainder(crowded: DataFrame, placed: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame | None:
-    """All links (a, b) between components, of classes that stand in one large node (crowded: path, rep); placed (rep, component).
+def confirm_crowds(crowds: DataFrame, classes: DataFrame, placed: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between components, of crowds (near, rep, apart): each apart against all of its near, on full sets.
 
-    A prefix-filter join on full sets, so exact: in any order of shingles, two sets that reach the similarity share one of
-    the first n - ceil(n * PERCENT / 100) + 1 of each. Shingles of one component only come first, then rare ones. Of a
-    shingle's sets, those in its commonest component are not paired with each other, so a group that is linked already
-    costs nothing for its size. None if no node has two components.
+    The sets of those apart go together in blocks, and each other set travels once for each block. A task returns links
+    that join components within it, no more than there are classes; components() has the rest from these.
     """
-    here = common.stash(crowded.join(placed, "rep"))
-    mixed = here.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path")
-    left = common.stash(here.join(mixed, "path").select("rep", "component").distinct())
-    if left.isEmpty():
-        return None
-
-    def sets(batches):
-        common.no_tool()
-        for b in common.slices(batches, most=SLICE):
-            found = shingle_sets(common.blobs(b), shingle)
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            sums = [int(np.sum(s, dtype=np.uint64).view(np.int64)) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "component", "s", "n", "shingles"])
-
-    of = docs.join(left.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "component", "text")
-    full = common.stash(of.mapInArrow(sets, "rep long, component long, s long, n int, shingles array<long>"))
-    tokens = full.select("rep", "component", "s", "n", F.explode("shingles").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    # Only shingles of several components travel back to their sets; the others come first and are but counted.
-    held = tokens.join(common.stash(spread.select("token", "f")), "token").groupBy("rep", "component", "s", "n")
-    ranked = held.agg(F.array_sort(F.collect_set(F.struct("f", "token"))).alias("held"))
-    ranked = ranked.withColumn("own", F.col("n") - F.size("held")).withColumn("prefix", F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1"))
-    first = ranked.where("prefix > own").select("rep", "component", "s", "n", "own", F.posexplode(F.expr("slice(held, 1, int(prefix - own))")).alias("pos", "x"))
-    first = common.stash(first.select("rep", "component", "s", "n", (F.col("own") + F.col("pos")).alias("at"), F.col("x.token").alias("token")))
-    most = first.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("most"))
-    x = common.stash(first.join(most, "token").where("component <> most"))
-    x = x.select("token", "most", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "s", "n", "at")])
-    y = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "s", "n", "at")])
-    near = f"component_x <> component_y and 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and (component_y = most or rep_x < rep_y)"
-    met = x.join(y, "token").where(near).groupBy("rep_x", "s_x", "n_x", "rep_y", "s_y", "n_y").agg(F.min("at_x").alias("i"), F.min("at_y").alias("j"))
-    # Nothing before the first common shingle is shared: what follows it must be enough.
-    may = met.where(f"{100 + PERCENT} * least(n_x - i, n_y - j) >= {PERCENT} * (n_x + n_y)")
-    pairs = common.stash(may.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
-    return None if pairs.isEmpty() else confirm(pairs, docs, shingle)
+    rows = crowds.join(placed, "rep").join(classes.select("rep", (8 * F.col("n")).alias("bytes")), "rep")
+    size = rows.groupBy("near").agg(F.ceil(F.sum(F.when(F.col("apart"), F.col("bytes"))) / BLOCK_BYTES).cast("int").alias("blocks"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts"))
+    rows = common.stash(rows.join(common.stash(size.where("blocks > 0")), "near"))
+    full = full_sets(rows.select("rep").distinct(), texts, shingle).dropDuplicates(["rep"])
+    rows = common.stash(rows.join(full, "rep").select("near", "rep", "component", "apart", "shingles", "blocks", "parts"))
+    block_of, part_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    left = rows.where("apart").select("near", block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "component", "shingles")
+    right = rows.select("near", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part_of.alias("part"), "rep", "component", "shingles")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [])
+        if left.num_rows and right.num_rows:
+            x, cx = left.column("rep").to_pylist(), left.column("component").to_pylist()
+            sets = [np.frombuffer(s, np.uint64) for s in left.column("shingles").to_pylist()]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            for y, cy, s in zip(*(right.column(k).to_pylist() for k in ("rep", "component", "shingles"))):
+                s = np.frombuffer(s, np.uint64)
+                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero(100 * both >= PERCENT * (size + len(s) - both)).tolist():
+                    p, q = top(cx[i]), top(cy)
+                    if p != q:
+                        up[p] = q
+                        out[0].append(min(x[i], y))
+                        out[1].append(max(x[i], y))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    key = ["near", "block", "part"]
+    return common.stash(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(check, "a long, b long"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rep, component) after their components are linked by links (a, b) of reps."""
+    at = lambda end, name: labels.select(F.col("rep").alias(end), F.col("component").alias(name))
+    edges = common.stash(links.join(at("a", "ca"), "a").join(at("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if edges.isEmpty():
+        return labels
+    least = components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return common.stash(labels.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")))
+
+
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree) whose ends are in two components, with these (ca, cb)."""
+    at = lambda end, name: labels.select(F.col("rep").alias(end), F.col("component").alias(name))
+    return common.stash(pairs.join(at("a", "ca"), "a").join(at("b", "cb"), "b").where("ca <> cb"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -258,40 +357,34 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     told = common.stash(describe(docs, shingle))
     key = ["n_shingles", "s1", "s2"]
     real = told.where("n_shingles > 0 and doc_id is not null")
-    classes = common.stash(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")))
-    # A doc_id with rows of different sets stands in several classes; it links them.
+    whole = real.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("heads").alias("heads"), F.max("sketch").alias("sketch"))
+    # Numbers of their own, as rows with one doc_id may stand in several classes; written, so that they stay.
+    all_ = common.stash(whole.select(F.monotonically_increasing_id().alias("rep"), *key, "one.*", "heads", "sketch"))
+    classes = all_.select("rep", F.col("n_shingles").alias("n"), "heads", "sketch")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(all_.select("rep", "doc_id", "text_key"), ["doc_id", "text_key"]).select("rep", "text")
+    # A doc_id with rows of different sets links their classes.
     many = real.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    shared = common.stash(real.join(many, "doc_id", "left_semi").join(classes.drop("sketch"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    pairs, crowded = candidates(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"))
-    texts = docs.where("doc_id is not null").join(shared.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    held = common.stash(real.join(many, "doc_id", "left_semi").select("doc_id", *key).distinct().join(all_.select("rep", *key), key).select("doc_id", "rep"))
+    shared = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+
+    pairs, crowded = candidates(classes)
+    # First each class with the most similar of the earlier ones, then what is not in one component yet.
     first = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
-    # Each class has one link to an earlier one at most: a forest.
-    tree = roots(confirm(first, texts, shingle).select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    at = lambda name: tree.select(F.col("node").alias(name), F.col("parent").alias(f"c{name}"))
-    placed = lambda links: links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    apart = common.stash(placed(pairs.select("a", "b")))
-    links = placed(shared.select("a", "b")).select("ca", "cb")
-    if not apart.isEmpty():
-        links = links.unionAll(confirm(apart.select("a", "b"), texts, shingle).join(apart, ["a", "b"]).select("ca", "cb"))
-    links = common.stash(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    labels = classes.select(*key, "rep").join(tree.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("parent", "rep").alias("component"))
-
-    def joined(labels, links):
-        least = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
-        return labels.join(least, "component", "left").select(*key, "rep", F.coalesce("least", "component").alias("component"))
-
-    if not links.isEmpty():
-        labels = joined(labels, links)
-    labels = common.stash(labels)
-    at_rep = labels.select("rep", "component").distinct()
-    late = remainder(crowded, at_rep, texts, shingle)
-    if late is not None and not late.isEmpty():
-        of = lambda end, name: at_rep.select(F.col("rep").alias(end), F.col("component").alias(name))
-        labels = common.stash(joined(labels, common.stash(late.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))))
-    labels = labels.drop("rep")
-    out = told.join(labels, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    tree = components(confirm(first, texts, shingle)).withColumnRenamed("node", "rep")
+    labels = common.stash(classes.select("rep").join(tree, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
+    links, left = shared, between(pairs, labels)
+    if not left.isEmpty():
+        links = links.unionAll(confirm(left, texts, shingle))
+    labels = joined(labels, links)
+    if late := apart(crowded, classes, labels):
+        pairs, crowds = late
+        links = confirm_crowds(crowds, classes, labels, texts, shingle)
+        labels = joined(labels, links if pairs.isEmpty() else links.unionAll(confirm(pairs, texts, shingle)))
+    named = labels.join(all_.select("rep", *key, "doc_id"), "rep")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_key = common.stash(named.join(least, "component").select(*key, "component_id"))
+    out = told.select("doc_id", *key).join(of_key, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

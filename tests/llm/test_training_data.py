@@ -345,7 +345,31 @@ def test_near_dedup_of_large_groups(spark):
     assert got == brute_groups(docs)
 
 
-def test_components(spark):
+def test_near_dedup_branches_and_splits_nodes(spark, monkeypatch):
+    """Sixty pairs at 117 of 155 shingles; texts of different pairs share 116 of 156, which is too few, and fill large nodes."""
+    base = " ".join(f"b{i}" for i in range(120))
+    docs = [(i, f"{base} pair{i // 2} " + " ".join(f"own{i}x{j}" for j in range(19))) for i in range(120)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PART", 32)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 30_000)
+    for few in (1024, 20):  # the second time nodes branch until the last level
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (136, i - i % 2) for i, _ in docs}
+
+
+def test_near_dedup_of_rows_with_one_doc_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    docs = [(5, one), (5, two), (5, two), (9, one + " more"), (7, two + " less"), (8, "alone here"), (None, one), (6, None)]
+    got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == sorted([(5, 56, 5, True)] * 3 + [(9, 57, 5, False), (7, 57, 5, False), (8, 1, 8, True), (6, 0, 6, True)])
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None] == [(56, None, True)]
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 18])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{x: 1 for x in (1, 2, 3)}, **{x: 5 for x in (5, 6, 7, 8, 9)}, **{x: 100 for x in range(100, 131)}}
@@ -369,6 +393,24 @@ def test_word_hashes_are_by_content():
     assert h[1] == h[3] and h[2] == h[4] and h[0] == h[5] and len(set(h.tolist())) == 3
 
 
+def thue_morse(n):
+    """Two words that every polynomial modulo 2**64 takes for equal, if they are long enough."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_told_apart(spark):
+    a, b = thue_morse(10)
+    assert len(set(common.word_hashes([a.encode(), b.encode()])[0].tolist())) == 2
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.dedup(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert sorted(r.component_id for r in near_dedup.groups(df).collect()) == [1, 2]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
