@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import near_dedup, toxicity
 from tallyframe.operators import matching
 from tallyframe.plans import catalog
 
@@ -45,24 +44,3 @@ def test_positional_join_takes_every_document(spark):
             want[r.doc_id, (pos * 7 + r.doc_id) % 5] = (len(line), pos)
     got = {(r.doc_id, r.id): (r.chars, r.pos) for r in catalog.QUERIES["positional_join_last_all"](spark, SF).collect()}
     assert got == want and any(doc % 20 for doc, _ in got)
-
-
-def test_near_dedup_links_pairs_in_a_crowd(spark):
-    """Sixty pairs at 117 of 155 shingles; texts of different pairs share 116 of 156, which is too few, and fill large nodes."""
-    base = " ".join(f"b{i}" for i in range(120))
-    docs = [(i, f"{base} pair{i // 2} " + " ".join(f"own{i}x{j}" for j in range(19))) for i in range(120)]
-    got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (136, i - i % 2) for i, _ in docs}
-
-
-def test_toxicity_reads_long_tokens_and_splits_spaced_runs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
-    model = toxicity.character_model(docs.unionAll(spark.createDataFrame([("you are a stupid moron person " * 200,)], "text string")))
-    assert "stupid" in toxicity.words_of("st" + "u" * 60 + "pid", model)
-    assert "stupid" in toxicity.words_of("person/you/are/stupid/person/you/are/st*pid/s-t-u-p-1-d/person", model)
-    assert "moron" in toxicity.words_of("person/you/are/stupid/person/you/are/m0r0n/person", model)
-    starts = lambda text: {w[:n] for w in toxicity.unspaced(text, model) for n in toxicity.PREFIXES}
-    assert "stupid" in starts("you are a s t u p i d person")
-    assert "moron" in starts("a m o r o n")
-    assert {"stupid", "moron"} <= starts("s t u p i d m o r o n")
-    assert "stupid" in starts("a s t " + "u " * 20 + "p i d")
