@@ -26,7 +26,8 @@ LANES = 64
 #: Rows merged in step at a time, so that their arrays stay in the processor's cache.
 ROWS = 2048
 #: Words, and pre-tokens, whose ids a worker remembers; when it is full, those of the present batch stay.
-CACHE = 350_000
+CACHE = 220_000
+SLICE = 4 << 20
 #: In the arrays: no pair. Ranks are below 2**24, so that a rank and a position below LANES fit 31 bits.
 NONE = np.int32(2**31 - 1)
 
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False, text: st
 
     def run(batches):
         ranks = common.tool(("bpe", path, pattern), lambda: Ranks(path, pattern))
-        for b in common.slices(batches, text):
+        for b in common.slices(batches, text, SLICE):
             coded = ranks.encode(common.texts(b, text))
             new = [
                 pa.array([len(c) // 4 for c in coded], pa.int64()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch that are worked on together, by bytes of text.
 SLICE_BYTES = 8 << 20
+#: Bytes of a row group of tables between steps: a task's writer holds as much.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder driver and executors share; a temporary one only where the session names none and is a local one."""
     sc = spark.sparkContext
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there; the table goes when the driver's JVM ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
@@ -62,14 +65,26 @@ _tool: dict = {}
 def tool(key, make):
     """What a Python worker keeps from task to task under the key; a worker keeps one such thing, as they take memory."""
     if key not in _tool:
-        _tool.clear()
+        no_tool()
         _tool[key] = make()
     return _tool[key]
 
 
 def no_tool() -> None:
     """For tasks that need no such thing, and the memory for themselves."""
-    _tool.clear()
+    if _tool:
+        _tool.clear()
+        gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory that the allocators of this process hold goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def held_out(n: int, r: int):

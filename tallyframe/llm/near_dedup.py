@@ -250,8 +250,11 @@ def apart(crowded: DataFrame, classes: DataFrame, placed: DataFrame) -> tuple[Da
     return common.stash(all_(pairs, PAIR).groupBy("a", "b").agg(F.max("agree").alias("agree"))), common.stash(all_(crowds, None).groupBy("near", "rep").agg(F.max("apart").alias("apart")))
 
 
-def full_sets(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The shingles of each class of reps (rep); texts (rep, text) has one text of each class at least."""
+def full_sets(reps: DataFrame, texts: tuple[DataFrame, DataFrame], shingle: int = SHINGLE) -> DataFrame:
+    """The shingles of each class of reps (rep), from texts: (doc_id, text_key, text), and (rep, doc_id, text_key) of a
+    document of each class."""
+    docs, ones = texts
+    some = common.stash(ones.join(reps, "rep", "left_semi"))
 
     def sets(batches):
         common.no_tool()
@@ -259,7 +262,7 @@ def full_sets(reps: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> Data
             found = shingle_sets(common.blobs(b), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "shingles"])
 
-    return common.stash(texts.join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, shingles binary"))
+    return common.stash(docs.join(some, ["doc_id", "text_key"]).select("rep", "text").mapInArrow(sets, "rep long, shingles binary"))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -267,7 +270,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def confirm(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], shingle: int = SHINGLE) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity; each set travels once for each of its pairs."""
     ends = common.stash(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct())
     full = full_sets(ends, texts, shingle)
@@ -286,7 +289,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
     return common.stash(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct())
 
 
-def confirm_crowds(crowds: DataFrame, classes: DataFrame, placed: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def confirm_crowds(crowds: DataFrame, classes: DataFrame, placed: DataFrame, texts: tuple[DataFrame, DataFrame], shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between components, of crowds (near, rep, apart): each apart against all of its near, on full sets.
 
     The sets of those apart go together in blocks, and each other set travels once for each block. A task returns links
@@ -361,7 +364,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # Numbers of their own, as rows with one doc_id may stand in several classes; written, so that they stay.
     all_ = common.stash(whole.select(F.monotonically_increasing_id().alias("rep"), *key, "one.*", "heads", "sketch"))
     classes = all_.select("rep", F.col("n_shingles").alias("n"), "heads", "sketch")
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(all_.select("rep", "doc_id", "text_key"), ["doc_id", "text_key"]).select("rep", "text")
+    texts = docs.withColumn("text_key", F.xxhash64("text")), all_.select("rep", "doc_id", "text_key")
     # A doc_id with rows of different sets links their classes.
     many = real.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     held = common.stash(real.join(many, "doc_id", "left_semi").select("doc_id", *key).distinct().join(all_.select("rep", *key), key).select("doc_id", "rep"))

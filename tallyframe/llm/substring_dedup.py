@@ -4,14 +4,18 @@ A window is WINDOW consecutive words; a word goes if a window over it begins any
 anchor, the run of ANCHOR words in it with the smallest hash (the first of equals), so equal windows have equal anchors
 at the same place. A maximal row of windows with one anchor, and all words they cover, is a reference block.
 
-1. Index: anchors are counted over all documents; those met twice or more can be referred to.
-2. Parse: each document is factored greedily, left to right: a factor runs as long as its windows have one indexed
-   anchor, the rest are literals. A factor that equals another block as a whole is a duplicate span.
-3. Boundaries: where blocks of one anchor are not all equal, copies end inside them. There, and only there, windows
-   are compared one by one: those of every block met once, and of one copy of every other.
-
-What is left is decided by hashes of whole blocks and windows of over 90 bits. The two broadcasts are bit maps of fixed
-size that only skip work: where they are full, more rows are compared, with the same result.
+1. Index: anchors are counted over all documents; those met twice or more can be referred to. Blocks of such an anchor
+   that are equal as a whole are duplicate spans; the commonest block of an anchor is its reference block.
+2. Parse: where the blocks of an anchor are not all equal, each is factored against the reference block: from the anchor
+   the factor is extended greedily, word by word, to the left and to the right. A factor of WINDOW words or more is a
+   duplicate span, in the document and in the reference.
+3. Boundaries: a factor ends where its document leaves the reference. Windows across its ends, and only these, are
+   compared with those of the anchor's other blocks, each of which is a reference to the others.
+
+A window that equals one of the reference holds the anchor at the same place, so it is inside of the factor; one that
+equals a window of another block is across the ends of both factors. So the parse is exact, but for the hashes of words,
+of 62 bits, of blocks and of windows, of over 90 bits. The two broadcasts are bit maps of fixed size that only skip
+work: where they are full, more rows are compared, with the same result.
 
 Edge cases: a null or empty text has no words; a text of under WINDOW words keeps all; a text may repeat itself; texts
 of any length are parsed whole; repeated rows are copies of each other, so that both lose their windows; a null doc_id
@@ -37,6 +41,8 @@ MAP_BITS = 27
 PIECE = 1 << 13
 SLICE = 2 << 20
 KEY = ["doc_id", "text_key"]
+#: Columns that dedup() adds.
+NEW = ("n_words", "n_removed", "kept_sha256")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -44,14 +50,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def factors(docs: list[bytes], window: int, anchor: int):
-    """All blocks of the documents: document, first window (from the document's start), windows, anchor hash, block
-    hash; and the hashes of all words with the documents' bounds."""
+def cut_blocks(docs: list[bytes], window: int, anchor: int):
+    """All blocks of the documents: document, first window (from the document's start), windows, anchor hash, block hash,
+    and the anchor's place in the block; and the hashes of all words with the documents' bounds."""
     words, bounds = common.word_hashes(docs)
     n, span = len(words), window - anchor + 1
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), words, bounds
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none, words, bounds
     least = common.window_hashes(words, anchor)
     where = np.arange(len(least))
 
@@ -69,7 +75,7 @@ def factors(docs: list[bytes], window: int, anchor: int):
     doc_of = np.repeat(np.arange(len(docs)), np.diff(bounds))
     starts = np.flatnonzero(np.arange(n) + window <= bounds[1:][doc_of])
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), words, bounds
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none, words, bounds
     at = where[starts]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     lo, count = starts[first], np.diff(np.concatenate([first, [len(starts)]]))
@@ -78,7 +84,7 @@ def factors(docs: list[bytes], window: int, anchor: int):
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * common.powers(inverse, n), dtype=np.uint64)])
     block = common.mix((total[lo + length] - total[lo]) * common.powers(common.R_WORD, n)[lo + length - 1] + length.astype(np.uint64))
     doc = doc_of[lo]
-    return doc, lo - bounds[doc], count, all_anchors[at[first]], block, words, bounds
+    return doc, lo - bounds[doc], count, all_anchors[at[first]], block, at[first] - lo, words, bounds
 
 
 def slot(x: np.ndarray) -> np.ndarray:
@@ -135,7 +141,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     def anchors(batches):
         common.no_tool()
         for b in common.slices(batches, most=SLICE):
-            _, _, _, h, *_ = factors(common.blobs(b), window, anchor)
+            _, _, _, h, *_ = cut_blocks(common.blobs(b), window, anchor)
             yield pa.RecordBatch.from_arrays([signed(h)], ["anchor"])
 
     met = docs.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -144,7 +150,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     def parse(batches):
         common.no_tool()
         for b in common.slices(batches, most=SLICE):
-            doc, lo, count, h, block, *_ = factors(common.blobs(b), window, anchor)
+            doc, lo, count, h, block, *_ = cut_blocks(common.blobs(b), window, anchor)
             keep = marked(index.value, h)
             doc = doc[keep]
             columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(lo[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)), signed(h[keep]), signed(block[keep])]
@@ -155,7 +161,8 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     blocks = parsed.groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "lo")).alias("one"))
     blocks = common.stash(blocks)
     # Written before the join, so that both its sides are plain tables and a hot anchor's blocks can be split.
-    kinds = common.stash(blocks.groupBy("anchor").agg(F.sum("copies").alias("all_copies"), F.min("copies").alias("fewest")).where(F.col("all_copies") > 1))
+    kinds = blocks.groupBy("anchor").agg(F.sum("copies").alias("all_copies"), F.min("copies").alias("fewest"), F.max(F.struct("copies", "block")).alias("most"))
+    kinds = common.stash(kinds.where(F.col("all_copies") > 1).select("anchor", "fewest", F.col("most.block").alias("ref_block")))
     known = common.stash(blocks.join(kinds, "anchor").select("anchor", "block", "copies", "fewest", "one"))
     # Blocks that have an equal: the whole factor is a span.
     equal = known.where(F.col("copies") > 1).select("anchor", "block")
@@ -164,27 +171,83 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     open_blocks = known.where(F.col("fewest") == 1).select("one.*")
     chosen = spark.sparkContext.broadcast(bit_map(open_blocks, lambda b: occurrence(numbers(b, 0), numbers(b, 1), numbers(b, 2)).view(np.int64)))
 
-    def windows(batches):
+    def fetch(batches):
         common.no_tool()
         for b in common.slices(batches, most=SLICE):
-            doc, lo, count, h, _, words, bounds = factors(common.blobs(b), window, anchor)
+            doc, lo, count, h, block, place, words, bounds = cut_blocks(common.blobs(b), window, anchor)
             keep = marked(index.value, h)
             keep[keep] = marked(chosen.value, occurrence(numbers(b, 0)[doc[keep]], numbers(b, 1)[doc[keep]], lo[keep]))
             doc, lo, count = doc[keep], lo[keep], count[keep]
-            ends = np.cumsum(count)
-            pos = np.repeat(lo - (ends - count), count) + np.arange(int(count.sum()))
-            doc = np.repeat(doc, count)
-            at = pos + bounds[doc]
-            one = common.rolling_hashes(words, window)
-            two = common.rolling_hashes(words, window, common.R_WORD2)
-            some = pa.array(doc)
-            columns = [b.column(0).take(some), b.column(1).take(some), pa.array(pos.astype(np.int32)), signed(one[at]), pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*KEY, "lo", "w1", "w2"])
-
-    single = common.stash(rows.mapInArrow(windows, "doc_id long, text_key long, lo int, w1 long, w2 int"))
-    twice = common.stash(single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("w1", "w2"))
-    some = single.join(twice, ["w1", "w2"]).select(*KEY, "lo", (F.col("lo") + window).alias("hi"))
-    return whole.unionAll(some)
+            some, at = pa.array(doc), bounds[doc] + lo
+            held = [words[i : i + n].tobytes() for i, n in zip(at.tolist(), (count + window - 1).tolist())]
+            columns = [signed(h[keep]), signed(block[keep]), b.column(0).take(some), b.column(1).take(some), pa.array(lo.astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", *KEY, "lo", "place", "words"])
+
+    held = common.stash(rows.mapInArrow(fetch, "anchor long, block long, doc_id long, text_key long, lo int, place int, words binary"))
+    heads = kinds.where(F.col("fewest") == 1).select("anchor", F.col("ref_block").alias("block"))
+    refs = common.stash(held.join(heads, ["anchor", "block"]).dropDuplicates(["anchor"]).select("anchor", *[F.col(c).alias(f"ref_{c}") for c in ("block", *KEY, "lo", "place", "words")]))
+    pairs = held.join(refs, "anchor").where("block <> ref_block")
+    found = common.stash(factored(pairs, window))
+    twice = common.stash(found.where("w1 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("w1", "w2"))
+    some = found.join(twice, ["w1", "w2"]).select(*KEY, "lo", "hi")
+    return whole.unionAll(found.where("w1 is null").select(*KEY, "lo", "hi")).unionAll(some)
+
+
+def leading(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many values agree, most at most, of a from at and b from bt on, in steps of 1 or -1."""
+    out = np.zeros(len(most), np.int64)
+    full = np.flatnonzero(most > 0)
+    if len(full):
+        n = most[full]
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = a[np.repeat(at[full], n) + step * k] != b[np.repeat(bt[full], n) + step * k]
+        out[full] = np.minimum.reduceat(np.where(differ, k, np.repeat(n, n)), first)
+    return out
+
+
+def factored(pairs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_key, lo, hi, w1, w2) of blocks beside their reference blocks (ref_): duplicate spans of both with null
+    w1, and the windows outside of each block's factor with their hashes."""
+
+    def run(batches):
+        common.no_tool()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            of = lambda name: np.asarray(c[name]).astype(np.int64)  # noqa: E731, B023
+            x, y = ([np.frombuffer(v, np.uint64) for v in c[n].to_pylist()] for n in ("words", "ref_words"))  # noqa: B023
+            n, m = (np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y))
+            x, y = np.concatenate(x), np.concatenate(y)
+            at, bt, p, q = np.cumsum(n) - n, np.cumsum(m) - m, of("place"), of("ref_place")
+            left = leading(x, at + p - 1, y, bt + q - 1, np.minimum(p, q), -1)
+            right = leading(x, at + p, y, bt + q, np.minimum(n - p, m - q), 1)
+            lo, hi = p - left, p + right  # the factor's ends in the block
+            long = hi - lo >= window
+            lo, hi = np.where(long, lo, 0), np.where(long, hi, 0)
+            count = n - window + 1
+            row = np.repeat(np.arange(len(n)), count)
+            start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            out = ~((start >= lo[row]) & (start + window <= hi[row]))
+            row, start = row[out], start[out]
+            one, two = (common.rolling_hashes(x, window, base)[at[row] + start] if len(row) else np.zeros(0, np.uint64) for base in (common.R_WORD, common.R_WORD2))
+            spans_of = np.flatnonzero(long)
+            take = pa.array(np.concatenate([spans_of, row]))
+            w1 = pa.array(np.concatenate([np.zeros(len(spans_of), np.int64), one.view(np.int64)]), mask=np.arange(len(take)) < len(spans_of))
+            w2 = pa.array(np.concatenate([np.zeros(len(spans_of), np.int32), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)]))
+            begin = of("lo")[np.asarray(take)] + np.concatenate([lo[spans_of], start])
+            end = of("lo")[np.asarray(take)] + np.concatenate([hi[spans_of], start + window])
+            yield pa.RecordBatch.from_arrays([c["doc_id"].take(take), c["text_key"].take(take), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), w1, w2], names)
+            # The same factors, where the reference has them; equal ones once.
+            shift = of("ref_lo") + q - p
+            same = pa.table([c["ref_doc_id"].take(pa.array(spans_of)), c["ref_text_key"].take(pa.array(spans_of)), pa.array((shift + lo)[spans_of].astype(np.int32)), pa.array((shift + hi)[spans_of].astype(np.int32))], names[:4])
+            for part in same.group_by(names[:4]).aggregate([]).to_batches():
+                none = [pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(k)) for k in names[:4]], *none], names)
+
+    names = [*KEY, "lo", "hi", "w1", "w2"]
+    return pairs.select("doc_id", "text_key", "lo", "place", "words", "ref_doc_id", "ref_text_key", "ref_lo", "ref_place", "ref_words").mapInArrow(run, "doc_id long, text_key long, lo int, hi int, w1 long, w2 int")
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
@@ -201,8 +264,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text
     Rows that lose nothing keep their text as it is; in others kept words are joined by one space. Columns of docs
     named like the new ones are replaced; keep_text=False leaves out all but doc_id and the new ones.
     """
-    new = {"n_words", "n_removed", "kept_sha256"}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in new and (keep_text or f.name in ("doc_id", "text"))]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in NEW and (keep_text or f.name in ("doc_id", "text"))]
     docs = docs.select([f"`{f.name}`" for f in kept])
     found = spans(docs, window, anchor).groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("found_spans"))
     found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), F.transform("found_spans", lambda s: s["lo"]).alias("found_lo"), F.transform("found_spans", lambda s: s["hi"]).alias("found_hi"))

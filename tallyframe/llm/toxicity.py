@@ -40,11 +40,11 @@ THRESHOLD = 0.7
 #: Hashed tables of the character model: trigrams and their contexts.
 TRI_BITS, BI_BITS = 20, 16
 #: Words held while counting; tokens a worker remembers.
-HELD, CACHE = 200_000, 400_000
+HELD, CACHE = 100_000, 150_000
 #: Longer tokens are read each time they come, so that what a worker remembers stays small.
 REMEMBERED = 40
 #: Log-probabilities the character model remembers.
-MEMO = 1 << 20
+MEMO = 1 << 17
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou", "§": "s", "ß": "b"}
 #: Characters that may only be fillers between letters, and log-probabilities of the channel.
@@ -78,6 +78,7 @@ def count_characters(docs: DataFrame) -> DataFrame:
     """Character trigram counts (bucket, n) over all texts; buckets below 2**TRI_BITS are trigrams, above it contexts."""
 
     def run(batches):
+        common.no_tool()
         seen: Counter = Counter()
         tri, bi = np.zeros(1 << TRI_BITS), np.zeros(1 << BI_BITS)
 
@@ -301,6 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> tuple[dict[st
     sample = one.where("toxic").orderBy(*order).limit(SAMPLE_TOXIC).unionAll(one.where("not toxic").orderBy(*order).limit(SAMPLE_CLEAN))
 
     def read(batches):
+        common.no_tool()
         memo: dict[str, list[str]] = {}
         for b in common.slices(batches):
             if len(memo) > CACHE // 8:
@@ -365,23 +367,23 @@ def character_model(docs: DataFrame) -> CharModel:
     return CharModel(counts["bucket"].to_numpy(np.int64), counts["n"].to_numpy())
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score added (a column of that name is replaced); labels (doc_id, toxic) teaches."""
+def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs with the column `name` added (one of that name is replaced); labels (doc_id, toxic) teaches."""
     from pyspark.sql import types as T
 
     model = character_model(docs)
     weights, base = train(docs, labels, model)
     held = docs.sparkSession.sparkContext.broadcast(Scorer(model, weights, base))
     key = f"toxicity {held._jbroadcast.id()}"
-    kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+    kept = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         tool = common.tool(key, lambda: copy.copy(held.value))
         tool.memo = {} if tool.memo is held.value.memo else tool.memo  # the broadcast's own stays empty
         for b in common.slices(batches):
             out = pa.array([tool.score(t) for t in common.texts(b)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], schema=pa.schema([*b.schema, pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, out], schema=pa.schema([*b.schema, pa.field(name, pa.float64())]))
 
     return docs.select([f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 

@@ -138,10 +138,8 @@ def test_decontamination_finds_reordered_passages(spark):
     assert {(r.doc_id, r.item_id, round(r.coverage, 3), r.n_tiles) for r in got.collect()} == {(1, 7, 1.0, 2), (2, 7, 0.625, 1)}
 
 
-def test_decontamination_against_brute_force(spark, texts):
-    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    got = {(r.doc_id, r.item_id): round(r.coverage, 6) for r in decontaminate.op2_decontaminate(spark, SF).collect()}
-    tokens = lambda t: re.findall(r"\w+", t.lower())
+def brute_contaminated(texts, items):
+    tokens = lambda t: re.findall(r"\w+", (t or "").lower())
     seeds = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     want = {}
     for d, t in texts.items():
@@ -154,7 +152,51 @@ def test_decontamination_against_brute_force(spark, texts):
                 share = brute_tiles([ids[k] for k in y], [ids[k] for k in w], 5) / len(y)
                 if share >= 0.5:
                     want[d, i] = round(share, 6)
-    assert got == want and want
+            elif 0 < len(y) < 5 and tuple(y) in {tuple(w[k : k + len(y)]) for k in range(len(w))}:
+                want[d, i] = 1.0
+    return want
+
+
+def test_decontamination_against_brute_force(spark, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): round(r.coverage, 6) for r in decontaminate.op2_decontaminate(spark, SF).collect()}
+    assert got == brute_contaminated(texts, items) and got
+
+
+def brute_scores(spark, docs, labels):
+    """Scores by the same classifier, with a plain character model over all words and every reading of short tokens."""
+    model = toxicity.character_model(docs)
+    weights, base = toxicity.train(docs, labels.select("doc_id", "toxic"), model)
+    out = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = [w for token in (r.text or "").split() for w in toxicity.words_of(token, model)] + toxicity.unspaced(r.text or "", model)
+        hits = {f for w in words for f in [f"={w}", *(w[:n] for n in (4, 5, 6, 7) if len(w) >= n)]}
+        z = base + sum(w for f, w in sorted(weights.items()) if f in hits)
+        out[r.doc_id] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return out
+
+
+def test_toxicity_scores_against_plain_code(spark):
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    labels = spark.read.parquet(f"{at}/labels.parquet").where(~common.held_out(3, 1))
+    want = brute_scores(spark, docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.op3_toxicity(spark, at).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want) and max(got.values()) > 0.7
+
+
+def test_decoding_against_all_readings(spark, texts):
+    """Viterbi finds the likeliest of all paths through a lattice."""
+    import itertools
+
+    model = toxicity.character_model(spark.read.parquet(f"{SF}/documents.parquet").select("text"))
+    for token in ("1d10t", "st*pid", "c1!p", "m-o-r0n", "zz$$", "a@b"):
+        best = -np.inf
+        for path in itertools.product(*toxicity.lattice(token)):
+            said = "".join(w for w, _ in path)
+            p = sum(q for _, q in path) + sum(model.log(x) for x in map("".join, zip("\n\n" + said, "\n" + said, said)))
+            best = max(best, p + model.log(("\n\n" + said)[-2:] + "\n"))
+        assert toxicity.decode(token, model)[1] == pytest.approx(best)
 
 
 def test_restored_words(spark):
@@ -166,6 +208,19 @@ def test_restored_words(spark):
     assert toxicity.unspaced("so s t u p i d it is", model) == ["stupid"]
 
 
+def test_toxicity_reads_long_tokens_and_splits_spaced_runs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    model = toxicity.character_model(docs.unionAll(spark.createDataFrame([("you are a stupid moron person " * 200,)], "text string")))
+    assert "stupid" in toxicity.words_of("st" + "u" * 60 + "pid", model)
+    assert "stupid" in toxicity.words_of("person/you/are/stupid/person/you/are/st*pid/s-t-u-p-1-d/person", model)
+    assert "moron" in toxicity.words_of("person/you/are/stupid/person/you/are/m0r0n/person", model)
+    starts = lambda text: {w[:n] for w in toxicity.unspaced(text, model) for n in toxicity.PREFIXES}
+    assert "stupid" in starts("you are a s t u p i d person")
+    assert "moron" in starts("a m o r o n")
+    assert {"stupid", "moron"} <= starts("s t u p i d m o r o n")
+    assert "stupid" in starts("a s t " + "u " * 20 + "p i d")
+
+
 def test_toxicity_held_out(spark):
     rows = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect()
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
@@ -415,20 +470,45 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r.doc_id: r.text for r in docs.collect()}
         out = stage(spark, docs, SF)
         if i < 4:
             assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{i}")
+        scored = docs
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         rows = {r.doc_id: r for r in docs.collect()}
-        if name == "near_dedup":
+        if name == "toxicity":
+            assert set(rows) == {d for d, s in brute_scores(spark, scored, labels).items() if s < 0.7}
+        elif name == "near_dedup":
             assert set(rows) == {d for d, x in brute_groups(before).items() if x[2]}
         elif name == "substring_dedup":
             assert {d: hashlib.sha256(b" ".join(r.text.encode().split())).hexdigest() for d, r in rows.items()} == {d: x[2] for d, x in zip(before, brute_repeats(before.values(), 35))}
-        elif name == "byte_bpe":
-            assert {d: r.decoded_sha256 for d, r in rows.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in before.items()}
+        elif name == "decontaminate":
+            assert set(rows) == set(before) - {d for d, _ in brute_contaminated(before, items)} and len(rows) < len(before)
         else:
-            assert set(rows) <= set(before)
+            assert {d: r.decoded_sha256 for d, r in rows.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in before.items()}
     assert rows
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, at):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = spark.read.parquet(f"{odd}/documents.parquet").withColumn("kept_id", F.lit(7)).withColumn("toxicity_score", F.lit(2.0)).withColumn("ids", F.lit("i"))
+    out = stage(spark, docs, odd)
+    rows = out.collect()
+    if at < 4:
+        assert out.columns == docs.columns
+        assert all((r.score, r.n_words, r.kept_id, r.toxicity_score, r.ids) == ("clash", 1, 7, 2.0, "i") for r in rows)
+    got = collections.Counter(r.doc_id for r in rows)
+    want = collections.Counter([*range(len(ODD)), 2, None])
+    assert got == want if name != "near_dedup" else set(got) == set(want)
+    if name == "substring_dedup":
+        assert {r.doc_id: r.text for r in rows if r.doc_id != 9} == {**{i: t for i, t in enumerate(ODD) if i != 9}, None: "null id"}
+        assert [r.text for r in rows if r.doc_id == 9] == [""]
+    assert stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty).collect() == []
