@@ -14,31 +14,55 @@ from tallyframe.llm import bpe, common, decontaminate, near_dedup, substring_ded
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text scores below the threshold; learns from all labels."""
-    scored = toxicity.score(docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    """Documents whose restored text scores below the threshold; learns from all labels.
+
+    A null or empty text has the base rate's score and stays; without usable labels all stay; repeated rows share their
+    score; further columns stay as they are, whatever their names; an empty table gives an empty table.
+    """
+    name = "toxicity_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    scored = toxicity.score(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"), name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, and all documents in no group."""
+    """The document with the smallest doc_id of each group of near duplicates, and all documents in no group.
+
+    A null or empty text is in no group; rows with one doc_id stay or go together; a row with a null doc_id stays; of
+    equals the smallest doc_id stays; further columns stay; an empty table gives an empty table.
+    """
     kept = near_dedup.groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that are repeated anywhere; n_chars follows the text."""
-    out = substring_dedup.dedup(docs)
+    """All documents, without the words of passages that are repeated anywhere; n_chars follows the text.
+
+    A null text stays null, an empty one empty; repeated rows lose what they share; a text that loses nothing stays as
+    it is; further columns stay; an empty table gives an empty table.
+    """
+    own = {c: f"{c}_of_input" for c in docs.columns if c.lower() in substring_dedup.NEW}  # not to be replaced
+    out = substring_dedup.dedup(docs.withColumnsRenamed(own)).drop(*substring_dedup.NEW).withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    A null or empty text holds none; rows with one doc_id go together; a row with a null doc_id stays, having no id to be
+    found by; further columns stay; an empty table of documents or items takes nothing away.
+    """
     found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian 32-bit words) of every text, with the digests that prove the round trip."""
+    """Token ids (little-endian 32-bit words) of every text, with the digests that prove the round trip.
+
+    A null or empty text has no ids; repeated rows give repeated results; further columns are left out; an empty table
+    gives an empty table.
+    """
     import public_tokenizers as P
 
     return bpe.encode(docs.select("doc_id", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
