@@ -49,7 +49,7 @@ rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS pos FROM win S
 ref AS (SELECT lg, ln, k, sum(cc[k]) AS y FROM classes, unnest(range(1, {N + 1})) AS u(k) GROUP BY ALL),
 cd AS {divergence("(SELECT r, u.k, cc[u.k] AS x, y FROM classes, unnest(range(1, " + str(N + 1) + ")) AS u(k) JOIN ref ON ref.lg = classes.lg AND ref.ln = classes.ln AND ref.k = u.k)")},
 tok AS (SELECT r, lg, ln, unnest(regexp_split_to_array(lower(t), '[^\p{{L}}]+')) AS tok FROM d),
-top AS (SELECT * FROM (SELECT lg, ln, tok, count(*) AS n, row_number() OVER (PARTITION BY lg, ln ORDER BY count(*) DESC, tok) AS k FROM tok WHERE length(tok) BETWEEN 1 AND {quality.SHORT_WORD} GROUP BY lg, ln, tok) WHERE k <= {quality.COMMON}),
+top AS (SELECT * FROM (SELECT lg, ln, tok, count(*) AS n, row_number() OVER (PARTITION BY lg, ln ORDER BY count(*) DESC, tok) AS k FROM tok WHERE tok <> '' GROUP BY lg, ln, tok) WHERE k <= {quality.COMMON}),
 seen AS (SELECT r, k, count(*) AS x FROM tok JOIN top USING (lg, ln, tok) GROUP BY r, k),
 total AS (SELECT lg, ln, sum(n_words) AS n FROM classes GROUP BY lg, ln), known AS (SELECT lg, ln, sum(n) AS n FROM top GROUP BY lg, ln), mine AS (SELECT r, sum(x) AS n FROM seen GROUP BY r),
 wd AS {divergence("(SELECT classes.r, top.k, coalesce(x, 0) AS x, top.n AS y FROM classes JOIN top ON top.lg = classes.lg AND top.ln = classes.ln LEFT JOIN seen ON seen.r = classes.r AND seen.k = top.k UNION ALL SELECT classes.r, 0, greatest(0, n_words - coalesce(mine.n, 0)), greatest(0, total.n - coalesce(known.n, 0)) FROM classes JOIN total USING (lg, ln) LEFT JOIN known USING (lg, ln) LEFT JOIN mine ON mine.r = classes.r)")},

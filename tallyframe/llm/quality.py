@@ -1,7 +1,7 @@
 """Quality rules with DataFrame functions only: divergence of a document from its language's references.
 
 References are gathered over all documents: for each value of lang (null is one of its own) the histogram of
-character classes, and the COMMON most frequent short words with their shares of all words. A document is compared to
+character classes, and the COMMON most frequent words with their shares of all words. A document is compared to
 its language's two references by Jensen-Shannon distance (base 2, 0 to 1). It fails if the distance of the character
 classes is over MAX_CLASS, given MIN_CHARS characters in it, or that of the words over MAX_WORDS, given MIN_WORDS words.
 Shorter documents aren't held against a histogram they are too short for.
@@ -22,8 +22,6 @@ from tallyframe.llm import common
 
 #: Words of a reference, and the characters that stand for them in a document's code.
 COMMON, CODES = 16, "abcdefghijklmnop"
-#: Only words of at most so many characters are candidates: a language's most frequent words are short.
-SHORT_WORD = 5
 MIN_CHARS, MIN_WORDS = 100, 50
 MAX_CLASS, MAX_WORDS = 0.33, 0.55
 #: Character classes, as patterns of what is not in them. Lower-case letters, white space and all other characters are
@@ -94,12 +92,12 @@ def of_lang(df: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """For each lang its COMMON most frequent short words and their counts (common, n)."""
-    # Letters only, and short: there are few such words, so that they are counted before the shuffle.
+    """For each lang its COMMON most frequent words and their counts (common, n)."""
+    # Letters only, counted in each task before the shuffle.
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
-    short = of_lang(docs).select(*KEYS, F.explode(words).alias("w")).where(F.length("w").between(1, SHORT_WORD))
+    all_ = of_lang(docs).select(*KEYS, F.explode(words).alias("w")).where("w <> ''")
     # The rank is limited in each task before the shuffle, so that a group's list is of COMMON words.
-    ranked = short.groupBy(*KEYS, "w").count().withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("count"), "w")))
+    ranked = all_.groupBy(*KEYS, "w").count().withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("count"), "w")))
     top = ranked.where(F.col("place") <= COMMON).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "w", "count"))).alias("top"))
     return top.select(*KEYS, F.col("top.w").alias("common"), F.col("top.count").alias("n"))
 
