@@ -105,6 +105,9 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[p
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield b.slice(at, to - at)
             at = to
+        if at and ends[-1] > most // 2:  # what was made of a large batch does not stay
+            del b, col
+            give_back()
 
 
 def texts(b: pa.RecordBatch, column: str = "text") -> list[str]:
