@@ -9,9 +9,10 @@ A pair that reaches the threshold shares at least so many seeds that an item may
 the index; this drops no pair, and a phrase common to all items brings no candidates. The benchmark is sent in blocks
 of bounded size, each against all documents.
 
-Edge cases: null and empty texts match nothing, nor does an item of under SEED tokens; texts of any length are taken
-whole; repeated documents and items give repeated pairs; a null id stays null; further columns are ignored; an empty
-table gives an empty table. Ties between equally long tiles go to the first in the item, then in the document.
+Edge cases: null and empty texts match nothing; an item of under SEED tokens is found where all of them stand in a
+row, and one without tokens nowhere; texts of any length are taken whole; repeated documents and items give repeated
+pairs; a null id stays null; further columns are ignored; an empty table gives an empty table. Ties between equally
+long tiles go to the first in the item, then in the document.
 """
 
 from __future__ import annotations
@@ -87,11 +88,21 @@ class Block:
         self.vocab: dict[str, int] = {}
         self.threshold, self.seed = threshold, seed
         self.ids, self.tokens = [], []
+        short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        ids: list[tuple[int | None, tuple[int, ...]]] = []
         for item_id, text in items:
             words = TOKENS((text or "").lower())
+            numbers = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
             if len(words) >= seed:
                 self.ids.append(item_id)
-                self.tokens.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
+                self.tokens.append(np.array(numbers, np.int64))
+            elif words:
+                ids.append((item_id, tuple(numbers)))
+        # Items too short for a seed come after the others; by length and tokens, their places.
+        for item_id, numbers in ids:
+            short.setdefault(len(numbers), {}).setdefault(numbers, []).append(len(self.ids))
+            self.ids.append(item_id)
+        self.short = short
         hashes = [self.seeds(t) for t in self.tokens]
         df = Counter(h for hs in hashes for h in set(hs.tolist()))
         self.every = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
@@ -120,12 +131,11 @@ class Block:
         flat = np.concatenate(parts)
         ends = np.cumsum([len(p) for p in parts])[1::2]
         n = len(flat) - k + 1
-        if n <= 0:
-            return []
         known = np.concatenate([[0], np.cumsum(flat > 0)])
-        at = np.flatnonzero(known[k:] - known[:-k] == k)
+        out = self.whole(flat, known, ends)
+        at = np.flatnonzero(known[k:] - known[:-k] == k) if n > 0 and self.tokens else np.zeros(0, np.int64)
         if not len(at):
-            return []
+            return out
         h = common.mix(flat.astype(np.uint64))
         value = h[at].copy()
         for j in range(1, k):
@@ -135,7 +145,6 @@ class Block:
         hit = self.every[near] == value
         at, value = at[hit], value[hit]
         owner = np.searchsorted(ends, at, side="right")
-        out = []
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             doc, here, seen = int(owner[lo]), at[lo:hi], value[lo:hi].tolist()
@@ -155,6 +164,17 @@ class Block:
                     out.append((doc, i, share, len(item), len(tiles)))
         return out
 
+    def whole(self, flat: np.ndarray, known: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """Items too short for a seed, in the documents that have all their tokens in a row."""
+        found = set()
+        for k, items in self.short.items():
+            first = np.unique(np.fromiter((x[0] for x in items), np.int64, len(items)))
+            at = np.flatnonzero((known[k:] - known[:-k] == k) & np.isin(flat[: len(flat) - k + 1], first)) if len(flat) >= k else ()
+            for i in at:
+                for item in items.get(tuple(flat[i : i + k].tolist()), ()):
+                    found.add((int(np.searchsorted(ends, i, side="right")), item, 1.0, k, 1))
+        return sorted(found)
+
     def reaches(self, item: np.ndarray, mine: set[int], seen: set[int]) -> bool:
         """Whether the item's seeds that the document has cover enough of it: no tiling covers more."""
         has = np.array([h in seen for h in self.seeds(item).tolist()], bool)

@@ -119,6 +119,12 @@ def brute_tiles(a, b, least):
                 out += best
 
 
+def test_short_items_are_matched_whole(spark):
+    docs = spark.createDataFrame([(1, "so it goes on"), (2, "it does not go"), (3, "goes it"), (4, "Goes, on!"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "it goes"), (8, "goes on"), (9, "??"), (10, "It goes")], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 7, 1.0, 2, 1), (1, 10, 1.0, 2, 1), (1, 8, 1.0, 2, 1), (4, 8, 1.0, 2, 1)}
+
+
 def test_tiles_against_brute_force():
     rnd = random.Random(3)
     for _ in range(150):
@@ -235,6 +241,10 @@ def test_toxicity_held_out(spark):
     [
         ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("a < b > c <3", "a < b > c <3"), ("<div>" * 3000 + "deep", "deep"), ("<!-- open", ""), ("<p>x &amp; &lt;b&gt; &#x41;&nbsp;z</p>", "x & <b> A z"),
         ("<body><nav>menu</nav><article><h1>T</h1><p>One, <b>two</b>three<br>four<aside>side</aside><form>f<input></form></article><div class='comments'><p>hey, you, there, all</div><footer>c</footer>", "T One, twothree four"),
+        ('<div class="content-sidebar-wrap"><div class="entry-content"><p>Main text, here.</p></div><div class="sidebar"><p>links</p></div></div>', "Main text, here."),
+        ('<div id="page" class="has-sidebar"><h1>T</h1><p>Main text, here.</p><ul class="menu"><li>x</li></ul></div>', "T Main text, here."),
+        ('<div class="post no-comments"><p>Main text, here.</p></div>', "Main text, here."),
+        ('<div id=main><p>Main, text.</p></div><div class="comments"><p>Much more text of readers, on and on, as it often is, and more of it.</p></div>', "Main, text."),
         ("<div id=main><p>Long text, with commas, and more of it here.<script>var a='</p>'</script><p>Next one, too.</div><div class='sidebar'><p>Links, links, links, links, links.</div>", "Long text, with commas, and more of it here. Next one, too."),
     ],
 )
