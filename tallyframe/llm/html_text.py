@@ -4,7 +4,8 @@ The page is parsed into a tree that closes what authors leave open. Each paragra
 each comma and each hundred characters up to three, to its parent, half of that to the grandparent and a third beyond;
 a container's points are discounted by its link density. The best container is kept, with those siblings that score a
 fifth of it. Menus, headers and footers of the page, sidebars, notices, adverts, forms, comments of readers, scripts
-and styles are left out wherever they stand, by their tag, role, or the words of their class and id.
+and styles are left out wherever they stand, by their tag, role, or the words of their class and id; a wrapper around the
+article that has such a word (has-sidebar, no-comments) is told by its share of the page's text and is not.
 
 Edge cases: a null or empty page has an empty text; unclosed tags, comments and quotes end with the page; deep nesting
 needs no recursion; a page of any length is taken whole; repeated rows give repeated results; further columns are
@@ -43,25 +44,37 @@ MARKS = re.compile(r"""(?:^|\s|["'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def dropped(tag: str, attributes: str) -> bool:
+#: Words of class and id that name a container of the article, and what such words say with a hint: no-comments, has-sidebar.
+HOLDERS = set("article body content entry has main no page post primary with wrap wrapper".split())
+#: What an element is by its tag and attributes: main text perhaps, none, none by its name, or so but named a holder too.
+OPEN, OUT, NAMED, HOLDER = range(4)
+
+
+def dropped(tag: str, attributes: str) -> int:
     if tag in NEVER:
-        return True
+        return OUT
     if not attributes or tag in KEEP and "hidden" not in attributes.lower():
-        return False
+        return OPEN
+    hints, holder = False, False
     for name, a, b, c in MARKS.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if tag not in KEEP and (value in ROLES if name == "role" else not HINTS.isdisjoint(SPLIT.split(value))):
-            return True
-    return False
+            return OUT
+        if name == "role":
+            if tag not in KEEP and value in ROLES:
+                return OUT
+        elif tag not in KEEP:
+            words = SPLIT.split(value)
+            hints = hints or not HINTS.isdisjoint(words)
+            holder = holder or not HOLDERS.isdisjoint(words)
+    return OPEN if not hints else HOLDER if holder else NAMED
 
 
 class Tree:
     """Nodes as parallel lists; items are (node, text) in page order, a text of None ends a block."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.drop, self.end = ["#"], [-1], [False], []
+        self.tag, self.parent, self.kind = ["#"], [-1], [OPEN]
         self.items: list[tuple[int, str | None]] = []
         self.parse(page)
 
@@ -95,7 +108,7 @@ class Tree:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.drop.append(dropped(tag, rest))
+            self.kind.append(dropped(tag, rest))
             if tag not in INLINE:
                 items.append((stack[-1], None))
             if tag in VOID:
@@ -128,22 +141,43 @@ class Tree:
                 return
 
 
+def wrappers(t: Tree, drop: list[bool]) -> set[int]:
+    """Elements named like what is left out that are around the main text: they hold two thirds of the page's text, and are
+    named like a holder too or have the page's article or first heading in them."""
+    n = len(t.tag)
+    size, titled = [0] * n, [tag in ("article", "main", "h1") for tag in t.tag]
+    for node, text in t.items:
+        if text and not drop[node] and not text.isspace():
+            size[node] += len(text)
+    for i in range(n - 1, 0, -1):
+        p = t.parent[i]
+        size[p] += size[i]
+        titled[p] = titled[p] or titled[i] and not drop[i]
+    return {i for i in range(n) if t.kind[i] >= NAMED and 3 * size[i] >= 2 * size[0] and (titled[i] or t.kind[i] == HOLDER)}
+
+
 def extract(page: str) -> str:
     """The main text: inline text joined, blocks joined by one space, white space collapsed."""
     if not page:
         return ""
     t = Tree(page)
     n = len(t.tag)
-    drop = t.drop
-    depth_link = [False] * n
+    drop = [k == OUT for k in t.kind]
     first_article = [False] * n
     for i in range(1, n):  # parents come before children
         p = t.parent[i]
         if t.tag[i] == "header":  # of the page, not of an article
             drop[i] = drop[i] or not first_article[p]
         drop[i] = drop[i] or drop[p]
-        depth_link[i] = depth_link[p] or t.tag[i] == "a"
         first_article[i] = first_article[p] or t.tag[i] in ("article", "main")
+    if any(k >= NAMED for k in t.kind):
+        wraps = wrappers(t, drop)
+        for i in range(1, n):
+            drop[i] = drop[i] or drop[t.parent[i]] or t.kind[i] >= NAMED and i not in wraps
+    depth_link = [False] * n
+    for i in range(1, n):
+        p = t.parent[i]
+        depth_link[i] = depth_link[p] or t.tag[i] == "a"
     size, links, commas = [0] * n, [0] * n, [0] * n
     texts: list[tuple[int, str | None]] = []
     for node, text in t.items:
