@@ -61,20 +61,35 @@ def gaps(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     return runs.withColumn("gap_hi", F.lead("lo").over(w)).where("gap_hi > hi").select(*by, F.col("hi").alias("gap_lo"), "gap_hi", (F.col("gap_hi") - F.col("hi")).alias("length"))
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], width: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], least: int = 1, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Pairs that overlap, left columns as l_*, right ones as r_*, with the clipped ends lo and hi.
 
-    Both sides are spread over bins of `width`; a pair is kept in the bin of the larger start only, so it comes once.
+    An interval has the level of the power of two that its length does not exceed (nor `least`), and lies in two bins of that width at
+    most. A pair meets at the higher of its levels, in the bin of its larger start, so it comes once; a row goes to its
+    own level and to the higher ones that the other side has: a few rows for an interval of any length.
     """
+    side = lambda df, mark: df.select(*by, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in by]).where(F.col(f"{mark}_{lo}") < F.col(f"{mark}_{hi}")).withColumn(f"{mark}_level", F.ceil(F.log2(F.greatest(F.col(f"{mark}_{hi}") - F.col(f"{mark}_{lo}"), F.lit(least)))).cast("int"))
+    one, two = side(left, "l"), side(right, "r")
+    # At most 64 numbers a side.
+    levels = [sorted(r[0] for r in df.select(f"{m}_level").distinct().collect()) for df, m in ((one, "l"), (two, "r"))]
 
-    def binned(df: DataFrame, mark: str) -> DataFrame:
-        named = df.select(*by, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in by])
-        ends = F.floor((F.col(f"{mark}_{hi}") - 1) / width).cast("long")
-        return named.where(F.col(f"{mark}_{lo}") < F.col(f"{mark}_{hi}")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{mark}_{lo}") / width).cast("long"), ends)))
+    def binned(df: DataFrame, mark: str, others: list[int]) -> DataFrame:
+        at = df.withColumn("_level", F.explode(F.array_distinct(F.concat(F.array(f"{mark}_level"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col(f"{mark}_level"))))))
+        width = F.pow(F.lit(2.0), F.col("_level")).cast("long")
+        return at.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{mark}_{lo}") / width).cast("long"), F.floor((F.col(f"{mark}_{hi}") - 1) / width).cast("long"))))
 
     l_lo, l_hi, r_lo, r_hi = (F.col(f"{m}_{e}") for m in "lr" for e in (lo, hi))
-    pairs = binned(left, "l").join(binned(right, "r"), [*by, "_bin"]).where((l_lo < r_hi) & (r_lo < l_hi) & (F.col("_bin") == F.floor(F.greatest(l_lo, r_lo) / width).cast("long")))
-    return pairs.drop("_bin").withColumn("lo", F.greatest(l_lo, r_lo)).withColumn("hi", F.least(l_hi, r_hi))
+    pairs = binned(one, "l", levels[1]).join(binned(two, "r", levels[0]), [*by, "_level", "_bin"])
+    pairs = pairs.where((l_lo < r_hi) & (r_lo < l_hi) & (F.col("_level") == F.greatest("l_level", "r_level")) & (F.col("_bin") == F.floor(F.greatest(l_lo, r_lo) / F.pow(F.lit(2.0), F.col("_level")).cast("long")).cast("long")))
+    return pairs.drop("_bin", "_level", "l_level", "r_level").withColumn("lo", F.greatest(l_lo, r_lo)).withColumn("hi", F.least(l_hi, r_hi))
+
+
+def innermost(points: DataFrame, bands: DataFrame, by: Sequence[str], at: str, owner: str) -> DataFrame:
+    """points with the owner of the band (lo, hi) of latest start, then of highest owner, that holds the point; null if none does."""
+    places = points.select(*by, F.col(at).alias("lo"), (F.col(at) + 1).alias("hi")).dropDuplicates()
+    held = overlaps(places, bands.select(*by, "lo", "hi", owner), by)
+    best = held.groupBy(*by, F.col("l_lo").alias(at)).agg(F.max(F.struct("r_lo", f"r_{owner}")).alias("_best"))
+    return points.join(best, [*by, at], "left").withColumn(owner, F.col(f"_best.r_{owner}")).drop("_best")
 
 
 def fragments(rows: DataFrame, order: Sequence[str], unit: str, size: str, at: str, by: Sequence[str] = ()) -> DataFrame:

@@ -42,9 +42,19 @@ def classify(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def merge(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The ledger after the snapshot: raised, reset where edited or rebound, and rows out of sight kept as absent."""
-    l = ledger.select(*KEY, *[F.col(c).alias(f"l_{c}") for c in ("best", "hist", "tries", "fp", "addr")])  # noqa: E741
-    j = snapshot.join(l, KEY, "left")
+    """The ledger after the snapshot: raised, reset where edited or rebound, and rows out of sight kept as absent.
+
+    A key that the ledger lacks carries on the row that the ledger has at its address, if it has one only.
+    """
+    held = [F.col(c).alias(f"l_{c}") for c in ("best", "hist", "tries", "fp", "addr")]
+    named = snapshot.join(ledger.select(*KEY, *held), KEY, "left")
+    once = ledger.where("addr is not null").groupBy("addr").agg(F.count("*").alias("n"), F.min(F.struct("best", "hist", "tries", "fp")).alias("m")).where("n = 1").select("addr", "m")
+    j = named.join(once, "addr", "left")
+    lacks = F.col("l_best").isNull()
+    moved = lacks & F.col("m").isNotNull()
+    for c in ("hist", "tries", "fp"):
+        j = j.withColumn(f"l_{c}", F.when(moved, F.col(f"m.{c}")).otherwise(F.col(f"l_{c}")))
+    j = j.withColumn("l_addr", F.when(moved, F.col("addr")).otherwise(F.col("l_addr"))).withColumn("l_best", F.when(moved, F.col("m.best")).otherwise(F.col("l_best")))
     new = F.col("l_best").isNull()
     rebound = F.col("addr") != F.col("l_addr")
     edited = F.col("fp") != F.col("l_fp")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,22 +47,32 @@ def token_classes(text: Column, words: Sequence[str] = ()) -> Column:
     return F.transform(tokens, kind)
 
 
-def shingles(rows: DataFrame, key: str, tokens: Column, width: int, stride: int = 1) -> DataFrame:
-    """Distinct (key, digest) of every run of `width` tokens that begins at a multiple of the stride."""
-    t = rows.select(key, tokens.alias("_t")).where(F.size("_t") >= width)
-    starts = F.sequence(F.lit(0), F.size("_t") - width, F.lit(stride))
-    # xxhash64 of the joined run; the run itself need not travel.
-    return t.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_t", i + 1, width), " "))))).alias("digest"))
+def byte_histogram(rows: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, code, n): how often each byte of 0 to 255 is in the texts; bytes that are in none have no row."""
 
+    def run(batches):
+        for b in batches:
+            blobs = b.column(1).cast(pa.binary()).to_pylist()
+            keys = pc.dictionary_encode(b.column(0))
+            for k, value in enumerate([*keys.dictionary, pa.scalar(None, keys.dictionary.type)]):
+                mine = np.asarray(pc.fill_null(keys.indices, -1)) == (k if value.is_valid else -1)
+                joined = b"".join(blobs[i] or b"" for i in np.flatnonzero(mine))
+                n = np.bincount(np.frombuffer(joined, np.uint8), minlength=256)
+                code = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([value.as_py()] * len(code), keys.dictionary.type), pa.array(code, pa.int32()), pa.array(n[code], pa.int64())], [by, "code", "n"])
 
-def first_links(rows: DataFrame, key: str, tokens: Column, narrow: int, stride: int = 1) -> DataFrame:
-    """Pairs (a, b, shared) of the first row of a shingle and another row, where the two share two such shingles or more.
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.select(by, text).mapInArrow(run, f"`{by}` {kind}, code int, n long").groupBy(by, "code").agg(F.sum("n").alias("n"))
 
-    Only a shingle's first row is paired: two rows whose shared shingles begin in different rows are not found. clones() finds them.
-    """
-    s = shingles(rows, key, tokens, narrow, stride)
-    first = s.groupBy("digest").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return s.join(first, "digest").where(F.col("a") != F.col(key)).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
+
+def runs_of(hashes: Column, width: int) -> Column:
+    """The hash of every run of `width` hashes: runs are joined from two halves, so in steps as the width's logarithm."""
+    if width == 1:
+        return hashes
+    half = width // 2
+    one, two = runs_of(hashes, half), runs_of(hashes, width - half)
+    n = F.greatest(F.size(hashes) - (width - 1), F.lit(0))
+    return F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
 def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, stride: int = 1) -> DataFrame:
@@ -74,7 +87,7 @@ def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, st
     t = rows.select(key, tokens.alias("_t")).where(F.size("_t") >= narrow)
     starts = F.sequence(F.lit(0), F.size("_t") - narrow, F.lit(stride))
     t = t.withColumn("_t", F.transform("_t", lambda w: F.xxhash64(w)))
-    t = t.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i + 1, narrow))))
+    t = t.withColumn("_h", runs_of(F.col("_t"), narrow)).withColumn("_h", F.transform(starts, lambda i: F.get("_h", i)))
     alike = lambda k: (F.get("_h", k) == F.get("_h", k + (spans - 1))) & (F.size(F.array_distinct(F.slice("_h", k + 1, spans))) == 1)
     last = F.floor((F.size("_t") - wide) / stride).cast("int")
     again = F.when(F.size("_t") >= wide, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), alike)).otherwise(F.array().cast("array<int>"))

@@ -165,8 +165,11 @@ def regression_classify(spark, d):
     return lg.classify(*snaps(spark, d))
 
 
-@query(SNAPS + """SELECT s.unit, s.fn, CASE WHEN l.best IS NULL OR s.addr <> l.addr OR s.fp <> l.fp THEN s.pct ELSE greatest(l.best, s.pct) END AS best, s.pct AS cur, greatest(s.pct, coalesce(l.hist, s.pct)) AS hist,
-CAST(CASE WHEN l.best IS NULL OR s.addr <> l.addr THEN 1 WHEN s.fp <> l.fp THEN l.tries + 1 ELSE l.tries END AS BIGINT) AS tries, s.fp, s.addr, '' AS state FROM snapshot s LEFT JOIN ledger l USING (unit, fn)
+@query(SNAPS + """, once AS (SELECT addr, min(best) AS best, min(hist) AS hist, min(tries) AS tries, min(fp) AS fp FROM ledger WHERE addr IS NOT NULL GROUP BY addr HAVING count(*) = 1),
+j AS (SELECT s.*, coalesce(l.best, o.best) AS l_best, CASE WHEN l.best IS NULL THEN o.hist ELSE l.hist END AS l_hist, CASE WHEN l.best IS NULL THEN o.tries ELSE l.tries END AS l_tries, CASE WHEN l.best IS NULL THEN o.fp ELSE l.fp END AS l_fp, CASE WHEN l.best IS NULL THEN o.addr ELSE l.addr END AS l_addr
+  FROM snapshot s LEFT JOIN ledger l USING (unit, fn) LEFT JOIN once o ON o.addr = s.addr)
+SELECT unit, fn, CASE WHEN l_best IS NULL OR addr <> l_addr OR fp <> l_fp THEN pct ELSE greatest(l_best, pct) END AS best, pct AS cur, greatest(pct, coalesce(l_hist, pct)) AS hist,
+CAST(CASE WHEN l_best IS NULL OR addr <> l_addr THEN 1 WHEN fp <> l_fp THEN l_tries + 1 ELSE l_tries END AS BIGINT) AS tries, fp, addr, '' AS state FROM j
 UNION ALL SELECT unit, fn, best, cur, hist, CAST(tries AS BIGINT), fp, addr, 'absent' FROM ledger WHERE (unit, fn) NOT IN (SELECT (unit, fn) FROM snapshot) AND addr IS NOT NULL AND addr NOT IN (SELECT addr FROM snapshot WHERE addr IS NOT NULL)""")
 def bank_merge(spark, d):
     return lg.merge(*snaps(spark, d))

@@ -57,14 +57,12 @@ def events(spark, d):
 
 
 @query(f"""WITH e AS ({EV}), b AS (SELECT user_id, pos AS lo, event_id AS owner, pos + 3600 * (1 + event_id % 5) AS hi FROM e WHERE event_type = 'signup'),
-r AS (SELECT e.event_id, e.user_id, e.pos, b.lo, b.hi, b.owner, row_number() OVER (PARTITION BY e.event_id ORDER BY b.lo DESC, b.owner DESC) AS place FROM e JOIN b ON e.user_id = b.user_id AND b.lo <= e.pos WHERE event_type <> 'signup')
-SELECT event_id, user_id, CASE WHEN pos < hi THEN owner END AS owner FROM r WHERE place = 1
-UNION ALL SELECT event_id, user_id, NULL FROM e WHERE event_type <> 'signup' AND event_id NOT IN (SELECT event_id FROM r)""")
+r AS (SELECT e.event_id, arg_max(b.owner, (b.lo, b.owner)) AS owner FROM e JOIN b ON e.user_id = b.user_id AND b.lo <= e.pos AND e.pos < b.hi WHERE event_type <> 'signup' GROUP BY e.event_id)
+SELECT event_id, user_id, owner FROM e LEFT JOIN r USING (event_id) WHERE event_type <> 'signup'""")
 def point_in_interval(spark, d):
     e = events(spark, d)
-    bands = e.where("event_type = 'signup'").select("user_id", "pos", "event_id", (F.col("pos") + 3600 * (1 + F.col("event_id") % 5)).alias("hi"))
-    found = iv.asof(e.where("event_type <> 'signup'").select("event_id", "user_id", "pos"), bands.select("user_id", "pos", F.col("event_id").alias("owner"), "hi"), ["user_id"], "pos", ["owner", "hi"])
-    return found.select("event_id", "user_id", F.when(F.col("pos") < F.col("anchor_hi"), F.col("anchor_owner")).alias("owner"))
+    bands = e.where("event_type = 'signup'").select("user_id", F.col("pos").alias("lo"), (F.col("pos") + 3600 * (1 + F.col("event_id") % 5)).alias("hi"), F.col("event_id").alias("owner"))
+    return iv.innermost(e.where("event_type <> 'signup'").select("event_id", "user_id", "pos"), bands, ["user_id"], "pos", "owner").select("event_id", "user_id", "owner")
 
 
 ASOF = """WITH e AS ({ev}) SELECT event_id, user_id, (SELECT {pick}(a.event_id, a.pos) FROM e a WHERE a.user_id = e.user_id AND a.event_type = 'purchase' AND a.pos {cmp} e.pos) AS anchor FROM e WHERE event_type <> 'purchase'"""
@@ -134,20 +132,20 @@ def two(spark, d):
 @query(TWO + """SELECT a.user_id, a.id, CAST(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS BIGINT) AS bytes, count(*) AS sites FROM a JOIN b ON a.user_id = b.user_id AND a.lo < b.hi AND b.lo < a.hi GROUP BY a.user_id, a.id""")
 def interval_overlap_bytes(spark, d):
     a, b = two(spark, d)
-    return iv.overlaps(a, b, ["user_id"], 128).groupBy("user_id", F.col("l_id").alias("id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"), F.count("*").alias("sites"))
+    return iv.overlaps(a, b, ["user_id"]).groupBy("user_id", F.col("l_id").alias("id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"), F.count("*").alias("sites"))
 
 
-@query(TWO + """, x AS (SELECT DISTINCT user_id, lo, hi FROM a) SELECT p.user_id, p.lo AS a_lo, p.hi AS a_hi, q.lo AS b_lo, q.hi AS b_hi FROM x p JOIN x q ON p.user_id = q.user_id AND p.lo < q.lo AND q.lo < p.hi""")
+@query(TWO + """, x AS (SELECT DISTINCT user_id, lo, hi FROM a) SELECT p.user_id, p.lo AS a_lo, p.hi AS a_hi, q.lo AS b_lo, q.hi AS b_hi FROM x p JOIN x q ON p.user_id = q.user_id AND (p.lo, p.hi) < (q.lo, q.hi) AND q.lo < p.hi""")
 def overlap_pairs(spark, d):
     x = two(spark, d)[0].select("user_id", "lo", "hi").dropDuplicates()
-    pairs = iv.overlaps(x, x, ["user_id"], 128).where("l_lo < r_lo")
+    pairs = iv.overlaps(x, x, ["user_id"]).where("l_lo < r_lo or l_lo = r_lo and l_hi < r_hi")
     return pairs.select("user_id", F.col("l_lo").alias("a_lo"), F.col("l_hi").alias("a_hi"), F.col("r_lo").alias("b_lo"), F.col("r_hi").alias("b_hi"))
 
 
 @query(TWO + "SELECT user_id, id, lo, hi FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.lo <= b.lo AND b.hi <= a.hi)")
 def contained_semi(spark, d):
     a, b = two(spark, d)
-    inside = iv.overlaps(b, a, ["user_id"], 128).where("r_lo <= l_lo and l_hi <= r_hi")
+    inside = iv.overlaps(b, a, ["user_id"]).where("r_lo <= l_lo and l_hi <= r_hi")
     return inside.select("user_id", F.col("l_id").alias("id"), F.col("l_lo").alias("lo"), F.col("l_hi").alias("hi")).dropDuplicates()
 
 

@@ -46,14 +46,6 @@ def masked_match(spark, d):
     return m.groupBy("mask").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("longest")).where("copies > 1")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE len(string_split(text, ' ')) >= 12),
-s AS (SELECT DISTINCT doc_id, array_to_string(t[i + 1 : i + 12], ' ') AS digest FROM w, unnest(range(0, len(t) - 11)) AS u(i)),
-f AS (SELECT digest, min(doc_id) AS a FROM s GROUP BY digest HAVING count(*) > 1)
-SELECT a, doc_id AS b, count(*) AS shared FROM s JOIN f USING (digest) WHERE a <> doc_id GROUP BY a, doc_id HAVING count(*) >= 2""")
-def shingle_clone(spark, d):
-    return mt.first_links(table(spark, d, "documents"), "doc_id", F.split("text", " "), narrow=12)
-
-
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, 1 AS narrow, array_to_string(t[i + 1 : i + 12], ' ') AS g FROM w, unnest(range(0, len(t) - 11)) AS u(i)
 UNION ALL SELECT DISTINCT doc_id, 0, array_to_string(t[i + 1 : i + 24], ' ') FROM w, unnest(range(0, len(t) - 23)) AS u(i) WHERE len(list_distinct(t[i + 1 : i + 24])) = 1),
@@ -96,14 +88,13 @@ def divergence_ladder(spark, d):
 
 
 @query("""WITH a AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), b AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS y FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey),
-p AS (SELECT o_custkey, x[1:3] AS x, y[1:3] AS y FROM a JOIN b USING (o_custkey)) SELECT o_custkey, array_to_string(x, ',') AS left_run, array_to_string(y, ',') AS right_run FROM p WHERE list_sort(x) = list_sort(y) AND x <> y""")
+p AS (SELECT o_custkey, x, y FROM a JOIN b USING (o_custkey)) SELECT o_custkey, array_to_string(x, ',') AS left_run, array_to_string(y, ',') AS right_run FROM p WHERE list_sort(x) = list_sort(y) AND x <> y""")
 def permuted_runs(spark, d):
     o = table(spark, d, "orders")
 
     def run(lane: int, name: str):
-        w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-        head = o.where(F.col("o_orderkey") % 2 == lane).withColumn("n", F.row_number().over(w)).where("n <= 3")
-        return head.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_orderstatus"))), lambda s: s["o_orderstatus"]).alias(name))
+        mine = o.where(F.col("o_orderkey") % 2 == lane).groupBy("o_custkey")
+        return mine.agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda s: s["o_orderstatus"]).alias(name))
 
     p = run(0, "x").join(run(1, "y"), "o_custkey").where((F.array_sort("x") == F.array_sort("y")) & (F.col("x") != F.col("y")))
     return p.select("o_custkey", F.array_join("x", ",").alias("left_run"), F.array_join("y", ",").alias("right_run"))
@@ -119,23 +110,22 @@ def common_prefix_len(spark, d):
     return j.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("event_type") != F.col("other"), F.col("n"))) - 1, F.count("*")).cast("long").alias("prefix"))
 
 
-EDGES = "SELECT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1"
+EDGES = "SELECT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 
 @query(f"WITH e AS ({EDGES}) SELECT dst, src, count(*) AS n FROM e GROUP BY dst, src")
 def callers_count(spark, d):
-    line = table(spark, d, "lineitem").where("l_linenumber = 1")
-    e = table(spark, d, "orders").join(line, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    e = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return gr.callers(e)
 
 
 @query("""WITH RECURSIVE f AS (SELECT p_partkey AS node, p_partkey // 2 AS next FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 1),
-e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 1),
+e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem),
 c AS (SELECT src, dst, dst AS target, 0 AS hops FROM e UNION ALL SELECT src, dst, next, hops + 1 FROM c JOIN f ON target = node WHERE hops < 4)
 SELECT src, dst, CAST(arg_max(target, hops) AS BIGINT) AS target, max(hops) AS hops FROM (SELECT DISTINCT * FROM c) GROUP BY src, dst""")
 def forwarder_chase(spark, d):
     f = table(spark, d, "part").where("p_partkey % 3 <> 0 and p_partkey > 1").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).cast("long").alias("next"))
-    e = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return gr.chase(e, f).select("src", "dst", "target", "hops")
 
 
@@ -153,9 +143,9 @@ def reachability_dead(spark, d):
     return part.join(gr.reachable(links(spark, d), part.where("node % 50 = 1")), "node", "left_anti").select(F.col("node").alias("dead"))
 
 
-@query(f"WITH RECURSIVE e AS ({LINKS}), a AS (SELECT p_partkey AS start, p_partkey AS ancestor, 0 AS depth FROM part WHERE p_partkey % 10 = 3 UNION SELECT start, src, depth + 1 FROM a JOIN e ON ancestor = dst WHERE depth < 4) SELECT start, ancestor, min(depth) AS depth FROM a GROUP BY start, ancestor HAVING min(depth) > 0")
+@query(f"WITH RECURSIVE e AS ({LINKS}), a AS (SELECT p_partkey AS start, p_partkey AS ancestor, 0 AS depth FROM part UNION SELECT start, src, depth + 1 FROM a JOIN e ON ancestor = dst WHERE depth < 4) SELECT start, ancestor, min(depth) AS depth FROM a GROUP BY start, ancestor HAVING min(depth) > 0")
 def ancestry_depth4(spark, d):
-    return gr.ancestors(links(spark, d), table(spark, d, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("node")))
+    return gr.ancestors(links(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node")))
 
 
 @query("""WITH RECURSIVE t AS (SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey % 40 <> 0 THEN p_partkey - p_partkey % 2 - CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END END AS parent FROM part WHERE p_partkey > 1),
@@ -191,16 +181,10 @@ def token_classes(spark, d):
     return t.select("conv_id", "turn", n("ID").alias("ids"), n("NUM").alias("nums"), n("STR").alias("strs"), F.size("t").cast("long").alias("tokens"))
 
 
-@query("""WITH c AS (SELECT lang, ascii(unnest(string_split(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g'), ''))) AS code FROM documents), n AS (SELECT lang, code, count(*) AS n FROM c GROUP BY ALL), l AS (SELECT DISTINCT lang FROM documents)
-SELECT lang, CAST(code AS INTEGER) AS code, coalesce(n, 0) AS n FROM l CROSS JOIN range(32, 127) r(code) LEFT JOIN n USING (lang, code)""")
+@query("""WITH h AS (SELECT lang, hex(encode(text)) AS x FROM documents WHERE text <> ''), c AS (SELECT lang, substr(x, 2 * i + 1, 2) AS two FROM h, unnest(range(0, length(x) // 2)) u(i))
+SELECT lang, CAST(('0x' || two) AS INTEGER) AS code, count(*) AS n FROM c GROUP BY lang, two""")
 def byte_histogram(spark, d):
-    docs = table(spark, d, "documents").select("lang", F.regexp_replace("text", "[^\\x20-\\x7e]", "").alias("t")).where("t <> ''")
-    # One array of counts a text keeps the rows few: 95 counts, not a row a character.
-    code = lambda i: (F.length("t") - F.length(F.replace("t", F.lit(chr(i)), F.lit("")))).cast("long")
-    sums = docs.groupBy("lang").agg(*[F.sum(code(i)).alias(f"c{i}") for i in range(32, 127)])
-    langs = table(spark, d, "documents").select("lang").distinct()
-    wide = langs.join(sums, "lang", "left")
-    return wide.select("lang", F.posexplode(F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(32, 127)]))).select("lang", (F.col("pos") + 32).cast("int").alias("code"), F.col("col").alias("n"))
+    return mt.byte_histogram(table(spark, d, "documents"), "lang", "text")
 
 
 def last_lines(docs):
@@ -210,12 +194,6 @@ def last_lines(docs):
     return last.select("doc_id", "id", "last.chars", F.col("last.pos").cast("long").alias("pos"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE doc_id % 20 = 0), i AS (SELECT *, (pos * 7 + doc_id) % 5 AS id FROM l)
-SELECT doc_id, CAST(id AS BIGINT) AS id, arg_max(length(line), pos) AS chars, CAST(max(pos) AS BIGINT) AS pos FROM i GROUP BY doc_id, id""")
-def positional_join_last(spark, d):
-    return last_lines(table(spark, d, "documents").where("doc_id % 20 = 0"))
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), i AS (SELECT *, (pos * 7 + doc_id) % 5 AS id FROM l)
 SELECT doc_id, CAST(id AS BIGINT) AS id, arg_max(length(line), pos) AS chars, CAST(max(pos) AS BIGINT) AS pos FROM i GROUP BY doc_id, id""")
 def positional_join_last_all(spark, d):
@@ -259,12 +237,12 @@ def sql_map(spark, d):
     return m.sql("SELECT c.key, c.name, count(*) AS sites, count(DISTINCT a.fn) AS fns, max(a.width) AS width FROM {access} a JOIN {claim} c USING (key) WHERE key BETWEEN :lo AND :hi GROUP BY c.key, c.name", lo=100, hi=400)
 
 
-@query("""SELECT doc_id, regexp_extract(text, '[0-9]+') AS digits, replace(replace(left(text, 60), chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS escaped, substr(sha1(text), 1, 12) AS fp, split_part(source, 'c', 2) AS tail FROM documents""")
+@query("""SELECT doc_id, regexp_extract(text, '[0-9]+') AS digits, replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS escaped, substr(sha1(text), 1, 12) AS fp, split_part(source, 'c', 2) AS tail FROM documents""")
 def scalar_text(spark, d):
     from tallyframe.functions import scalars as sc
 
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", sc.first_digits(text).alias("digits"), sc.escape(F.left(text, F.lit(60))).alias("escaped"), sc.fingerprint(text).alias("fp"), F.split_part("source", F.lit("c"), F.lit(2)).alias("tail"))
+    return table(spark, d, "documents").select("doc_id", sc.first_digits(text).alias("digits"), sc.escape(text).alias("escaped"), sc.fingerprint(text).alias("fp"), F.split_part("source", F.lit("c"), F.lit(2)).alias("tail"))
 
 
 @query("""SELECT o_orderkey, lower(printf('0x%x', o_orderkey)) AS hex, CAST(((o_orderkey * 37 + 32768) % 65536 + 65536) % 65536 - 32768 AS BIGINT) AS wrapped, CAST(-(o_orderkey // 7) AS BIGINT) AS truncated, CAST((o_orderkey + 15) // 16 * 16 AS BIGINT) AS aligned FROM orders""")
