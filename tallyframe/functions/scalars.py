@@ -51,3 +51,64 @@ def align(n: Column, to: int) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole, 0 where whole is."""
     return F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0))
+
+
+def begins_with(text: Column, prefixes: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | text.startswith(p)
+    return out
+
+
+#: What a special name's code stands for, {cls} being its class; any other code is an operator.
+SPECIAL = {"0": "{cls}::{cls}", "1": "{cls}::~{cls}", "_7": "{cls}::`vftable'", "_8": "{cls}::`vbtable'", "_G": "{cls}::`vector deleting dtor'", "_E": "{cls}::`scalar deleting dtor'", "_D": "{cls}::`vbase destructor'", "_R": "{cls}::`RTTI'", "_C": "`string'"}
+
+
+def short_name(name: Column) -> Column:
+    """The readable name of a decorated one: scope::member, or what SPECIAL says; a plain name loses its underscores in
+    front and what follows an @."""
+    bare = F.when(name.startswith("_?"), F.substring(name, 2, 1 << 30)).otherwise(name)
+    plain = F.substring_index(F.ltrim(bare, F.lit("_")), "@", 1)
+    special = F.regexp_extract(bare, r"^\?\?(_R[0-9]|_.|.)", 1)
+    rest = F.when(bare.startswith("??"), F.regexp_replace(bare, r"^\?\?(_R[0-9]|_.|.)", "")).otherwise(F.substring(bare, 2, 1 << 30))
+    tokens = F.filter(F.split(F.substring_index(rest, "@@", 1), "@"), lambda t: t != "")
+    # Scopes end at the first token that is no identifier, as of a local one.
+    inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    stop = F.array_position(F.transform(inner, lambda t: ~t.rlike(r"^[A-Za-z_]\w*$")), F.lit(True)).cast("int")
+    scope = F.when(stop > 0, F.slice(inner, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(inner)
+    cls = F.get(tokens, F.lit(0))
+    of = F.concat(cls, F.lit("::operator"))
+    for code, text in SPECIAL.items():
+        of = F.when(F.regexp_replace(special, "^(_R)[0-9]$", "$1") == code, F.replace(F.lit(text), F.lit("{cls}"), cls)).otherwise(of)
+    whole = F.array_join(F.concat(F.reverse(scope), F.array(cls)), "::")
+    return F.when(~bare.startswith("?"), F.when(plain != "", plain).otherwise(bare)).when(F.size(tokens) == 0, bare).when(special != "", of).otherwise(whole)
+
+
+def divisor(magic: Column, shift: Column) -> Column:
+    """The divisor behind a multiplication by magic and a shift right by 32 + shift; null if none is near."""
+    exact = F.when(magic > 0, F.pow(F.lit(2.0), shift + 32) / magic)
+    near = F.round(exact)
+    return F.when((near >= 2) & (F.abs(exact - near) < 0.02), near.cast("long"))
+
+
+#: Strings and characters in quotes, comments up to their end mark (the second group), and what is between.
+CODE = r"""("[^"\\]*+(?:\\[\s\S]?[^"\\]*+)*+"?|'[^'\\]*+(?:\\[\s\S]?[^'\\]*+)*+'?|(//[^\n]*|/(?=\*)[\s\S]*?(?=\*/|\z))|[^"'/]+|/)"""
+
+
+def blank_comments(code: Column) -> Column:
+    """Code of the same length whose comments are spaces but for line feeds and the mark that ends one; quotes are kept."""
+    parts, comments = (F.regexp_extract_all(code, F.lit(CODE), F.lit(i)) for i in (1, 2))
+    return F.array_join(F.zip_with(parts, comments, lambda p, c: F.when(c != "", F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+
+
+def split_top(text: Column) -> Column:
+    """What commas outside of all brackets part, trimmed; nothing after the last one is no part."""
+    step = lambda depth, cur, out: F.struct(depth.alias("depth"), cur.alias("cur"), out.alias("out"))
+
+    def add(a: Column, ch: Column) -> Column:
+        depth = a["depth"] + F.when(ch.isin("(", "<", "["), 1).when(ch.isin(")", ">", "]"), -1).otherwise(0)
+        cut = (ch == ",") & (depth == 0)
+        return step(depth, F.when(cut, F.lit("")).otherwise(F.concat(a["cur"], ch)), F.when(cut, F.concat(a["out"], F.array(F.trim(a["cur"])))).otherwise(a["out"]))
+
+    end = F.aggregate(F.split(text, ""), step(F.lit(0), F.lit(""), F.array().cast("array<string>")), add)
+    return F.when(F.trim(end["cur"]) != "", F.concat(end["out"], F.array(F.trim(end["cur"])))).otherwise(end["out"])

@@ -68,3 +68,49 @@ def roots_of(parents: DataFrame, most: int = 32) -> DataFrame:
         if step.where("moved").isEmpty():
             return out
     raise RuntimeError(f"roots_of: over {most} rounds")
+
+
+def callees(edges: DataFrame, indirect: str) -> DataFrame:
+    """(src, callees, sites, indirect): nodes a source refers to, how often, and at how many indirect sites, which name none."""
+    return edges.groupBy("src").agg(F.count_distinct(F.when(~F.col(indirect), F.col("dst"))).alias("callees"), F.count_if(~F.col(indirect)).alias("sites"), F.count_if(F.col(indirect)).alias("indirect"))
+
+
+def terminals(forwards: DataFrame) -> DataFrame:
+    """(node, target, hops) of forwards (node, next), one next a node: where each forwarder leads in the end.
+
+    Steps are doubled each round, so rounds are as the logarithm of the longest chain. What still moves when a step is
+    longer than there are forwarders goes in a circle and leads nowhere.
+    """
+    now = cut(forwards.select("node", F.col("next").alias("target"), F.lit(1).cast("long").alias("hops")))
+    count, step = now.count(), 1
+    while step <= count:
+        on = now.select(F.col("node").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
+        moved = cut(now.join(on, "target", "left"))
+        now = moved.select("node", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+        if moved.where("_next is not null").isEmpty():
+            return now
+        step *= 2
+    return now.join(now.select(F.col("node").alias("target")), "target", "left_anti")
+
+
+def effective_incoming(edges: DataFrame, forwards: DataFrame) -> DataFrame:
+    """(dst, src, n, hops): who refers to a node in the end, directly or through forwarders, which are no referrers
+    themselves; hops is the least number of forwarders between."""
+    real = edges.join(forwards.select(F.col("node").alias("src")), "src", "left_anti")
+    ends = terminals(forwards).select(F.col("node").alias("dst"), "target", "hops")
+    lost = forwards.select(F.col("node").alias("dst"), F.lit(True).alias("_forwards"))
+    j = real.join(lost, "dst", "left").join(ends, "dst", "left").where("_forwards is null or target is not null")
+    return j.select(F.coalesce("target", "dst").alias("dst"), "src", F.coalesce("hops", F.lit(0)).alias("hops")).groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("hops").alias("hops"))
+
+
+def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+    """(src, dst, depth): everything a node includes, at its least depth; circles add nothing new."""
+    links = edges.select("src", "dst").distinct()
+    known = frontier = cut(links.withColumn("depth", F.lit(1)))
+    for depth in range(2, most + 1):
+        step = frontier.select("src", F.col("dst").alias("_at")).join(links.select(F.col("src").alias("_at"), "dst"), "_at").select("src", "dst").distinct()
+        frontier = cut(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+    raise RuntimeError(f"closure: over {most} rounds")

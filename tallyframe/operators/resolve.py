@@ -59,3 +59,18 @@ def shared_names(rows: DataFrame, name: str, key: str, exempt: str | None = None
     rows = rows.where(~F.col(name).rlike(exempt)) if exempt else rows
     out = rows.groupBy(F.col(name).alias("name")).agg(F.count_distinct(key).alias("n_keys"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
     return out.where("n_keys > 1")
+
+
+def active(claims: DataFrame, weak: str) -> DataFrame:
+    """Claims but those of the weak channel that have a low confidence, in any case of letters; an unknown one stays."""
+    return claims.where(~F.coalesce((F.col("channel") == weak) & (F.upper("confidence") == "LOW"), F.lit(False)))
+
+
+def violations(census: DataFrame, claims: DataFrame, precedence: Sequence[str], sized: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    """(kind, key, channel, name): claims of unknown channels, claims on no row of the census, claims that exceed their
+    row, and names of the unique channels on several keys, with the first of these."""
+    known = rank_of(F.col("channel"), precedence).isNotNull()
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "key", "channel", "name")
+    several = claims.where(F.col("channel").isin(*unique)).groupBy("channel", "name").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key <> last")
+    out = row(claims.where(~known), "UNKNOWN-CHANNEL").unionByName(row(orphans(census, claims.where(known)), "ORPHAN"))
+    return out.unionByName(row(oversized(census, claims, sized), "OVERSIZED")).unionByName(row(several, "TWO-KEYS"))

@@ -96,13 +96,44 @@ def character_encode(metadata: Sequence[int], packed: bytes) -> bytes:
     return struct.pack("<4I", *metadata) + packed + b"\0" * (len(packed) & 1)
 
 
+#: Ranges of so many symbols or fewer are sorted by selection.
+CUTOFF = 8
+
+
+def falling(counts: Sequence[int]) -> list[int]:
+    """Symbols by falling count, equal ones as the C runtime's quicksort of the format's time leaves them: the pivot is the
+    middle one, brought to the front; short ranges are sorted by selection, the first of the least frequent going last."""
+    order, todo = list(range(len(counts))), [(0, len(counts) - 1)]
+
+    def swap(i: int, j: int) -> None:
+        order[i], order[j] = order[j], order[i]
+
+    while todo:
+        first, last = todo.pop()
+        if last - first < CUTOFF:
+            for end in range(last, first, -1):
+                swap(min(range(first, end + 1), key=lambda i: counts[order[i]]), end)
+            continue
+        swap(first + (last - first + 1) // 2, first)
+        pivot, up, down = counts[order[first]], first, last + 1
+        while True:
+            up = next((i for i in range(up + 1, last + 1) if counts[order[i]] < pivot), last + 1)
+            down = next((i for i in range(down - 1, first, -1) if counts[order[i]] > pivot), first)
+            if down < up:
+                break
+            swap(up, down)
+        swap(first, down)
+        todo += [(first, down - 1), (up, last)]
+    return order
+
+
 class Huffman:
-    """Byte codes from 256 counts. Symbols come by falling count; equal counts by symbol (a deviation from formats that
-    keep an unstable sort's order). Each is put into the lighter branch from the root down, branch one winning ties."""
+    """Byte codes from 256 counts. Symbols come in falling order of their counts; each is put into the lighter branch from
+    the root down, branch one winning ties."""
 
     def __init__(self, counts: Sequence[int]):
         need(len(counts) == 256, "256 counts are needed")
-        order = sorted(range(256), key=lambda s: (-counts[s], s))
+        order = falling(counts)
         self.weight, self.symbol, self.zero, self.one = [counts[order[0]] + 1], [order[0]], [-1], [-1]
         for s in order[1:]:
             self._put(s, counts[s] + 1)
