@@ -43,6 +43,8 @@ AGREE = 52
 #: Bytes of shingles in one block of sets that are confirmed together.
 BLOCK_BYTES = 8 << 20
 SLICE = 2 << 20
+#: Classes whose numbers and documents, 24 bytes each, are sent to all tasks; more are joined by shuffle.
+SENT = 400_000
 PAIR = "a long, b long, agree int"
 PAIR_TYPES = (pa.int64(), pa.int64(), pa.int32())
 
@@ -105,6 +107,17 @@ def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, heads binary, sketch binary")
 
 
+def views(column) -> list[np.ndarray]:
+    """The sets of a column of bytes, without copies of them."""
+    out = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, ends, data = c.buffers()
+        ends = np.frombuffer(ends, np.int32, len(c) + 1, 4 * c.offset).tolist() if len(c) else [0]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        out += [data[a:b].view(np.uint64) for a, b in zip(ends, ends[1:])]
+    return out
+
+
 def table_of(column) -> np.ndarray:
     """[row, slot] of a column of sketches."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SLOTS)
@@ -255,6 +268,7 @@ def full_sets(reps: DataFrame, texts: tuple[DataFrame, DataFrame], shingle: int
     document of each class."""
     docs, ones = texts
     some = common.stash(ones.join(reps, "rep", "left_semi"))
+    some = F.broadcast(some) if some.count() <= SENT else some
 
     def sets(batches):
         common.no_tool()
@@ -278,8 +292,8 @@ def confirm(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], shingle: int =
     def check(batches):
         for b in batches:
             out = ([], [])
-            for a, c, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
+            for a, c, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), views(b.column(2)), views(b.column(3))):
+                if similar(x, y):
                     out[0].append(a)
                     out[1].append(c)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
@@ -308,7 +322,7 @@ def confirm_crowds(crowds: DataFrame, classes: DataFrame, placed: DataFrame, tex
         out = ([], [])
         if left.num_rows and right.num_rows:
             x, cx = left.column("rep").to_pylist(), left.column("component").to_pylist()
-            sets = [np.frombuffer(s, np.uint64) for s in left.column("shingles").to_pylist()]
+            sets = views(left.column("shingles"))
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             order = np.argsort(flat, kind="stable")
@@ -320,8 +334,7 @@ def confirm_crowds(crowds: DataFrame, classes: DataFrame, placed: DataFrame, tex
                     c = up[c]
                 return c
 
-            for y, cy, s in zip(*(right.column(k).to_pylist() for k in ("rep", "component", "shingles"))):
-                s = np.frombuffer(s, np.uint64)
+            for y, cy, s in zip(right.column("rep").to_pylist(), right.column("component").to_pylist(), views(right.column("shingles"))):
                 lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 n = hi - lo
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
