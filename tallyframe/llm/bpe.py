@@ -26,8 +26,8 @@ LANES = 64
 #: Rows merged in step at a time, so that their arrays stay in the processor's cache.
 ROWS = 2048
 #: Words, and pre-tokens, whose ids a worker remembers; when it is full, those of the present batch stay.
-CACHE = 300_000
-SLICE = 2 << 20
+CACHE = 200_000
+SLICE = 1 << 20
 #: In the arrays: no pair. Ranks are below 2**24, so that a rank and a position below LANES fit 31 bits.
 NONE = np.int32(2**31 - 1)
 

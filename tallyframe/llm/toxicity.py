@@ -43,6 +43,8 @@ TRI_BITS, BI_BITS = 20, 16
 HELD, CACHE = 100_000, 150_000
 #: Longer tokens are read each time they come, so that what a worker remembers stays small.
 REMEMBERED = 40
+#: Bytes of text that are worked on together.
+SLICE = 2 << 20
 #: Log-probabilities the character model remembers.
 MEMO = 1 << 17
 #: What a character may stand for.
@@ -92,7 +94,7 @@ def count_characters(docs: DataFrame) -> DataFrame:
                     np.add(bi, b, out=bi)
             seen.clear()
 
-        for b in common.slices(batches):
+        for b in common.slices(batches, most=SLICE):
             for text in common.texts(b):
                 seen.update(LETTERS(text.lower()))
             if len(seen) > HELD:
@@ -304,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> tuple[dict[st
     def read(batches):
         common.no_tool()
         memo: dict[str, list[str]] = {}
-        for b in common.slices(batches):
+        for b in common.slices(batches, most=SLICE):
             if len(memo) > CACHE // 8:
                 memo.clear()
             found = [sorted(of_text(t, share.value, memo)) for t in common.texts(b)]
@@ -381,7 +383,7 @@ def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     def run(batches):
         tool = common.tool(key, lambda: copy.copy(held.value))
         tool.memo = {} if tool.memo is held.value.memo else tool.memo  # the broadcast's own stays empty
-        for b in common.slices(batches):
+        for b in common.slices(batches, most=SLICE):
             out = pa.array([tool.score(t) for t in common.texts(b)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, out], schema=pa.schema([*b.schema, pa.field(name, pa.float64())]))
 
