@@ -211,7 +211,7 @@ def test_restored_words(spark):
     model = toxicity.character_model(docs.select("text").unionAll(extra))
     for said, meant in (("1d10t", "idiot"), ("st*pid", "stupid"), ("stuuuupid", "stupid"), ("m-o-r-o-n", "moron"), ("cl0wn!!", "clown"), ("the!!", "the")):
         assert meant in toxicity.words_of(said, model), said
-    assert toxicity.unspaced("so s t u p i d it is", model) == ["stupid"]
+    assert toxicity.unspaced("so s t u p i d it is", model)[0] == "stupid"  # then what begins at later letters
 
 
 def test_toxicity_reads_long_tokens_and_splits_spaced_runs(spark):
@@ -517,6 +517,8 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, at):
         assert all((r.score, r.n_words, r.kept_id, r.toxicity_score, r.ids) == ("clash", 1, 7, 2.0, "i") for r in rows)
     got = collections.Counter(r.doc_id for r in rows)
     want = collections.Counter([*range(len(ODD)), 2, None])
+    if name == "decontaminate":
+        del want[ODD.index("a b c d")]  # an item of the benchmark, as a whole
     assert got == want if name != "near_dedup" else set(got) == set(want)
     if name == "substring_dedup":
         assert {r.doc_id: r.text for r in rows if r.doc_id != 9} == {**{i: t for i, t in enumerate(ODD) if i != 9}, None: "null id"}
