@@ -85,9 +85,8 @@ def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, st
     """
     spans = (wide - narrow) // stride + 1
     t = rows.select(key, tokens.alias("_t")).where(F.size("_t") >= narrow)
-    starts = F.sequence(F.lit(0), F.size("_t") - narrow, F.lit(stride))
     t = t.withColumn("_t", F.transform("_t", lambda w: F.xxhash64(w)))
-    t = t.withColumn("_h", runs_of(F.col("_t"), narrow)).withColumn("_h", F.transform(starts, lambda i: F.get("_h", i)))
+    t = t.withColumn("_h", F.filter(runs_of(F.col("_t"), narrow), lambda _, i: i % stride == 0))
     alike = lambda k: (F.get("_h", k) == F.get("_h", k + (spans - 1))) & (F.size(F.array_distinct(F.slice("_h", k + 1, spans))) == 1)
     last = F.floor((F.size("_t") - wide) / stride).cast("int")
     again = F.when(F.size("_t") >= wide, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), alike)).otherwise(F.array().cast("array<int>"))
