@@ -58,8 +58,8 @@ def shingle_clone_pairs(spark, d):
     return mt.clones(table(spark, d, "documents"), "doc_id", F.split("text", " "), wide=24, narrow=12)
 
 
-BAGS = """WITH l AS (SELECT s_nationkey AS unit, l_returnflag || l_linestatus || (l_linenumber % 5) AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate < TIMESTAMP '1995-01-01'),
-r AS (SELECT s_nationkey AS unit, l_returnflag || l_linestatus || (l_linenumber % 6) AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= TIMESTAMP '1995-01-01'),
+BAGS = """WITH l AS (SELECT s_nationkey AS unit, l_returnflag || l_linestatus || (l_linenumber % 5) AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate < TIMESTAMP '1998-01-01'),
+r AS (SELECT s_nationkey AS unit, l_returnflag || l_linestatus || (l_linenumber % 6) AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
 a AS (SELECT unit, key, count(*) AS n_left FROM l GROUP BY ALL), b AS (SELECT unit, key, count(*) AS n_right FROM r GROUP BY ALL),
 j AS (SELECT coalesce(a.unit, b.unit) AS unit, coalesce(a.key, b.key) AS key, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM a FULL JOIN b ON a.unit = b.unit AND a.key = b.key) """
 
@@ -67,7 +67,7 @@ j AS (SELECT coalesce(a.unit, b.unit) AS unit, coalesce(a.key, b.key) AS key, co
 def bags(spark, d):
     line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     side = lambda cond, k: line.where(cond).select(F.col("s_nationkey").alias("unit"), F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % k).cast("string")).alias("key"))
-    early = F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")
+    early = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
     return mt.bag_difference(side(early, 5), side(~early, 6), ["unit"], "key")
 
 
