@@ -197,11 +197,11 @@ def band_owner(spark, d):
     return iv.innermost(points, bands, ["s"], "o_orderkey", "owner").select("o_orderkey", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS path, CASE WHEN l_linenumber = 7 THEN '*' ELSE l_returnflag || (l_partkey % 50) END AS symbol FROM lineitem WHERE l_quantity > 40), c AS (SELECT o_orderkey, o_custkey % 100 AS path, o_orderstatus || (o_orderkey % 50) AS symbol FROM orders)
+@query("""WITH r AS (SELECT l_suppkey AS path, CASE WHEN l_partkey % 97 = 0 THEN '*' ELSE l_linestatus || (l_partkey % 50) END AS symbol FROM lineitem WHERE l_quantity > 49), c AS (SELECT o_orderkey, o_custkey % 100 AS path, o_orderstatus || (o_orderkey % 50) AS symbol FROM orders)
 SELECT o_orderkey, EXISTS (SELECT 1 FROM r WHERE r.path = c.path AND (r.symbol = '*' OR r.symbol = c.symbol)) AS covered FROM c""")
 def ledger_coverage(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    rows = l.where("l_quantity > 40").select(F.col("l_suppkey").alias("path"), F.when(F.col("l_linenumber") == 7, "*").otherwise(F.concat("l_returnflag", (F.col("l_partkey") % 50).cast("string"))).alias("symbol"))
+    rows = l.where("l_quantity > 49").select(F.col("l_suppkey").alias("path"), F.when(F.col("l_partkey") % 97 == 0, "*").otherwise(F.concat("l_linestatus", (F.col("l_partkey") % 50).cast("string"))).alias("symbol"))
     c = o.select("o_orderkey", (F.col("o_custkey") % 100).alias("path"), F.concat("o_orderstatus", (F.col("o_orderkey") % 50).cast("string")).alias("symbol"))
     return rv.covered(c, rows, ["path"], "symbol").select("o_orderkey", "covered")
 
