@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import quality, url_filter
+from tallyframe.llm import hard_negatives, license_scan, quality, url_filter
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -61,4 +61,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(cdist, 6)::DOUBLE AS class_distance, round(wdist, 6)::DOUBLE AS word_distance FROM g
 """
 
-ORACLES = {"op6_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRING, "op9_near_dedup": NEAR, "op10_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {"op6_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRING, "op9_near_dedup": NEAR, "op10_url_filter": url_filter.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_license_scan": license_scan.oracle()}
