@@ -62,33 +62,42 @@ def begins_with(text: Column, prefixes: tuple[str, ...]) -> Column:
 
 #: What a special name's code stands for, {cls} being its class; any other code is an operator.
 SPECIAL = {"0": "{cls}::{cls}", "1": "{cls}::~{cls}", "_7": "{cls}::`vftable'", "_8": "{cls}::`vbtable'", "_G": "{cls}::`vector deleting dtor'", "_E": "{cls}::`scalar deleting dtor'", "_D": "{cls}::`vbase destructor'", "_R": "{cls}::`RTTI'", "_C": "`string'"}
+#: A decorated name: the code of a special one, its own identifier, and the chain of what is around it, inside out.
+DECORATED = r"(?s)^_?\?(?:\?(_R(?=[0-9])|_.|.))?(?:(?<=_R)[0-9])?@*([^@]+)((?:@(?!@)[^@]*)*)"
+#: Classes at the head of a chain, and the function that a chain without them begins with.
+CLASSES, FUNCTION = r"^((?:@[A-Za-z_]\w*(?=@|$))*)", r"^@\?[0-9]+\?{0,2}([^@]+)"
 
 
 def short_name(name: Column) -> Column:
-    """The readable name of a decorated one: scope::member, or what SPECIAL says; a plain name loses its underscores in
-    front and what follows an @."""
-    bare = F.when(name.startswith("_?"), F.substring(name, 2, 1 << 30)).otherwise(name)
-    plain = F.substring_index(F.ltrim(bare, F.lit("_")), "@", 1)
-    special = F.regexp_extract(bare, r"^\?\?(_R[0-9]|_.|.)", 1)
-    rest = F.when(bare.startswith("??"), F.regexp_replace(bare, r"^\?\?(_R[0-9]|_.|.)", "")).otherwise(F.substring(bare, 2, 1 << 30))
-    tokens = F.filter(F.split(F.substring_index(rest, "@@", 1), "@"), lambda t: t != "")
-    # Scopes end at the first token that is no identifier, as of a local one.
-    inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    stop = F.array_position(F.transform(inner, lambda t: ~t.rlike(r"^[A-Za-z_]\w*$")), F.lit(True)).cast("int")
-    scope = F.when(stop > 0, F.slice(inner, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(inner)
-    cls = F.get(tokens, F.lit(0))
-    of = F.concat(cls, F.lit("::operator"))
-    for code, text in SPECIAL.items():
-        of = F.when(F.regexp_replace(special, "^(_R)[0-9]$", "$1") == code, F.replace(F.lit(text), F.lit("{cls}"), cls)).otherwise(of)
-    whole = F.array_join(F.concat(F.reverse(scope), F.array(cls)), "::")
-    return F.when(~bare.startswith("?"), F.when(plain != "", plain).otherwise(bare)).when(F.size(tokens) == 0, bare).when(special != "", of).otherwise(whole)
+    """The readable name of a decorated one: scope::member, what SPECIAL says, or function::member for what is local to one.
+
+    A plain name loses its underscores in front and what follows an @; what has no identifier stays as it is.
+    """
+    field = lambda k: F.regexp_extract(name, DECORATED, k)
+    text = F.create_map(*[F.lit(x) for pair in SPECIAL.items() for x in pair])
+    parts = F.struct(field(1).alias("code"), field(2).alias("own"), F.regexp_extract(field(3), CLASSES, 1).alias("around"), F.regexp_extract(field(3), FUNCTION, 1).alias("function"))
+
+    def read(x: Column) -> Column:
+        special = F.replace(F.coalesce(text[x["code"]], F.lit("{cls}::operator")), F.lit("{cls}"), x["own"])
+        outside = F.reverse(F.filter(F.split(x["around"], "@"), lambda c: c != ""))
+        scope = F.when(x["around"] != "", F.concat(F.array_join(outside, "::"), F.lit("::"))).when(x["function"] != "", F.concat(x["function"], F.lit("::"))).otherwise(F.lit(""))
+        return F.when(x["code"] != "", special).otherwise(F.concat(scope, x["own"]))
+
+    said = F.element_at(F.transform(F.array(parts), read), 1)
+    undecorated = F.regexp_extract(name, r"^_*([^@]*)", 1)
+    return F.when(~name.rlike(r"^_?\?"), F.when(undecorated != "", undecorated).otherwise(name)).when(field(2) == "", F.regexp_replace(name, r"^_(?=\?)", "")).otherwise(said)
 
 
 def divisor(magic: Column, shift: Column) -> Column:
-    """The divisor behind a multiplication by magic and a shift right by 32 + shift; null if none is near."""
-    exact = F.when(magic > 0, F.pow(F.lit(2.0), shift + 32) / magic)
-    near = F.round(exact)
-    return F.when((near >= 2) & (F.abs(exact - near) < 0.02), near.cast("long"))
+    """The divisor behind a multiplication by magic and a shift right by 32 + shift; null if none is near.
+
+    In whole numbers: d is the one for which d * magic is nearest to the power of two, and must miss it by less than a
+    fiftieth of magic.
+    """
+    whole = lambda c: c.cast("decimal(28,0)")
+    power, m = whole(F.pow(F.lit(2.0), shift + 32)), whole(F.nullif(F.greatest(magic.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")))
+    d = F.call_function("div", power + power + m, m + m)
+    return F.when((d >= 2) & (F.abs(power - d * m) * 50 < m), d)
 
 
 #: Strings and characters in quotes, comments up to their end mark (the second group), and what is between.
@@ -102,13 +111,51 @@ def blank_comments(code: Column) -> Column:
 
 
 def split_top(text: Column) -> Column:
-    """What commas outside of all brackets part, trimmed; nothing after the last one is no part."""
-    step = lambda depth, cur, out: F.struct(depth.alias("depth"), cur.alias("cur"), out.alias("out"))
+    """What commas outside of all brackets part, trimmed; nothing after the last one is no part.
+
+    Cut at every comma first; a piece begins a part where the brackets opened and closed before it are as many.
+    """
+    pieces = F.split(text, ",")
+    count = lambda p, marks: F.length(p) - F.length(F.translate(p, marks, ""))
+    change = F.transform(pieces, lambda p: count(p, "(<[") - count(p, ")>]"))
+    before = F.aggregate(change, F.array(F.lit(0)), lambda depths, x: F.array_append(depths, F.element_at(depths, -1) + x))
+    begins = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.get(before, k) == 0)
+    parts = F.transform(begins, lambda k, i: F.trim(F.array_join(F.slice(pieces, k + 1, F.coalesce(F.get(begins, i + 1), F.size(pieces)) - k), ",")))
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+#: Words of a sentence that says both sides agree, that they do not, and that it is about trials.
+AGREE = "agree agrees agreed identical exact exactly both same match matches"
+DIVERGE = "vs versus against differ differs differing while whereas short only instead prior banked historical recorded fell falls rose raising delta deltas because though although but residue residual extra missing ahead behind cost costs gain gains"
+TRIAL = "compile compiles compiled byte-identical byte-identically byte-flat variant variants control controls campaign campaigns island islands trial trials disposable probe probes experiment experiments candidate candidates rejected tested"
+
+
+def has_word(text: Column, words: str) -> Column:
+    return text.rlike(rf"(?i)\b(?:{words.replace(' ', '|')})\b")
+
+
+def sentences(text: Column) -> Column:
+    """Clauses that end with a point or semicolon before a space, a tab or the end; numbers keep their points."""
+    return F.filter(F.split(text, r"(?<=[.;])(?=[ \t]|\z)"), lambda s: F.trim(s) != "")
+
+
+def agreed_counts(text: Column, units: list[str]) -> Column:
+    """The distinct (unit, n) for which a sentence says that both sides have n.
+
+    That is "n/n unit", and "n unit" where a sentence speaks of agreement and of no divergence; sentences about trials say
+    nothing. Units are matched without regard to case, and are words of letters only.
+    """
+    one = "|".join(sorted(units, key=len, reverse=True))
+    ratio, count = rf"(?i)(?<![\d.])(\d+)\s*/\s*(\d+)\s+({one})\b", rf"(?i)(?<![\d./x])(\d+)\s+(?:ordered\s+)?({one})\b"
+    group = lambda s, pattern, k: F.regexp_extract_all(s, F.lit(pattern), F.lit(k))
+    said = lambda unit, n: F.struct(F.lower(unit).alias("unit"), n.cast("long").alias("n"))
 
-    def add(a: Column, ch: Column) -> Column:
-        depth = a["depth"] + F.when(ch.isin("(", "<", "["), 1).when(ch.isin(")", ">", "]"), -1).otherwise(0)
-        cut = (ch == ",") & (depth == 0)
-        return step(depth, F.when(cut, F.lit("")).otherwise(F.concat(a["cur"], ch)), F.when(cut, F.concat(a["out"], F.array(F.trim(a["cur"])))).otherwise(a["out"]))
+    def of(s: Column) -> Column:
+        sides = F.arrays_zip(group(s, ratio, 1).alias("a"), group(s, ratio, 2).alias("b"), group(s, ratio, 3).alias("unit"))
+        equal = F.transform(F.filter(sides, lambda x: x["a"].cast("long") == x["b"].cast("long")), lambda x: said(x["unit"], x["a"]))
+        rest = F.regexp_replace(s, ratio, "")
+        counts = F.zip_with(group(rest, count, 2), group(rest, count, 1), said)
+        none = F.slice(equal, F.lit(1), F.lit(0))
+        return F.when(has_word(s, TRIAL), none).otherwise(F.concat(equal, F.when(has_word(s, AGREE) & ~has_word(s, DIVERGE), counts).otherwise(none)))
 
-    end = F.aggregate(F.split(text, ""), step(F.lit(0), F.lit(""), F.array().cast("array<string>")), add)
-    return F.when(F.trim(end["cur"]) != "", F.concat(end["out"], F.array(F.trim(end["cur"])))).otherwise(end["out"])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(sentences(text), of))))

@@ -25,8 +25,12 @@ def moves(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
     return new.join(old, "addr").select(*KEY, "old_unit", "old_fn")
 
 
-def classify(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Events (unit, fn, event); a moved row may have two."""
+def classify(snapshot: DataFrame, ledger: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Events (unit, fn, event); a moved row may have two.
+
+    sources (unit, fn, fp): fingerprints of what is there now, scored or not. A row that vanished is REMOVED if its address
+    is scored elsewhere or its source was edited; one whose source is gone was not edited.
+    """
     moved = moves(snapshot, ledger)
     old = ledger.select(F.col("unit").alias("old_unit"), F.col("fn").alias("old_fn"), "best", F.col("fp").alias("old_fp"))
     cur = snapshot.join(moved, KEY, "left")
@@ -37,7 +41,11 @@ def classify(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
     present = cur.select(*KEY, F.explode(F.array_compact(F.array("event_move", state))).alias("event"))
     gone = ledger.join(snapshot.select(*KEY), KEY, "left_anti").join(moved.select(F.col("old_unit").alias("unit"), F.col("old_fn").alias("fn")), KEY, "left_anti")
     seen = snapshot.where("addr is not null").select("addr", F.lit(True).alias("elsewhere")).dropDuplicates()
-    lost = gone.join(seen, "addr", "left").select(*KEY, F.when(F.col("elsewhere"), "REMOVED").when(F.col("state") == "absent", "KNOWN-ABSENT").otherwise("LOST").alias("event"))
+    gone = gone.join(seen, "addr", "left")
+    edited = F.lit(False)
+    if sources is not None:
+        gone, edited = gone.join(sources.select(*KEY, F.col("fp").alias("now")), KEY, "left"), F.col("now") != F.col("fp")
+    lost = gone.select(*KEY, F.when(F.col("elsewhere") | F.coalesce(edited, F.lit(False)), "REMOVED").when(F.col("state") == "absent", "KNOWN-ABSENT").otherwise("LOST").alias("event"))
     return present.unionByName(lost)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ledger import EPS, KEY, below, carried
+from tallyframe.operators.ledger import EPS, KEY, below, carried, classify
 
 #: A score from here on counts as exact.
 EXACT = 99.995
@@ -27,9 +27,10 @@ def unit_counts(ledger: DataFrame) -> DataFrame:
 
 
 def exempted(snapshot: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Fresh regressions (unit, fn, pct, best, neighbour): neighbour if the unit has a row the ledger lacks and the row's own fingerprint stands."""
+    """Fresh regressions (unit, fn, pct, best, neighbour): neighbour if the unit has a NEW row (a moved or renamed one is none) and
+    the row's own fingerprint stands."""
     fresh = carried(snapshot, ledger).where("kind = 'fresh'").drop("kind")
-    grown = snapshot.join(ledger.select(*KEY), KEY, "left_anti").select("unit", F.lit(True).alias("grown")).distinct()
+    grown = classify(snapshot, ledger).where("event = 'NEW'").select("unit", F.lit(True).alias("grown")).distinct()
     same = snapshot.select(*KEY, "fp").join(ledger.select(*KEY, F.col("fp").alias("old_fp")), KEY).select(*KEY, F.col("fp").eqNullSafe(F.col("old_fp")).alias("same"))
     return fresh.join(same, KEY).join(grown, "unit", "left").select(*KEY, "pct", "best", (F.coalesce("grown", F.lit(False)) & F.col("same")).alias("neighbour"))
 

@@ -157,12 +157,16 @@ moved AS (SELECT s1.unit, s1.fn, l1.unit AS old_unit, l1.fn AS old_fn FROM s1 JO
 """
 
 
-@query(MOVED + """, c AS (SELECT s.*, m.old_unit AS mu, b.best, b.fp AS old_fp FROM snapshot s LEFT JOIN moved m USING (unit, fn) LEFT JOIN ledger b ON b.unit = coalesce(m.old_unit, s.unit) AND b.fn = coalesce(m.old_fn, s.fn))
+@query(MOVED + """, sources AS (SELECT 'u' || (l_suppkey % 5) AS unit, 'f' || l_suppkey AS fn, 'h' || (sum(l_partkey) % 2) AS now FROM lineitem WHERE l_suppkey % 4 <> 1 GROUP BY l_suppkey), c AS (SELECT s.*, m.old_unit AS mu, b.best, b.fp AS old_fp FROM snapshot s LEFT JOIN moved m USING (unit, fn) LEFT JOIN ledger b ON b.unit = coalesce(m.old_unit, s.unit) AND b.fn = coalesce(m.old_fn, s.fn))
 SELECT unit, fn, CASE WHEN mu = unit THEN 'RENAMED' ELSE 'MOVED' END AS event FROM c WHERE mu IS NOT NULL
 UNION ALL SELECT unit, fn, event FROM (SELECT unit, fn, CASE WHEN best IS NULL THEN 'NEW' WHEN round(pct, 4) < best - 0.01 THEN 'REGRESS' WHEN fp <> old_fp THEN 'TOUCHED' WHEN pct > best + 0.01 THEN 'IMPROVE' END AS event FROM c) WHERE event IS NOT NULL
-UNION ALL SELECT unit, fn, CASE WHEN addr IN (SELECT addr FROM snapshot WHERE addr IS NOT NULL) THEN 'REMOVED' WHEN state = 'absent' THEN 'KNOWN-ABSENT' ELSE 'LOST' END FROM ledger WHERE (unit, fn) NOT IN (SELECT (unit, fn) FROM snapshot) AND (unit, fn) NOT IN (SELECT (old_unit, old_fn) FROM moved)""")
+UNION ALL SELECT unit, fn, CASE WHEN addr IN (SELECT addr FROM snapshot WHERE addr IS NOT NULL) OR now <> fp THEN 'REMOVED' WHEN state = 'absent' THEN 'KNOWN-ABSENT' ELSE 'LOST' END FROM ledger LEFT JOIN sources USING (unit, fn) WHERE (unit, fn) NOT IN (SELECT (unit, fn) FROM snapshot) AND (unit, fn) NOT IN (SELECT (old_unit, old_fn) FROM moved)""")
 def regression_classify(spark, d):
-    return lg.classify(*snaps(spark, d))
+    """The fingerprint of all lines of a supplier is what its source is now."""
+    key = F.col("l_suppkey")
+    lines = table(spark, d, "lineitem").where(key % 4 != 1).groupBy(key).agg(F.sum("l_partkey").alias("p"))
+    sources = lines.select(F.concat(F.lit("u"), (key % 5).cast("string")).alias("unit"), F.concat(F.lit("f"), key.cast("string")).alias("fn"), F.concat(F.lit("h"), (F.col("p") % 2).cast("string")).alias("fp"))
+    return lg.classify(*snaps(spark, d), sources)
 
 
 @query(SNAPS + """, once AS (SELECT addr, min(best) AS best, min(hist) AS hist, min(tries) AS tries, min(fp) AS fp FROM ledger WHERE addr IS NOT NULL GROUP BY addr HAVING count(*) = 1),

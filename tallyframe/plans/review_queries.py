@@ -11,7 +11,7 @@ from tallyframe.operators import intervals as iv
 from tallyframe.operators import ledger as lg
 from tallyframe.operators import resolve as rs
 from tallyframe.operators import review as rv
-from tallyframe.plans.claim_queries import CLAIMS, PRECEDENCE, SIZED, SNAPS, claims, snaps
+from tallyframe.plans.claim_queries import CLAIMS, MOVED, PRECEDENCE, SIZED, SNAPS, claims, snaps
 from tallyframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -42,7 +42,7 @@ def unit_counts(spark, d):
     return rv.unit_counts(snaps(spark, d)[1])
 
 
-@query(SNAPS + """, grown AS (SELECT DISTINCT unit FROM snapshot WHERE (unit, fn) NOT IN (SELECT (unit, fn) FROM ledger))
+@query(MOVED + """, grown AS (SELECT DISTINCT unit FROM snapshot WHERE (unit, fn) NOT IN (SELECT (unit, fn) FROM ledger) AND (unit, fn) NOT IN (SELECT (unit, fn) FROM moved))
 SELECT s.unit, s.fn, s.pct, l.best, s.unit IN (SELECT unit FROM grown) AND s.fp = l.fp AS neighbour FROM snapshot s JOIN ledger l USING (unit, fn) WHERE round(s.pct, 4) < l.best - 0.01 AND NOT round(l.cur, 4) < l.best - 0.01""")
 def neighbor_exempt(spark, d):
     return rv.exempted(*snaps(spark, d))
@@ -302,11 +302,11 @@ def include_closure(spark, d):
 # Scalars
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '::' || p_brand WHEN p_partkey % 4 = 1 THEN p_brand || '::~' || p_brand WHEN p_partkey % 4 = 2 THEN p_brand || '::f' || p_size ELSE 'g' || p_size END AS short FROM (SELECT p_partkey, replace(p_brand, '#', '') AS p_brand, p_size FROM part)""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand || '::' || p_brand WHEN 1 THEN p_brand || '::~' || p_brand WHEN 2 THEN p_brand || '::f' || p_size WHEN 3 THEN 'g' || p_size WHEN 4 THEN 'f' || p_size || '::clip' ELSE 'N' || p_size || '::' || p_brand || '::m' END AS short FROM (SELECT p_partkey, replace(p_brand, '#', '') AS p_brand, p_size FROM part)""")
 def mangled_names(spark, d):
     b, n = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_size").cast("string")
-    k = F.col("p_partkey") % 4
-    name = F.when(k == 0, F.concat(F.lit("??0"), b, F.lit("@@QAE@XZ"))).when(k == 1, F.concat(F.lit("??1"), b, F.lit("@@UAE@XZ"))).when(k == 2, F.concat(F.lit("?f"), n, F.lit("@"), b, F.lit("@@QAEXXZ"))).otherwise(F.concat(F.lit("_g"), n, F.lit("@8")))
+    forms = [("??0", b, "@@QAE@XZ"), ("??1", b, "@@UAE@XZ"), ("?f", n, "@", b, "@@QAEXXZ"), ("_g", n, "@8"), ("_?clip@?1??f", n, "@", b, "@@QAEXXZ@4HA"), ("?m@", b, "@N", n, "@@2HA")]
+    name = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in f]) for f in forms]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", sc.short_name(name).alias("short"))
 
 
@@ -318,12 +318,17 @@ def magic_divisor(spark, d):
     return table(spark, d, "part").select("p_partkey", magic.alias("magic"), sc.divisor(magic, shift).alias("divisor"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]\\s+')) AS sentence FROM documents) SELECT doc_id, count(*) AS sentences, CAST(sum(len(regexp_extract_all(sentence, '[0-9]+'))) AS BIGINT) AS numbers, count(*) FILTER (regexp_matches(sentence, '[0-9]')) AS claims FROM s GROUP BY doc_id""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 90 AS a, o_custkey % 50 AS b, o_orderkey % 3 AS kind FROM orders),
+c AS (SELECT k, 'branches' AS unit, b AS n FROM o WHERE kind = 0 UNION SELECT k, 'calls', a FROM o WHERE kind = 0 UNION SELECT k, 'relocs', a FROM o WHERE kind < 2 AND a = b)
+SELECT k AS o_orderkey, CASE kind WHEN 2 THEN 1 ELSE 2 END AS sentences, count(unit) AS claims, coalesce(string_agg(unit || '=' || n, ' ' ORDER BY unit, n), '') AS agreed FROM o LEFT JOIN c USING (k) GROUP BY ALL""")
 def sentence_claims(spark, d):
-    s = F.split("text", r"[.!?]\s+")
-    numbers = F.transform("s", lambda x: F.size(F.regexp_extract_all(x, F.lit("([0-9]+)"), F.lit(1))).cast("long"))
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", s.alias("s")).withColumn("k", numbers)
-    return t.select("doc_id", F.size("s").cast("long").alias("sentences"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("numbers"), F.size(F.filter("k", lambda x: x > 0)).cast("long").alias("claims"))
+    """Sentences made of the numbers of an order: one that agrees, one that also diverges, one about a trial."""
+    a, b, kind = F.col("o_orderkey") % 90, F.col("o_custkey") % 50, F.col("o_orderkey") % 3
+    head = F.when(kind == 0, F.format_string("Both sides agree at %d calls and %d branches (score 99.5 exact).", a, b)).otherwise(F.format_string("The base has %d calls vs %d, but both match;", a, b))
+    text = F.when(kind == 2, F.format_string("A trial had %d/%d relocs and the same %d calls.", a, a, b)).otherwise(F.concat(head, F.format_string(" it holds %d/%d relocs", a, b)))
+    t = table(spark, d, "orders").select("o_orderkey", text.alias("text")).withColumn("said", sc.agreed_counts(F.col("text"), ["calls", "branches", "relocs"]))
+    agreed = F.array_join(F.transform("said", lambda x: F.concat(x["unit"], F.lit("="), x["n"].cast("string"))), " ")
+    return t.select("o_orderkey", F.size(sc.sentences(F.col("text"))).alias("sentences"), F.size("said").cast("long").alias("claims"), agreed.alias("agreed"))
 
 
 @query()

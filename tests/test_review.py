@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as sc
-from tallyframe.operators import graph, intervals, ledger
+from tallyframe.operators import graph, intervals, ledger, review
 from tallyframe.sources import codecs
 
 
@@ -58,11 +58,45 @@ def test_top_level_parts(spark):
 
 
 def test_short_names(spark):
-    names = {"?open@CMirrorFile@@QAE": "CMirrorFile::open", "??0CX@@QAE@XZ": "CX::CX", "??1CX@@": "CX::~CX", "??_7CX@@6B@": "CX::`vftable'", "??HCX@@": "CX::operator", "_main@8": "main", "plain": "plain", "?f@B@A@@YA": "A::B::f", "?f@@YA": "f"}
+    names = {"?open@CMirrorFile@@QAE": "CMirrorFile::open", "??0CX@@QAE@XZ": "CX::CX", "??1CX@@": "CX::~CX", "??_7CX@@6B@": "CX::`vftable'", "??HCX@@": "CX::operator", "_main@8": "main", "plain": "plain", "?f@B@A@@YA": "A::B::f", "?f@@YA": "f", "_?clip@?1??RenderFrame@CImage@@QAE@4HA": "RenderFrame::clip", "?clip@?1??Draw@@YAXXZ@4HA": "Draw::clip", "??_R4CX@@6B@": "CX::`RTTI'", "??_C@_03x@": "`string'", "?": "?", "_?": "?", "___x@4": "x", "__@": "__@", "": "", "?m@A@?5x@B@@": "A::m"}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", sc.short_name(F.col("n")).alias("s")).collect()
     assert {r.n: r.s for r in rows} == names
 
 
+def test_divisors(spark):
+    rows = [(d, s, round(2 ** (32 + s) / d)) for d in (2, 3, 7, 10, 641, 65_535) for s in (0, 3, 11)] + [(None, 5, 0), (None, 0, -7), (None, 2, 3 * 10**9 + 1), (None, 31, 123_456_789_012)]
+    got = spark.createDataFrame(rows, "d long, s int, m long").select("d", "s", "m", sc.divisor(F.col("m"), F.col("s")).alias("got")).collect()
+    plain = lambda m, s: (lambda d: d if d >= 2 and abs(2 ** (32 + s) - d * m) * 50 < m else None)((2 ** (33 + s) + m) // (2 * m)) if m > 0 else None
+    assert [r.got for r in got] == [plain(r.m, r.s) for r in got] and all(r.got == r.d for r in got if r.d and r.d < 600)
+
+
+def test_agreed_counts(spark):
+    said = {
+        "Both agree at 24 calls, 96 branches; base has 15 vs retail 16 returns.": [("branches", 96), ("calls", 24)],
+        "it is 59/59 calls but 3/4 branches": [("calls", 59)], "the trial had the same 5 calls": [], "0x5 calls match": [], "score 99.5. Same 7 Calls": [("calls", 7)], "": [], "5 calls": [],
+    }
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", sc.agreed_counts(F.col("t"), ["calls", "branches", "returns"]).alias("c")).collect()
+    assert {r.t: [tuple(x) for x in r.c] for r in got} == said
+
+
+def test_a_renamed_row_excuses_no_neighbour(spark):
+    snap = "unit string, fn string, pct double, fp string, addr long"
+    led = "unit string, fn string, best double, cur double, hist double, tries long, fp string, addr long, state string"
+    snapshot = spark.createDataFrame([("u", "new", 90.0, "h", 32), ("u", "f", 50.0, "h", 16)], snap)
+    old = spark.createDataFrame([("u", "old", 90.0, 90.0, 90.0, 1, "h", 32, ""), ("u", "f", 80.0, 80.0, 80.0, 1, "h", 16, "")], led)
+    assert [r.neighbour for r in review.exempted(snapshot, old).collect()] == [False]
+    grown = snapshot.unionByName(spark.createDataFrame([("u", "more", 10.0, "h", 64)], snap))
+    assert [r.neighbour for r in review.exempted(grown, old).collect()] == [True]
+
+
+def test_a_row_that_vanished_with_an_edit_is_removed(spark):
+    led = "unit string, fn string, best double, cur double, hist double, tries long, fp string, addr long, state string"
+    old = spark.createDataFrame([("u", f, 90.0, 90.0, 90.0, 1, "h", None, s) for f, s in (("a", ""), ("b", ""), ("c", "absent"), ("d", ""))], led)
+    none = spark.createDataFrame([], "unit string, fn string, pct double, fp string, addr long")
+    sources = spark.createDataFrame([("u", "a", "edited"), ("u", "b", "h"), ("u", "c", "h")], "unit string, fn string, fp string")
+    assert {r.fn: r.event for r in ledger.classify(none, old, sources).collect()} == {"a": "REMOVED", "b": "LOST", "c": "KNOWN-ABSENT", "d": "LOST"}
+
+
 def test_effective_incoming_goes_round_no_circle(spark):
     edges = spark.createDataFrame([(100, 1), (101, 3), (101, 3), (102, 5), (103, 7), (1, 2)], "src long, dst long")
     forwards = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5), (8, 5)], "node long, next long")
