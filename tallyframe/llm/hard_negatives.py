@@ -33,7 +33,7 @@ POSITIVES = NEGATIVES = 5
 #: The score of a negative lies between LEAST / 100 of its positive's and the positive's.
 LEAST = 80
 #: Rows of a part, and of a leaf of its tree.
-PART, LEAF = 4096, 64
+PART, LEAF = 2048, 64
 #: Bytes of anchors' vectors that are sent to all tasks at once, and anchors that descend a tree together.
 CHUNK, TOGETHER = 8 << 20, 512
 #: A round searches so many times the parts of all before it.
