@@ -17,7 +17,6 @@ long tiles go to the first in the item, then in the document.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -37,48 +36,58 @@ SCHEMA = "doc_id long, item_id long, coverage double, n_tokens long, n_tiles int
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in doc, length), none overlapping another; values below 0 match nothing."""
-    marked_i, marked_d = item < 0, doc < 0
-    a, b = item.tolist(), doc.tolist()
+    """Tiles (start in item, start in doc, length), none overlapping another; values below 0 match nothing.
+
+    The longest length that free places of both still share is found by halving, as what shares a passage shares all
+    shorter ones; each trial is one running hash over both. All tiles of that length are then marked in one walk: a place
+    of the document that is no longer free stays so, so that no list of equal places is gone through twice, and long
+    repetitive texts take no longer than others. There are no more lengths than the square root of twice the item's.
+    """
+    taken_i, taken_d = item < 0, doc < 0
+    values_i, values_d = common.mix(item.astype(np.uint64)), common.mix(doc.astype(np.uint64))
     out: list[tuple[int, int, int]] = []
-    s = max(least, min(len(a), 20))
-    while True:
-        longest, found = 0, []
-        hash_i = common.rolling_hashes(item.astype(np.uint64), s)
-        hash_d = common.rolling_hashes(doc.astype(np.uint64), s)
-        free = lambda marks: np.flatnonzero(np.convolve(marks, np.ones(s, np.int64), "valid") == 0) if len(marks) >= s else []
-        where: dict[int, list[int]] = {}
-        for t in free(marked_d):
-            where.setdefault(int(hash_d[t]), []).append(int(t))
-        for p in free(marked_i):
-            p = int(p)
-            for t in where.get(int(hash_i[p]), ()):
-                if p and t and a[p - 1] == b[t - 1] and not marked_i[p - 1] and not marked_d[t - 1]:
-                    continue  # part of the match that begins before it
-                k = 0
-                while p + k < len(a) and t + k < len(b) and a[p + k] == b[t + k] and not marked_i[p + k] and not marked_d[t + k]:
-                    k += 1
-                if k >= s:
-                    found.append((-k, p, t))
-                    longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
-            continue
-        heapq.heapify(found)
-        while found:
-            k, p, t = heapq.heappop(found)
-            taken = np.flatnonzero(np.concatenate([[True], marked_i[p : p - k] | marked_d[t : t - k], [True]]))
-            if len(taken) == 2:
-                out.append((p, t, -k))
-                marked_i[p : p - k] = True
-                marked_d[t : t - k] = True
+
+    def free(values: np.ndarray, taken: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where n values in a row are free, and their hashes."""
+        if len(values) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marks = np.concatenate([[0], np.cumsum(taken)])
+        at = np.flatnonzero(marks[n:] == marks[:-n])
+        return at, common.rolling_hashes(values, n)[at]
+
+    def shared(n: int) -> bool:
+        one = np.unique(free(values_i, taken_i, n)[1])
+        two = free(values_d, taken_d, n)[1]
+        return bool(len(one) and len(two) and (one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).any())
+
+    most = min(len(item), len(doc))
+    while most >= least and shared(least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        at, hashes = free(values_d, taken_d, low)
+        order = np.argsort(hashes, kind="stable")
+        at, hashes = at[order], hashes[order]
+        next_: dict[int, int] = {}
+        for p, h in zip(*(x.tolist() for x in free(values_i, taken_i, low))):
+            if taken_i[p] or taken_i[p + low - 1]:  # tiles of this length and longer only: one that overlaps covers an end
                 continue
-            for x, y in zip(taken[:-1].tolist(), taken[1:].tolist()):  # what longer tiles leave of it
-                if y - x - 1 >= s:
-                    heapq.heappush(found, (x + 1 - y, p + x, t + x))
-        if s == least:
-            return out
-        s = s // 2 if s > 2 * least else least
+            k = next_.get(h)
+            if k is None:
+                k = int(np.searchsorted(hashes, np.uint64(h)))
+            while k < len(at) and hashes[k] == h and (taken_d[at[k]] or taken_d[at[k] + low - 1]):
+                k += 1
+            next_[h] = k
+            while k < len(at) and hashes[k] == h:
+                t = int(at[k])
+                if not (taken_d[t] or taken_d[t + low - 1]) and (item[p : p + low] == doc[t : t + low]).all():
+                    out.append((p, t, low))
+                    taken_i[p : p + low] = taken_d[t : t + low] = True
+                    break
+                k += 1  # other tokens of the same hash
+        most = low - 1
+    return out
 
 
 class Block:
@@ -148,16 +157,17 @@ class Block:
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             doc, here, seen = int(owner[lo]), at[lo:hi], value[lo:hi].tolist()
-            candidates = {i for v in set(seen) for i in self.index.get(v, ())}
+            some = set(seen)
+            candidates = {i for v in some for i in self.index.get(v, ())}
             for i in sorted(candidates):
                 item, mine = self.tokens[i], self.own[i]
+                if not self.reaches(item, mine, some):
+                    continue
                 places = here[[j for j, v in enumerate(seen) if v in mine]]
                 # What of the document lies in shared seeds; gaps become one token that matches nothing.
                 cover = np.unique((places[:, None] + np.arange(k)).ravel())
                 gap = np.flatnonzero(np.diff(cover) > 1) + 1
                 doc_tokens = np.insert(flat[cover], gap, -1)
-                if not self.reaches(item, mine, set(seen)):
-                    continue
                 tiles = tile(item, doc_tokens, k)
                 share = sum(t[2] for t in tiles) / len(item)
                 if share >= self.threshold:
