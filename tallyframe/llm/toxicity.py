@@ -34,8 +34,10 @@ CANDIDATES, FEATURES, MIN_DOCS = 40_000, 1_000, 3
 LIFT, SURPRISE = 6.0, 22.0
 RIDGE = 0.05
 PREFIXES = (4, 5, 6, 7)
-#: What is read from within a run of spaced letters: so many different ones in a row that none of PREFIXES is cut, however drawn out.
-REACH = re.compile(r"[\W_]*(?:([^\W_])\1*[\W_]*){1,12}")
+#: What is read at once of a run of spaced letters: so many different ones in a row that none of PREFIXES is cut, however drawn
+#: out, with a few signs between them. Letters that come more than three times in a row are read as three.
+REACH = re.compile(r"[\W_]{0,6}(?:([^\W_])\1*[\W_]{0,6}){1,12}")
+LONG, DRAWN_OUT = 36, re.compile(r"(.)\1{3,}")
 THRESHOLD = 0.7
 #: Hashed tables of the character model: trigrams and their contexts.
 TRI_BITS, BI_BITS = 20, 16
@@ -53,7 +55,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 FILLERS = set("._-*~'`,:;/\\|+=^#")
 P_LEET, P_WILD, P_DROP, P_FOLD, P_KEEP_TWO, P_END = -1.0, -3.0, -0.3, -0.2, -1.0, -1.3
 EDGE = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?[\\]^_`{|}~«»“”„‘’…–—¿¡"
-SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|*+])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|*+])){3,}(?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|*+])(?>[ ._\-*]{1,2}(?:[^\W_]|[@$!|*+])){3,}(?![^\s.,;:!?])")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -232,18 +234,28 @@ def unspaced(text: str, model: CharModel) -> list[str]:
     """Words whose letters stand apart, where the model likes them better joined.
 
     The gaps do not tell where a word begins, and trigrams do not know words: what begins at each letter is read too, as
-    far as features reach.
+    far as features reach. A letter that repeats the one before it begins nothing else. What a piece says is decoded once
+    a text, and pieces are of bounded length, so that time grows with the text and not with its square.
     """
-    out = []
+    out: dict[str, None] = {}
+    read: dict[str, tuple[str, float]] = {}
+
+    def said(part: str) -> tuple[str, float]:
+        if part not in read:
+            read[part] = decode(part, model)
+        return read[part]
+
     for m in SPACED.finditer(text):
-        letters = re.sub(r"[ ._\-]", "", m[0].lower())
-        alone = [decode(c, model)[1] for c in letters]
+        letters = DRAWN_OUT.sub(r"\1\1\1", re.sub(r"[ ._\-]", "", m[0].lower()))
+        alone = np.concatenate([[0.0], np.cumsum([said(c)[1] for c in letters])])
         for at in range(max(1, len(letters) - PREFIXES[0] + 1)):
-            part = letters if not at else found[0] if (found := REACH.match(letters, at)) else letters[at:]
-            word, p = decode(part, model)
-            if p > sum(alone[at : at + len(part)]) and word not in out:
-                out.append(word)
-    return out
+            if at and letters[at] == letters[at - 1]:
+                continue
+            part = letters if not at and len(letters) <= LONG else found[0] if (found := REACH.match(letters, at)) else letters[at : at + LONG]
+            word, p = said(part)
+            if p > alone[at + len(part)] - alone[at]:
+                out[word] = None
+    return list(out)
 
 
 def features(words: list[str]) -> list[str]:
