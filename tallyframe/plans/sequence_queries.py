@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators import alignment as al
 from tallyframe.operators import sequences as sq
+from tallyframe.operators.graph import cut
 from tallyframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -127,3 +129,36 @@ PATTERNS = {"capitals": "[A-Z]+", "numbers": "[0-9]+", "links": "https?://", "ma
 @query("SELECT source, m.metric AS metric, CAST(sum(m.n) AS BIGINT) AS n FROM (SELECT source, unnest([" + ", ".join(f"{{'metric': '{n}', 'n': len(regexp_extract_all(coalesce(text, ''), '{p}'))}}" for n, p in PATTERNS.items()) + "]) AS m FROM documents) GROUP BY ALL")
 def metric_vector(spark, d):
     return sq.metrics(table(spark, d, "documents"), "source", "text", PATTERNS)
+
+
+@query()
+def alignment_residual(spark, d):
+    """Each turn of a conversation aligned with the next. Tested against brute force."""
+    keys, pairs = ["conv_id", "turn"], numbered_turns(spark, d)
+    sizes = pairs.select("pair", *keys, F.size("l").alias("n"), F.size("r").alias("m"))
+    found = al.chunks(al.matches(al.spread(pairs, ["pair"], "l", "r"), ["pair"]), sizes, ["pair"])
+    return al.residuals(found, sizes, ["pair"]).join(sizes, "pair").select(*keys, "n", "m", "residual", "chunks")
+
+
+def numbered_turns(spark, d):
+    """A conversation may have a turn twice, and no id."""
+    return cut(turns(spark, d).withColumn("pair", F.monotonically_increasing_id()))
+
+
+#: An instruction for each line of an order: the two lanes of an order are the sides of a pair.
+FORMS = ["mov eax,[esi+0x{k}]", "mov {r},ebx", "mov [esi+0x{k}],{r}", "add {r},0x{k}", "call X|f{k}", "push {r}", "lea {r},[esi+0x{k}]", "ret"]
+
+
+@query()
+def instruction_residuals(spark, d):
+    """Classes of differences between the returned and the other lines of an order, as code. Tested on cases of every class."""
+    at = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k + 1).cast("int"))
+    p = F.col("l_partkey")
+    code = F.replace(F.replace(at(FORMS, p % len(FORMS)), F.lit("{r}"), at(["eax", "ecx", "edx"], F.col("l_linenumber") % 3)), F.lit("{k}"), F.lower(F.hex(4 + p % 5 * 4)))
+    line = table(spark, d, "lineitem").withColumn("code", code)
+    order = F.struct("l_linenumber", "l_partkey", "l_quantity", "code")
+    lane = lambda ours: F.transform(F.array_sort(F.collect_list(F.when((F.col("l_returnflag") == "R") == ours, order))), lambda x: x["code"])
+    pairs = cut(line.groupBy("l_orderkey").agg(lane(True).alias("l"), lane(False).alias("r")))
+    sizes = pairs.select("l_orderkey", F.size("l").alias("n"), F.size("r").alias("m"))
+    tokens = al.spread(pairs, ["l_orderkey"], "l", "r")
+    return al.residual_classes(tokens, al.matches(tokens, ["l_orderkey"]), sizes, ["l_orderkey"])

@@ -43,7 +43,7 @@ def test_queries_without_sql(spark):
     """Their columns are tested against plain code elsewhere; here, that every row comes."""
     for name, source in (("blanked_code", "conversations"), ("top_level_parts", "part")):
         assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"blanked_code", "top_level_parts", "difflib_residual"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"blanked_code", "top_level_parts", "difflib_residual", "alignment_residual", "instruction_residuals"}
 
 
 def test_entry_points():
