@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import alignment as al
+from tallyframe.operators import repeats as rp
 from tallyframe.operators import sequences as sq
 from tallyframe.operators.graph import cut
 from tallyframe.sources.tables import table
@@ -162,3 +163,16 @@ def instruction_residuals(spark, d):
     sizes = pairs.select("l_orderkey", F.size("l").alias("n"), F.size("r").alias("m"))
     tokens = al.spread(pairs, ["l_orderkey"], "l", "r")
     return al.residual_classes(tokens, al.matches(tokens, ["l_orderkey"]), sizes, ["l_orderkey"])
+
+
+@query("""WITH t AS (SELECT user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events),
+s AS (SELECT unit, list(token ORDER BY pos) AS all_ FROM t GROUP BY unit),
+same AS (SELECT a.unit, a.pos AS i, b.pos - a.pos AS d, a.pos - row_number() OVER (PARTITION BY a.unit, b.pos - a.pos ORDER BY a.pos) AS island FROM t a JOIN t b ON a.unit = b.unit AND a.token = b.token AND a.pos < b.pos),
+runs AS (SELECT unit, d, min(i) AS i, count(*) AS length FROM same GROUP BY unit, d, island HAVING count(*) >= 4),
+starts AS (SELECT unit, i AS start, length FROM runs UNION SELECT unit, i + d, length FROM runs),
+texts AS (SELECT unit, length, all_[start + 1 : start + length] AS text, count(*) AS copies FROM starts JOIN s USING (unit) GROUP BY ALL)
+SELECT unit, length, copies, (SELECT min(p) FROM unnest(range(0, len(all_))) AS u(p) WHERE all_[p + 1 : p + length] = text) AS "at", text[-1] AS last, CASE WHEN text[-1] IN ('purchase', 'error') THEN 'suffix' ELSE 'prefix' END AS kind FROM texts JOIN s USING (unit)""")
+def repeated_runs(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    tokens = table(spark, d, "events").select(F.col("user_id").alias("unit"), (F.row_number().over(w) - 1).alias("pos"), F.col("event_type").alias("token"))
+    return rp.maximal_runs(cut(tokens), terminal=F.col("token").isin("purchase", "error"))
