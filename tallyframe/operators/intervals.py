@@ -1,7 +1,8 @@
 """Interval algebra over an integer address space, all half-open [lo, hi).
 
-Every operator takes the columns that name an independent address space (`by`), so that its windows are partitioned;
-an address space that is too large for one task is cut by `by` columns of the caller's choice.
+Every operator takes the columns that name an independent address space (`by`), so that its windows are partitioned.
+Where one takes a `width`, spaces are swept in cells of that many places (see sweep), so that one space is the work of many
+tasks; without it a space is one task's. Results are the same.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators import sweep
+
 
 def _order(by: Sequence[str], *keys):
     return Window.partitionBy(*by).orderBy(*keys)
 
 
-def extents(rows: DataFrame, by: Sequence[str], start: str, end: Column | str, ties: Sequence[str] = ()) -> DataFrame:
+def extents(rows: DataFrame, by: Sequence[str], start: str, end: Column | str, ties: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """rows with size: the next start less the own start, for the last row of a space its end less the start."""
     end = F.col(end) if isinstance(end, str) else end
+    if width:
+        out = sweep.next_place(sweep.celled(rows, by, start, width), start, [start, *ties], "_next")
+        return sweep.done(out.withColumn("size", F.coalesce("_next", end) - F.col(start)), "_next")
     following = F.lead(start).over(_order(by, start, *ties))
     return rows.withColumn("size", F.coalesce(following, end) - F.col(start))
 
@@ -29,7 +35,7 @@ def with_exact(rows: DataFrame, exact: DataFrame, key: Sequence[str]) -> DataFra
     return joined.withColumn("size", F.coalesce("exact_size", "room")).withColumn("oversized", F.coalesce(F.col("exact_size") > F.col("room"), F.lit(False)))
 
 
-def asof(points: DataFrame, anchors: DataFrame, by: Sequence[str], at: str, carry: Sequence[str], forward: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+def asof(points: DataFrame, anchors: DataFrame, by: Sequence[str], at: str, carry: Sequence[str], forward: bool = False, ties: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """points with the carried columns of the last anchor at or before each point (the first at or after it: forward).
 
     Both sides go through one window as a union; neither is joined to the other, so a hot space costs a sort only.
@@ -40,25 +46,36 @@ def asof(points: DataFrame, anchors: DataFrame, by: Sequence[str], at: str, carr
     both = p.unionByName(a, allowMissingColumns=True)
     # An anchor counts for a point at its own place: before it in either direction of the scan.
     keys = [F.col(at).desc() if forward else F.col(at).asc(), F.col("_anchor").desc(), *[F.col(t).desc() if forward else F.col(t).asc() for t in ties]]
-    w = _order(by, *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    packed = F.last(F.when(F.col("_anchor"), F.struct(*[F.col(n) for n in names])), ignorenulls=True).over(w)
-    found = both.withColumn("_found", packed).where(~F.col("_anchor"))
+    packed = F.when(F.col("_anchor"), F.struct(*[F.col(n) for n in names]))
+    if width:
+        found = sweep.done(sweep.last_known(sweep.celled(both, by, at, width), packed, keys, F.struct(at, *ties), "_found", forward))
+    else:
+        found = both.withColumn("_found", F.last(packed, ignorenulls=True).over(_order(by, *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.where(~F.col("_anchor"))
     return found.select(*points.columns, *[F.col(f"_found.{n}").alias(n) for n in names])
 
 
-def coalesce(rows: DataFrame, by: Sequence[str], lo: str, hi: str, tolerance: int = 0, measures: Sequence[Column] = ()) -> DataFrame:
+def coalesce(rows: DataFrame, by: Sequence[str], lo: str, hi: str, tolerance: int = 0, measures: Sequence[Column] = (), width: int | None = None) -> DataFrame:
     """Runs (by, run, lo, hi, parts, measures): intervals join while lo - highest end so far <= tolerance; 0 joins touching ones."""
+    opens = F.when(F.col("_reach").isNull() | (F.col(lo) - F.col("_reach") > tolerance), 1).otherwise(0)
+    if width:
+        reached = sweep.highest_before(sweep.celled(rows, by, lo, width), hi, [lo, hi], "_reach")
+        numbered = sweep.done(sweep.running_sum(reached, opens, [lo, hi], "run"), "_reach")
+        return numbered.groupBy(*by, "run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("parts"), *measures)
     w = _order(by, lo, hi)
     reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("_new", F.when(reach.isNull() | (F.col(lo) - reach > tolerance), 1).otherwise(0))
+    opened = rows.withColumn("_reach", reach).withColumn("_new", opens).drop("_reach")
     numbered = opened.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("parts"), *measures)
 
 
-def gaps(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+def gaps(runs: DataFrame, by: Sequence[str], width: int | None = None) -> DataFrame:
     """Holes (by, gap_lo, gap_hi, length) strictly between coalesced runs (by, lo, hi)."""
-    w = _order(by, "lo")
-    return runs.withColumn("gap_hi", F.lead("lo").over(w)).where("gap_hi > hi").select(*by, F.col("hi").alias("gap_lo"), "gap_hi", (F.col("gap_hi") - F.col("hi")).alias("length"))
+    if width:
+        led = sweep.done(sweep.next_place(sweep.celled(runs, by, "lo", width), "lo", ["lo"], "gap_hi"))
+    else:
+        led = runs.withColumn("gap_hi", F.lead("lo").over(_order(by, "lo")))
+    return led.where("gap_hi > hi").select(*by, F.col("hi").alias("gap_lo"), "gap_hi", (F.col("gap_hi") - F.col("hi")).alias("length"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], least: int = 1, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -118,8 +135,10 @@ def collapse(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: st
     return rows.withColumn("_same", F.lag(value).over(_order(by, *order)).eqNullSafe(F.col(value))).where("not _same").drop("_same")
 
 
-def stride_runs(rows: DataFrame, by: Sequence[str], at: str, stride: int) -> DataFrame:
-    """Maximal runs (by, lo, hi, n) of positions that follow each other at the stride."""
-    w = _order(by, at)
-    keyed = rows.withColumn("_island", F.col(at) - stride * F.row_number().over(w))
+def stride_runs(rows: DataFrame, by: Sequence[str], at: str, stride: int, width: int | None = None) -> DataFrame:
+    """Maximal runs (by, lo, hi, n) of positions, each there once, that follow each other at the stride."""
+    if width:
+        keyed = sweep.done(sweep.running_sum(sweep.celled(rows, by, at, width), F.lit(1), [at], "_place").withColumn("_island", F.col(at) - stride * F.col("_place")), "_place")
+    else:
+        keyed = rows.withColumn("_island", F.col(at) - stride * F.row_number().over(_order(by, at)))
     return keyed.groupBy(*by, "_island").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).drop("_island")

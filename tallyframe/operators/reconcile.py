@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.graph import cut, terminals
+from tallyframe.operators.intervals import asof
 
 
 def _pair(*columns: Column) -> list[Column]:
@@ -129,3 +130,26 @@ def slot_findings(bound: DataFrame, tables: DataFrame) -> DataFrame:
     j = asked.withColumn("_asked", F.lit(True)).join(judged, ["class", "slot"], "full_outer")
     finding = F.when(F.col("_bound").isNull(), "UNBOUND").when(F.col("_asked").isNull(), "MISSING").when(F.col("there") != F.col("symbol"), "FOREIGN")
     return j.select("class", "slot", finding.alias("finding")).where("finding is not null")
+
+
+def attribute(gaps: DataFrame, accesses: DataFrame, claims: DataFrame, definitions: DataFrame, width: int) -> DataFrame:
+    """(gap_lo, fn, site, target, verdict, hits, base, symbol, size, storage, library, member): what touched gaps are part of.
+
+    gaps: (lo, hi, touched, verdict), none overlapping another, of which those that are touched and no padding are asked
+    about; accesses: (fn, site, target), site being a place of fn; claims: (fn, library, name) say which library's
+    function fn is; definitions: (library, name, offset, addend, symbol, size, storage, member) say what that function
+    refers to at an offset. An access is FOUND if all definitions that fit it agree, and then names the symbol and where it
+    begins; AMBIGUOUS if they do not; UNKNOWN if none fits. Accesses at site 0 are no code and are left out.
+
+    Accesses meet gaps in a sweep over the one space in cells of the width, not in a join.
+    """
+    asked = gaps.where("touched > 0 and verdict <> 'PAD'").select(F.col("lo").alias("target"), "lo", "hi")
+    within = asof(accesses.where("site <> 0"), asked, [], "target", ["lo", "hi"], ties=["anchor_lo"], width=width).where("target < anchor_hi")
+    held = within.join(claims, "fn", "left").withColumn("offset", F.col("site") - F.col("fn"))
+    fits = held.join(definitions, ["library", "name", "offset"], "left")
+    facts = ["base", "addend", "symbol", "size", "storage", "library", "member"]
+    hit = F.when(F.col("addend").isNotNull(), F.struct(*facts))
+    told = fits.withColumn("base", F.col("target") - F.col("addend")).groupBy(F.col("anchor_lo").alias("gap_lo"), "fn", "site", "target").agg(F.count_distinct(hit).alias("hits"), F.min(hit).alias("h"))
+    verdict = F.when(F.col("hits") == 1, "FOUND").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("UNKNOWN")
+    only = [F.when(F.col("hits") == 1, F.col(f"h.{c}")).alias(c) for c in facts if c != "addend"]
+    return told.select("gap_lo", "fn", "site", "target", verdict.alias("verdict"), "hits", *only)

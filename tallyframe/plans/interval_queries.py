@@ -20,6 +20,9 @@ def query(sql: str):
     return add
 
 
+#: Widths of cells, by which one space is swept in many tasks.
+DAYS, SECONDS, PLACES = 512, 1 << 20, 1 << 16
+
 ORD = "SELECT o_custkey, o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS start, o_totalprice FROM orders"
 
 
@@ -35,7 +38,7 @@ def region_end(rows):
   coalesce(lead(start) OVER (PARTITION BY o_custkey ORDER BY start, o_orderkey), (SELECT max(start) + 1 FROM o)) - start AS size FROM o""")
 def extent_lead(spark, d):
     o = starts(spark, d)
-    return iv.extents(o.crossJoin(F.broadcast(region_end(o))), ["o_custkey"], "start", "region_end", ["o_orderkey"]).select("o_custkey", "o_orderkey", "start", "size")
+    return iv.extents(o.crossJoin(F.broadcast(region_end(o))), ["o_custkey"], "start", "region_end", ["o_orderkey"], width=DAYS).select("o_custkey", "o_orderkey", "start", "size")
 
 
 @query(f"""WITH o AS ({ORD}), e AS (SELECT o_custkey, o_orderkey, start,
@@ -71,7 +74,7 @@ ASOF = """WITH e AS ({ev}) SELECT event_id, user_id, (SELECT {pick}(a.event_id,
 def _asof(spark, d, forward):
     e = events(spark, d)
     a = e.where("event_type = 'purchase'").select("user_id", "pos", "event_id")
-    return iv.asof(e.where("event_type <> 'purchase'").select("event_id", "user_id", "pos"), a, ["user_id"], "pos", ["event_id"], forward).select("event_id", "user_id", F.col("anchor_event_id").alias("anchor"))
+    return iv.asof(e.where("event_type <> 'purchase'").select("event_id", "user_id", "pos"), a, ["user_id"], "pos", ["event_id"], forward, width=SECONDS).select("event_id", "user_id", F.col("anchor_event_id").alias("anchor"))
 
 
 @query(ASOF.format(ev=EV, pick="arg_max", cmp="<="))
@@ -97,18 +100,18 @@ def spans(spark, d, k):
 
 @query(RUNS.format(k=400, tolerance=0) + "SELECT user_id, run, lo, hi, parts FROM runs")
 def coalesce_touching(spark, d):
-    return iv.coalesce(spans(spark, d, 400), ["user_id"], "lo", "hi")
+    return iv.coalesce(spans(spark, d, 400), ["user_id"], "lo", "hi", width=PLACES)
 
 
 @query(RUNS.format(k=200, tolerance=8) + "SELECT user_id, run, lo, hi, parts FROM runs")
 def coalesce_gap8(spark, d):
-    return iv.coalesce(spans(spark, d, 200), ["user_id"], "lo", "hi", tolerance=8)
+    return iv.coalesce(spans(spark, d, 200), ["user_id"], "lo", "hi", tolerance=8, width=PLACES)
 
 
 @query(RUNS.format(k=400, tolerance=0) + "SELECT user_id, lo, hi, parts AS sites, reads, writes, max_width FROM runs")
 def touched_ranges(spark, d):
     kinds = [F.count_if(F.col("event_type") == "view").alias("reads"), F.count_if(F.col("event_type") == "click").alias("writes"), F.max(F.col("hi") - F.col("lo")).alias("max_width")]
-    return iv.coalesce(spans(spark, d, 400), ["user_id"], "lo", "hi", measures=kinds).select("user_id", "lo", "hi", F.col("parts").alias("sites"), "reads", "writes", "max_width")
+    return iv.coalesce(spans(spark, d, 400), ["user_id"], "lo", "hi", measures=kinds, width=PLACES).select("user_id", "lo", "hi", F.col("parts").alias("sites"), "reads", "writes", "max_width")
 
 
 @query(RUNS.format(k=300, tolerance=0) + """, g AS (SELECT user_id, hi AS gap_lo, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS gap_hi FROM runs)
@@ -183,7 +186,7 @@ def dup_collapse(spark, d):
 SELECT event_type, lane, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM i GROUP BY event_type, lane, island""")
 def stride_runs(spark, d):
     rows = table(spark, d, "events").select("event_type", F.col("event_id").alias("pos"), (F.col("event_id") % 2).alias("lane"))
-    return iv.stride_runs(rows, ["event_type", "lane"], "pos", 2)
+    return iv.stride_runs(rows, ["event_type", "lane"], "pos", 2, width=PLACES)
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS opens, ts FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import graph as gr
 from tallyframe.operators import matching as mt
+from tallyframe.operators import signatures as sg
 from tallyframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -251,3 +252,14 @@ def scalar_integers(spark, d):
 
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", sc.to_hex(k).alias("hex"), sc.wrap16(k * 37).alias("wrapped"), sc.truncating_div(-k, F.lit(7)).alias("truncated"), sc.align(k, 16).alias("aligned"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS w FROM documents), s AS (SELECT min(doc_id) AS sig, w[11:18] AS p FROM d WHERE len(w) >= 18 GROUP BY w[11:18]),
+places AS (SELECT doc_id AS unit, i AS start, w[i + 1 : i + 8] AS x FROM d, unnest(range(0, greatest(len(w) - 7, 0))) AS u(i))
+SELECT unit, start, sig, CAST(8 AS INTEGER) AS length, CAST(7 AS INTEGER) AS fixed FROM places JOIN s ON x[1:3] = p[1:3] AND x[5:8] = p[5:8]""")
+def signature_probe(spark, d):
+    """Eight words of every document, the fourth any word, looked for in all; each once, under its first document."""
+    words = F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit"), words.alias("payload"), F.lit(None).cast("array<int>").alias("sites"))
+    sigs = docs.where("size(payload) >= 18").groupBy(F.slice("payload", 11, 8).alias("payload")).agg(F.min("unit").alias("sig")).withColumn("sites", F.array(F.lit(3)))
+    return sg.probe(docs, sigs)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.operators import intervals as iv
 from tallyframe.operators import reconcile as rc
+from tallyframe.plans.interval_queries import PLACES
 from tallyframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -103,3 +105,27 @@ def slot_findings(spark, d):
     places = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("slot")).where("(class + slot) % 7 <> 0")
     there = places.join(b.select("class", "slot", "symbol"), ["class", "slot"], "left")
     return rc.slot_findings(b, there.withColumn("symbol", F.when((F.col("class") + F.col("slot")) % 5 == 0, "other").otherwise(F.col("symbol"))))
+
+
+@query("""WITH i AS (SELECT o_orderkey * 10 AS lo, o_orderkey * 10 + 3 + o_custkey % 9 AS hi FROM orders), m AS (SELECT *, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m), runs AS (SELECT min(lo) AS lo, max(hi) AS hi FROM n GROUP BY run),
+gaps AS (SELECT hi AS lo, lead(lo) OVER (ORDER BY lo) AS hi FROM runs), acc AS (SELECT DISTINCT l_suppkey * 100 AS fn, l_suppkey * 100 + l_linenumber AS site, l_orderkey * 10 + l_partkey % 10 AS target FROM lineitem),
+held AS (SELECT g.lo AS gap_lo, acc.* FROM gaps g JOIN acc ON acc.target >= g.lo AND acc.target < g.hi WHERE g.hi - g.lo >= 2),
+claims AS (SELECT s_suppkey * 100 AS fn, 'lib' || s_nationkey % 3 AS library, 'f' || s_suppkey % 17 AS name FROM supplier WHERE s_suppkey % 6 > 0),
+defs AS (SELECT DISTINCT 'lib' || p_size % 3 AS library, 'f' || p_partkey % 17 AS name, p_partkey % 11 AS "offset", p_partkey % 5 AS addend, p_brand AS symbol, p_size AS size, CASE WHEN p_size % 2 = 0 THEN 'bss' ELSE 'data' END AS storage, 'm' || p_size AS member FROM part),
+f AS (SELECT h.*, d.addend, h.target - d.addend AS base, d.symbol, d.size, d.storage, d.library, d.member FROM held h LEFT JOIN claims c USING (fn) LEFT JOIN defs d ON d.library = c.library AND d.name = c.name AND d."offset" = h.site - h.fn),
+k AS (SELECT gap_lo, fn, site, target, count(*) FILTER (addend IS NOT NULL) AS hits, min(base) AS base, min(symbol) AS symbol, min(size) AS size, min(storage) AS storage, min(library) AS library, min(member) AS member FROM (SELECT DISTINCT * FROM f) GROUP BY ALL)
+SELECT gap_lo, fn, site, target, CASE WHEN hits = 1 THEN 'FOUND' WHEN hits > 1 THEN 'AMBIGUOUS' ELSE 'UNKNOWN' END AS verdict, hits, CASE WHEN hits = 1 THEN base END AS base, CASE WHEN hits = 1 THEN symbol END AS symbol, CASE WHEN hits = 1 THEN size END AS size, CASE WHEN hits = 1 THEN storage END AS storage, CASE WHEN hits = 1 THEN library END AS library, CASE WHEN hits = 1 THEN member END AS member FROM k""")
+def gap_attribution(spark, d):
+    """The holes between orders in one space, and the lines that reach into them."""
+    t = lambda name: table(spark, d, name)
+    said = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    at = F.col("o_orderkey") * 10
+    runs = iv.coalesce(t("orders").select(at.alias("lo"), (at + 3 + F.col("o_custkey") % 9).alias("hi")), [], "lo", "hi", width=PLACES)
+    holes = iv.gaps(runs, [], PLACES).select(F.col("gap_lo").alias("lo"), F.col("gap_hi").alias("hi"), F.lit(1).alias("touched"), F.when(F.col("length") < 2, "PAD").otherwise("ZERO-GAP").alias("verdict"))
+    fn = F.col("l_suppkey") * 100
+    accesses = t("lineitem").select(fn.alias("fn"), (fn + F.col("l_linenumber")).alias("site"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("target")).distinct()
+    claims = t("supplier").where("s_suppkey % 6 > 0").select((F.col("s_suppkey") * 100).alias("fn"), said("lib", F.col("s_nationkey") % 3).alias("library"), said("f", F.col("s_suppkey") % 17).alias("name"))
+    p, size = F.col("p_partkey"), F.col("p_size")
+    definitions = t("part").select(said("lib", size % 3).alias("library"), said("f", p % 17).alias("name"), (p % 11).alias("offset"), (p % 5).alias("addend"), F.col("p_brand").alias("symbol"), size.alias("size"), F.when(size % 2 == 0, "bss").otherwise("data").alias("storage"), said("m", size).alias("member"))
+    return rc.attribute(holes, accesses, claims, definitions, PLACES)
