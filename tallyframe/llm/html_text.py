@@ -46,8 +46,11 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Words of class and id that name a container of the article, and what such words say with a hint: no-comments, has-sidebar.
 HOLDERS = set("article body content entry has main no page post primary with wrap wrapper".split())
-#: What an element is by its tag and attributes: main text perhaps, none, none by its name, or so but named a holder too.
-OPEN, OUT, NAMED, HOLDER = range(4)
+#: Words among HINTS that name what readers wrote.
+READERS = set("comment comments commentlist disqus replies reply respond".split())
+#: What an element is by its tag and attributes: main text perhaps, none, none by its name, so but named a holder too, or what
+#: readers wrote by its name.
+OPEN, OUT, NAMED, HOLDER, WRITTEN = range(5)
 
 
 def dropped(tag: str, attributes: str) -> int:
@@ -55,7 +58,7 @@ def dropped(tag: str, attributes: str) -> int:
         return OUT
     if not attributes or tag in KEEP and "hidden" not in attributes.lower():
         return OPEN
-    hints, holder = False, False
+    hints, holder, readers = False, False, False
     for name, a, b, c in MARKS.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -67,7 +70,8 @@ def dropped(tag: str, attributes: str) -> int:
             words = SPLIT.split(value)
             hints = hints or not HINTS.isdisjoint(words)
             holder = holder or not HOLDERS.isdisjoint(words)
-    return OPEN if not hints else HOLDER if holder else NAMED
+            readers = readers or not READERS.isdisjoint(words)
+    return OPEN if not hints else HOLDER if holder else WRITTEN if readers else NAMED
 
 
 class Tree:
@@ -143,17 +147,25 @@ class Tree:
 
 def wrappers(t: Tree, drop: list[bool]) -> set[int]:
     """Elements named like what is left out that are around the main text: they hold two thirds of the page's text, and are
-    named like a holder too or have the page's article or first heading in them."""
+    named like a holder too, have the page's article or first heading in them, or lie in the article themselves, are not what
+    readers wrote, and are links by half at most."""
     n = len(t.tag)
-    size, titled = [0] * n, [tag in ("article", "main", "h1") for tag in t.tag]
+    size, links, titled = [0] * n, [0] * n, [tag in ("article", "main", "h1") for tag in t.tag]
+    within, link = [False] * n, [False] * n
+    for i in range(1, n):
+        within[i] = within[t.parent[i]] or t.tag[t.parent[i]] in ("article", "main")
+        link[i] = link[t.parent[i]] or t.tag[i] == "a"
     for node, text in t.items:
         if text and not drop[node] and not text.isspace():
             size[node] += len(text)
+            links[node] += len(text) * link[node]
     for i in range(n - 1, 0, -1):
         p = t.parent[i]
         size[p] += size[i]
+        links[p] += links[i]
         titled[p] = titled[p] or titled[i] and not drop[i]
-    return {i for i in range(n) if t.kind[i] >= NAMED and 3 * size[i] >= 2 * size[0] and (titled[i] or t.kind[i] == HOLDER)}
+    inside = lambda i: within[i] and t.kind[i] == NAMED and 2 * links[i] <= size[i]
+    return {i for i in range(n) if t.kind[i] >= NAMED and 3 * size[i] >= 2 * size[0] and (titled[i] or t.kind[i] == HOLDER or inside(i))}
 
 
 def extract(page: str) -> str:

@@ -244,6 +244,9 @@ def test_toxicity_held_out(spark):
         ('<div class="content-sidebar-wrap"><div class="entry-content"><p>Main text, here.</p></div><div class="sidebar"><p>links</p></div></div>', "Main text, here."),
         ('<div id="page" class="has-sidebar"><h1>T</h1><p>Main text, here.</p><ul class="menu"><li>x</li></ul></div>', "T Main text, here."),
         ('<div class="post no-comments"><p>Main text, here.</p></div>', "Main text, here."),
+        ('<article><div class="promo-code-story"><p>A long article about promo codes, where they come from, and what they cost.</p></div><p>x</p></article>', "A long article about promo codes, where they come from, and what they cost. x"),
+        ('<article><p>Short, text.</p><div class="comments"><p>Much more text of readers, on and on, as it often is, and more of it.</p></div></article>', "Short, text."),
+        ('<article><p>Short, text.</p><div class="related"><a href=x>Another article, of which there are many, all of them linked</a> <a>and more</a></div></article>', "Short, text."),
         ('<div id=main><p>Main, text.</p></div><div class="comments"><p>Much more text of readers, on and on, as it often is, and more of it.</p></div>', "Main, text."),
         ("<div id=main><p>Long text, with commas, and more of it here.<script>var a='</p>'</script><p>Next one, too.</div><div class='sidebar'><p>Links, links, links, links, links.</div>", "Long text, with commas, and more of it here. Next one, too."),
     ],
