@@ -1,22 +1,26 @@
 """Graph operators on edge tables (src, dst): multiplicities, forwarders, reachability, ancestors, closures.
 
-Iterations are capped in depth or run to a fixed point with an anti join against what is known; each round's result is
+Iterations run to a fixed point, in steps that double where the result allows it, or as deep as the caller asks; each round's result is
 cut to the checkpoint folder, so plans stay short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the session names, or a temporary one where it names none."""
+    """Checkpoint in the shared folder the session names; a temporary one only where it names none and is a local one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,17 +38,16 @@ def chase(edges: DataFrame, forwards: DataFrame, hops: int = 4) -> DataFrame:
     return out
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (node, depth) that roots (node) lead to, roots included at depth 0."""
     links = edges.select("src", "dst").distinct()
     known = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
-    raise RuntimeError(f"reachable: over {most} rounds")
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
@@ -58,16 +61,14 @@ def ancestors(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     return known.where("depth > 0")
 
 
-def roots_of(parents: DataFrame, most: int = 32) -> DataFrame:
-    """(node, root, depth) of parents (node, parent; parent null at a root), by following parents to the top."""
-    out = cut(parents.select("node", F.col("node").alias("root"), F.lit(0).alias("depth")))
-    up = parents.select(F.col("node").alias("root"), F.col("parent"))
-    for _ in range(most):
-        step = cut(out.join(up, "root", "left").select("node", F.coalesce("parent", "root").alias("root"), (F.col("depth") + F.when(F.col("parent").isNotNull(), 1).otherwise(0)).alias("depth"), F.col("parent").isNotNull().alias("moved")))
-        out = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return out
-    raise RuntimeError(f"roots_of: over {most} rounds")
+def roots_of(parents: DataFrame) -> DataFrame:
+    """(node, root, depth) of parents (node, parent; parent null at a root), by following parents to the top.
+
+    Steps double each round. What leads into a circle has no root and is left out; a parent that is no node is a root.
+    """
+    led = terminals(parents.where("parent is not null").select("node", F.col("parent").alias("next")))
+    tops = parents.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    return led.select("node", F.col("target").alias("root"), F.col("hops").cast("int").alias("depth")).unionByName(tops)
 
 
 def callees(edges: DataFrame, indirect: str) -> DataFrame:
@@ -103,14 +104,17 @@ def effective_incoming(edges: DataFrame, forwards: DataFrame) -> DataFrame:
     return j.select(F.coalesce("target", "dst").alias("dst"), "src", F.coalesce("hops", F.lit(0)).alias("hops")).groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("hops").alias("hops"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst, depth): everything a node includes, at its least depth; circles add nothing new."""
-    links = edges.select("src", "dst").distinct()
-    known = frontier = cut(links.withColumn("depth", F.lit(1)))
-    for depth in range(2, most + 1):
-        step = frontier.select("src", F.col("dst").alias("_at")).join(links.select(F.col("src").alias("_at"), "dst"), "_at").select("src", "dst").distinct()
-        frontier = cut(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier)
-    raise RuntimeError(f"closure: over {most} rounds")
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, depth): everything a node includes, at its least depth; circles add nothing new.
+
+    Paths double in length each round, so rounds are as the logarithm of the depth, which is not capped.
+    """
+    known = cut(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    least = lambda rows: rows.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+    while True:
+        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("depth").alias("_more"))
+        longer = known.join(on, "dst").select("src", F.col("_to").alias("dst"), (F.col("depth") + F.col("_more")).alias("depth"))
+        step = cut(least(known.unionByName(longer)))
+        if step.join(known, ["src", "dst", "depth"], "left_anti").isEmpty():
+            return step
+        known = step

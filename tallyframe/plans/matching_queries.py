@@ -157,7 +157,7 @@ def closure_roots(spark, d):
     t = table(spark, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("node"))
     t = t.withColumn("parent", F.when(p % 40 != 0, p - p % 2 - F.when(p % 2 == 0, 2).otherwise(0)))
     k = t.join(t.select(F.col("node").alias("parent"), F.lit(True).alias("there")), "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"))
-    return gr.roots_of(k, most=40)
+    return gr.roots_of(k)
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '[ -~\\t]{4,}')) AS runs, list_max(list_transform(regexp_extract_all(html, '[ -~\\t]{4,}'), lambda x: length(x))) AS longest FROM pages""".replace("\\t", "\t"))

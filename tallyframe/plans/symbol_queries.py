@@ -99,7 +99,7 @@ def slot_owners(spark, d):
 
 
 @query(CLASSES + """, t AS (SELECT p_partkey AS class, s AS slot, CASE WHEN (p_partkey + s) % 5 = 0 THEN 'other' ELSE b.symbol END AS there FROM part, unnest(range(0, 8)) u(s) LEFT JOIN bound b ON b.class = p_partkey AND b.slot = s WHERE p_partkey % 3 = 0 AND (p_partkey + s) % 7 <> 0)
-SELECT coalesce(t.class, b.class) AS class, coalesce(t.slot, b.slot) AS slot, CASE WHEN b.class IS NULL THEN 'UNBOUND' WHEN t.class IS NULL THEN 'MISSING' ELSE 'FOREIGN' END AS finding FROM t FULL JOIN (SELECT * FROM bound WHERE class IN (SELECT class FROM t)) b ON b.class = t.class AND b.slot = t.slot WHERE b.class IS NULL OR t.class IS NULL OR t.there <> b.symbol""")
+SELECT coalesce(t.class, b.class) AS class, CAST(coalesce(t.slot, b.slot) AS INTEGER) AS slot, CASE WHEN b.class IS NULL THEN 'UNBOUND' WHEN t.class IS NULL THEN 'MISSING' ELSE 'FOREIGN' END AS finding FROM t FULL JOIN (SELECT * FROM bound WHERE class IN (SELECT class FROM t)) b ON b.class = t.class AND b.slot = t.slot WHERE b.class IS NULL OR t.class IS NULL OR t.there <> b.symbol""")
 def slot_findings(spark, d):
     b = bound(spark, d)
     places = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("slot")).where("(class + slot) % 7 <> 0")

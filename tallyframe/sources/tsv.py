@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.sources import versions
+
 
 def read(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
     """Rows under an explicit schema; a row with another number of fields, or a bad value, fails the read."""
@@ -20,20 +20,17 @@ def read_units(spark: SparkSession, folder: str, schema: T.StructType | str) ->
 
 
 def differs(old: DataFrame, new: DataFrame) -> bool:
-    """Whether the tables differ as multisets of rows."""
-    return not (old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty())
+    """Whether the tables differ in columns or as multisets of rows, by a digest of each: one scan, no shuffle of rows."""
+    columns = sorted(old.columns)
+    return columns != sorted(new.columns) or set_digest(old, columns) != set_digest(new, columns)
 
 
 def write_if_changed(spark: SparkSession, df: DataFrame, path: str) -> bool:
-    """Write Parquet only where what is there differs; the new table is complete beside the old before it takes its place."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jpath(path)) and not differs(spark.read.parquet(path), df):
+    """Publish df as the table's next version only where the newest one differs; versions.read() reads it."""
+    old = versions.read(spark, path)
+    if old is not None and not differs(old, df):
         return False
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    fs.delete(jpath(path), True)
-    fs.rename(jpath(fresh), jpath(path))
+    versions.publish(spark, df, path)
     return True
 
 
