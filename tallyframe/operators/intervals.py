@@ -87,16 +87,16 @@ def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], least: int =
     """
     side = lambda df, mark: df.select(*by, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in by]).where(F.col(f"{mark}_{lo}") < F.col(f"{mark}_{hi}")).withColumn(f"{mark}_level", F.ceil(F.log2(F.greatest(F.col(f"{mark}_{hi}") - F.col(f"{mark}_{lo}"), F.lit(least)))).cast("int"))
     one, two = side(left, "l"), side(right, "r")
-    # At most 64 numbers a side.
-    levels = [sorted(r[0] for r in df.select(f"{m}_level").distinct().collect()) for df, m in ((one, "l"), (two, "r"))]
+    # One row of 64 numbers at most.
+    levels = lambda df, mark: F.broadcast(df.agg(F.collect_set(f"{mark}_level").alias("_others")))
 
-    def binned(df: DataFrame, mark: str, others: list[int]) -> DataFrame:
-        at = df.withColumn("_level", F.explode(F.array_distinct(F.concat(F.array(f"{mark}_level"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col(f"{mark}_level"))))))
+    def binned(df: DataFrame, mark: str, others: DataFrame) -> DataFrame:
+        at = df.crossJoin(others).withColumn("_level", F.explode(F.array_distinct(F.concat(F.array(f"{mark}_level"), F.filter("_others", lambda x: x > F.col(f"{mark}_level")))))).drop("_others")
         width = F.pow(F.lit(2.0), F.col("_level")).cast("long")
         return at.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{mark}_{lo}") / width).cast("long"), F.floor((F.col(f"{mark}_{hi}") - 1) / width).cast("long"))))
 
     l_lo, l_hi, r_lo, r_hi = (F.col(f"{m}_{e}") for m in "lr" for e in (lo, hi))
-    pairs = binned(one, "l", levels[1]).join(binned(two, "r", levels[0]), [*by, "_level", "_bin"])
+    pairs = binned(one, "l", levels(two, "r")).join(binned(two, "r", levels(one, "l")), [*by, "_level", "_bin"])
     pairs = pairs.where((l_lo < r_hi) & (r_lo < l_hi) & (F.col("_level") == F.greatest("l_level", "r_level")) & (F.col("_bin") == F.floor(F.greatest(l_lo, r_lo) / F.pow(F.lit(2.0), F.col("_level")).cast("long")).cast("long")))
     return pairs.drop("_bin", "_level", "l_level", "r_level").withColumn("lo", F.greatest(l_lo, r_lo)).withColumn("hi", F.least(l_hi, r_hi))
 

@@ -40,6 +40,17 @@ def grade(length: Column, fixed: Column, ambiguous: Column) -> Column:
     return F.when((length >= LEAST) & (fixed >= LEAST_FIXED), graded)
 
 
+def graded(hits: DataFrame, location: str, identity: str) -> DataFrame:
+    """hits (location, identity, length, fixed) with reverse, names and confidence: the locations of an identity and the
+    identities of a location, and a grade (see grade) that is ambiguous if either is more than one. Equal hits count once;
+    one too short for a grade counts nowhere and is left out.
+    """
+    long_ = hits.distinct().where((F.col("length") >= LEAST) & (F.col("fixed") >= LEAST_FIXED))
+    many = lambda by, other, name: long_.groupBy(by).agg(F.count_distinct(other).alias(name))
+    j = long_.join(many(identity, location, "reverse"), identity).join(many(location, identity, "names"), location)
+    return j.withColumn("confidence", grade(F.col("length"), F.col("fixed"), (F.col("reverse") > 1) | (F.col("names") > 1)))
+
+
 def token_classes(text: Column, words: Sequence[str] = ()) -> Column:
     """Tokens with identifiers, numbers and quoted strings as ID, NUM and STR; the given words and marks stand for themselves."""
     tokens = F.regexp_extract_all(text, F.lit(r'("[^"]*"|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_])'), F.lit(1))

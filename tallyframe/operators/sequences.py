@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,29 +94,29 @@ def clusters(rows: DataFrame, unit: str, at: str, gap: int = OUTLIER_GAP, most:
     """(unit, n, outliers, lo, hi): the dense run of a unit's addresses once small remote groups are peeled off.
 
     The widest gap (of equals the last) of what is left parts off its smaller side (of equals the lower), while it is
-    `gap` wide and that side has `most` rows at most. Peeling an end changes no other gap, so gaps are found once, and
-    each round takes the widest of them between the ends as they are; no unit's rows are gathered. Rounds end when no
-    unit changes.
+    `gap` wide and that side has `most` rows at most. Peeling an end changes no other gap, so wide gaps are found once and
+    gone through once, the widest first; a unit's wide gaps, not its rows, are one task's.
     """
     w = Window.partitionBy(unit).orderBy(at)
     placed = rows.where(F.col(at).isNotNull()).select(unit, at, F.row_number().over(w).cast("long").alias("_k"), (F.lead(at).over(w) - F.col(at)).alias("_gap"))
     placed = cut(placed)
-    wide = placed.where(F.col("_gap") >= gap).select(unit, "_k", "_gap")
-    ends = placed.groupBy(unit).agg(F.max("_k").alias("n")).withColumn("_lo", F.lit(1).cast("long")).withColumn("_hi", F.col("n"))
-    done, active = None, ends
-    while True:
-        top = active.join(wide, unit).where("_k >= _lo and _k < _hi").groupBy(unit).agg(F.max(F.struct("_gap", "_k"))["_k"].alias("_k"))
-        low, high = F.col("_k") - F.col("_lo") + 1, F.col("_hi") - F.col("_k")
-        step = active.join(top, unit, "left").withColumn("_go", F.coalesce(F.least(low, high) <= most, F.lit(False)))
-        lower = F.col("_go") & (low <= high)
-        step = step.select(unit, "n", F.when(lower, F.col("_k") + 1).otherwise(F.col("_lo")).alias("_lo"), F.when(F.col("_go") & ~lower, F.col("_k")).otherwise(F.col("_hi")).alias("_hi"), "_go")
-        step = cut(step)
-        still = step.where("not _go").drop("_go")
-        done = still if done is None else done.unionByName(still)
-        active = step.where("_go").drop("_go")
-        if active.isEmpty():
-            break
-    inside = placed.join(done, unit).where("_k between _lo and _hi")
+    sizes = placed.groupBy(unit).agg(F.max("_k").alias("n"))
+    wide = placed.where(F.col("_gap") >= gap).select(unit, "_k", "_gap").join(sizes, unit)
+
+    def peel(key, table):
+        lo, hi = 1, table.column("n")[0].as_py()
+        for _, k in sorted(zip(table.column("_gap").to_pylist(), table.column("_k").to_pylist()), reverse=True):
+            if not lo <= k < hi:
+                continue  # peeled off already
+            low, high = k - lo + 1, hi - k
+            if min(low, high) > most:
+                break
+            lo, hi = (k + 1, hi) if low <= high else (lo, k)
+        return pa.table([pa.array([key[0].as_py()], key[0].type), pa.array([lo], pa.int64()), pa.array([hi], pa.int64())], names=[unit, "_lo", "_hi"])
+
+    kind = rows.schema[unit].dataType.simpleString()
+    ends = wide.groupBy(unit).applyInArrow(peel, f"`{unit}` {kind}, _lo long, _hi long")
+    inside = placed.join(sizes, unit).join(ends, unit, "left").where(F.col("_k").between(F.coalesce("_lo", F.lit(1)), F.coalesce("_hi", "n")))
     return inside.groupBy(unit).agg(F.first("n").alias("n"), (F.first("n") - F.count("*")).alias("outliers"), F.min(at).alias("lo"), F.max(at).alias("hi"))
 
 

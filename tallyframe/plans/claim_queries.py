@@ -66,6 +66,46 @@ def claim_resolution(spark, d):
     return rs.resolve(census, c, PRECEDENCE, SIZED, blanked=("dyninit",))
 
 
+#: Kinds of rows, units that emit a name, and bands of units along the keys.
+MODEL = CLAIMS + """, kinds AS (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 5 = 0 THEN 'thunk' WHEN p_partkey % 31 = 0 THEN 'eh' ELSE '' END AS kind FROM part),
+emitted AS (SELECT DISTINCT 'u' || (l_orderkey % 10) AS unit, 'L' || (l_suppkey % 7) AS name FROM lineitem WHERE l_suppkey % 7 <> 2 AND (l_orderkey + l_suppkey) % 3 = 0),
+bands AS (SELECT p_partkey AS lo, p_partkey + 8 AS hi, 'u' || (p_partkey // 10 % 10) AS unit FROM part WHERE p_partkey % 10 = 0), known AS (SELECT * FROM claims WHERE channel <> 'other'),
+marked AS (SELECT k.*, (unit, name) IN (SELECT (unit, name) FROM emitted) AS emits FROM known k), groups AS (SELECT key, name, count(DISTINCT unit) AS units, bool_or(emits) AS some_ FROM marked GROUP BY key, name),
+kept AS (SELECT m.* FROM marked m JOIN groups USING (key, name) WHERE emits OR units = 1 OR NOT some_),
+one AS (SELECT key, channel, name, min(unit) AS first, list_sort(list(DISTINCT unit)) AS all_ FROM kept GROUP BY ALL),
+chosen AS (SELECT o.*, CASE WHEN b.unit IN (SELECT unnest(all_)) THEN b.unit ELSE first END AS unit FROM one o LEFT JOIN bands b ON o.key >= b.lo AND o.key < b.hi AND len(all_) > 1),
+owned AS (SELECT c.key, c.channel, c.name, c.unit, list_filter(c.all_, lambda x: x <> c.unit) AS also, (SELECT min(size) FROM kept k WHERE k.key = c.key AND k.channel = c.channel AND k.name = c.name AND k.unit = c.unit) AS size FROM chosen c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE channel WHEN 'dyninit' THEN 0 WHEN 'src' THEN 1 WHEN 'lib' THEN 2 ELSE 3 END, name) AS place FROM owned),
+aliases AS (SELECT key, string_agg(channel || ':' || name, '|' ORDER BY place) AS aliases FROM ranked WHERE place > 1 OR channel = 'dyninit' GROUP BY key), win AS (SELECT r.*, k.kind, k.size AS room FROM ranked r JOIN kinds k USING (key) WHERE place = 1)
+"""
+ADMITTED = {"src": ["", "thunk"], "lib": [""], "dyninit": [""]}
+
+
+def model(spark, d):
+    census, c = claims(spark, d)
+    p, part, line = F.col("p_partkey"), table(spark, d, "part"), table(spark, d, "lineitem")
+    tag = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    kinds = census.withColumn("kind", F.when(F.col("key") % 5 == 0, "thunk").when(F.col("key") % 31 == 0, "eh").otherwise(""))
+    some = line.where("l_suppkey % 7 <> 2 and (l_orderkey + l_suppkey) % 3 = 0")
+    emitted = some.select(tag("u", F.col("l_orderkey") % 10).alias("unit"), tag("L", F.col("l_suppkey") % 7).alias("name")).distinct()
+    bands = part.where(p % 10 == 0).select(p.alias("lo"), (p + 8).alias("hi"), tag("u", F.floor(p / 10) % 10).alias("unit"))
+    return rs.model(kinds, c, emitted, bands, ADMITTED, PRECEDENCE, SIZED, ("dyninit",), 1 << 16)
+
+
+@query("WITH " + MODEL + """SELECT c.key, c.kind, CASE WHEN r.channel IN ('src', 'lib') AND r.size > 0 AND r.size <= c.size THEN r.size ELSE c.size END AS size, CASE WHEN r.channel = 'dyninit' THEN '' ELSE coalesce(r.name, '') END AS name,
+  coalesce(r.unit, '') AS unit, coalesce(r.channel, '') AS channel, coalesce(array_to_string(r.also, ';'), '') AS also_units, coalesce(a.aliases, '') AS aliases FROM kinds c LEFT JOIN win r USING (key) LEFT JOIN aliases a USING (key)""")
+def model_bindings(spark, d):
+    return model(spark, d)[0]
+
+
+@query("WITH " + MODEL + """SELECT 'KIND' AS violation, key, channel, name FROM win WHERE channel = 'src' AND kind NOT IN ('', 'thunk') OR channel IN ('lib', 'dyninit') AND kind <> ''
+UNION ALL SELECT 'NOT-EMITTED', key, channel, name FROM marked GROUP BY key, channel, name HAVING count(DISTINCT unit) > 1 AND (key, name) NOT IN (SELECT (key, name) FROM marked WHERE emits)
+UNION ALL SELECT 'CROSSES', key, channel, name FROM win WHERE channel IN ('src', 'lib') AND size > room
+UNION ALL SELECT 'UNKNOWN-CHANNEL', key, channel, name FROM claims WHERE channel = 'other' UNION ALL SELECT 'ORPHAN', key, channel, name FROM known WHERE key NOT IN (SELECT key FROM census)""")
+def model_violations(spark, d):
+    return model(spark, d)[1]
+
+
 @query("WITH " + CLAIMS + "SELECT key, channel, name, unit FROM claims WHERE key NOT IN (SELECT key FROM census)")
 def orphan_claims(spark, d):
     census, c = claims(spark, d)

@@ -263,3 +263,11 @@ def signature_probe(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit"), words.alias("payload"), F.lit(None).cast("array<int>").alias("sites"))
     sigs = docs.where("size(payload) >= 18").groupBy(F.slice("payload", 11, 8).alias("payload")).agg(F.min("unit").alias("sig")).withColumn("sites", F.array(F.lit(3)))
     return sg.probe(docs, sigs)
+
+
+@query("""WITH h AS (SELECT DISTINCT l_orderkey AS location, 'p' || l_partkey AS identity, CAST(l_quantity AS BIGINT) AS length, CAST(l_quantity AS BIGINT) - l_linenumber % 5 AS fixed FROM lineitem), k AS (SELECT * FROM h WHERE length >= 8 AND fixed >= 6),
+a AS (SELECT k.*, reverse, names FROM k JOIN (SELECT identity, count(DISTINCT location) AS reverse FROM k GROUP BY identity) USING (identity) JOIN (SELECT location, count(DISTINCT identity) AS names FROM k GROUP BY location) USING (location))
+SELECT location, identity, length, fixed, reverse, names, CASE WHEN reverse = 1 AND names = 1 THEN CASE WHEN length >= 16 AND fixed >= 10 THEN 'HIGH' ELSE 'MEDIUM' END WHEN length >= 16 AND fixed >= 10 THEN 'AMBIG' ELSE 'LOW' END AS confidence FROM a""")
+def two_way_confidence(spark, d):
+    hits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("location"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("identity"), F.col("l_quantity").cast("long").alias("length"), (F.col("l_quantity").cast("long") - F.col("l_linenumber") % 5).alias("fixed"))
+    return mt.graded(hits, "location", "identity")

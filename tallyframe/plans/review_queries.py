@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import names as nm
 from tallyframe.functions import scalars as sc
 from tallyframe.operators import gates as gt
 from tallyframe.operators import graph as gr
@@ -310,6 +311,20 @@ def mangled_names(spark, d):
     return table(spark, d, "part").select("p_partkey", sc.short_name(name).alias("short"))
 
 
+@query("""SELECT p_partkey, CASE WHEN k < 3 THEN ['virtual', 'static', 'free function'][k + 1] WHEN k = 3 THEN 'unknown' END AS storage, CASE WHEN k = 3 THEN '?s@?1??f@@4EA$S' WHEN k = 4 THEN 'v' || p_size || '$S' ELSE name END AS masked, k > 2 AS volatile,
+  CASE WHEN p_size % 4 = 0 THEN 4 WHEN p_size % 4 = 1 THEN 12 WHEN p_size % 4 = 2 THEN 0 ELSE 8 END AS known, CASE WHEN p_size % 4 = 1 THEN 1 ELSE 0 END AS objects, CASE p_size % 4 WHEN 0 THEN 'varargs' WHEN 1 THEN 'object' ELSE '' END AS blind
+FROM (SELECT p_partkey, p_size, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN '?f' || p_size || '@C@@UAEXXZ' WHEN 1 THEN '?f' || p_size || '@C@@SAXXZ' ELSE '?f' || p_size || '@@YAXXZ' END AS name FROM part)""")
+def name_spellings(spark, d):
+    """Names and parameter lists made of parts: what their letters say, their spelling without counters, the stack they take."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    forms = [("?f", n, "@C@@UAEXXZ"), ("?f", n, "@C@@SAXXZ"), ("?f", n, "@@YAXXZ"), ("?s@?", F.substring(n, -1, 1), "??f@@4EA$S", n), ("v", n, "$S", F.col("p_partkey").cast("string"))]
+    name = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in f]) for f in forms]), (k + 1).cast("int"))
+    lists = ["int, ...", "class C *, double, struct D<int, class E>", "void", "enum E, float const"]
+    given = F.element_at(F.array(*map(F.lit, lists)), (F.col("p_size") % 4 + 1).cast("int"))
+    t = table(spark, d, "part").select("p_partkey", nm.storage(name).alias("storage"), nm.masked(name).alias("masked"), nm.volatile(name).alias("volatile"), nm.parameter_bytes(given).alias("b"))
+    return t.select("p_partkey", "storage", "masked", "volatile", "b.*")
+
+
 @query("""WITH m AS (SELECT p_partkey, p_size % 12 AS shift, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 77777 ELSE CAST(round(pow(2.0, 32 + p_size % 12) / (p_partkey % 60 + 2)) AS BIGINT) END AS magic FROM part), x AS (SELECT *, CASE WHEN magic > 0 THEN pow(2.0, 32 + shift) / magic END AS exact FROM m)
 SELECT p_partkey, magic, CASE WHEN round(exact) >= 2 AND abs(exact - round(exact)) < 0.02 THEN CAST(round(exact) AS BIGINT) END AS divisor FROM x""")
 def magic_divisor(spark, d):
