@@ -254,9 +254,9 @@ def rounds_over(forest: DataFrame, rounds: list[int], ids, labels, told, low, hi
 
 
 def chunks(anchors: DataFrame, k: int):
-    """Anchors in pieces of CHUNK bytes: ids, labels, vectors."""
+    """Anchors in pieces of CHUNK bytes: ids, labels, vectors; the driver asks for one partition at a time, of about a chunk."""
     most, rows = max(1, CHUNK // (4 * k)), []
-    for r in anchors.toLocalIterator():
+    for r in anchors.repartition(max(1, -(-anchors.count() // most)), "vec_id").toLocalIterator():
         rows.append((r["vec_id"], r["label"], np.array(r["v"], np.int32)))
         if len(rows) == most:
             yield tuple(map(np.array, zip(*rows)))
