@@ -56,7 +56,9 @@ EV = "SELECT event_id, user_id, event_type, value, epoch(ts)::BIGINT AS pos FROM
 
 
 def events(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("pos"))
+    # Whole seconds as SQL rounds them: to the nearest, halves to the even one.
+    pos = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long")
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", pos.alias("pos"))
 
 
 @query(f"""WITH e AS ({EV}), b AS (SELECT user_id, pos AS lo, event_id AS owner, pos + 3600 * (1 + event_id % 5) AS hi FROM e WHERE event_type = 'signup'),
@@ -73,7 +75,8 @@ ASOF = """WITH e AS ({ev}) SELECT event_id, user_id, (SELECT {pick}(a.event_id,
 
 def _asof(spark, d, forward):
     e = events(spark, d)
-    a = e.where("event_type = 'purchase'").select("user_id", "pos", "event_id")
+    # Of anchors in one second the first event; SQL leaves it open.
+    a = e.where("event_type = 'purchase'").groupBy("user_id", "pos").agg(F.min("event_id").alias("event_id"))
     return iv.asof(e.where("event_type <> 'purchase'").select("event_id", "user_id", "pos"), a, ["user_id"], "pos", ["event_id"], forward, width=SECONDS).select("event_id", "user_id", F.col("anchor_event_id").alias("anchor"))
 
 
