@@ -145,11 +145,22 @@ def attribute(gaps: DataFrame, accesses: DataFrame, claims: DataFrame, definitio
     """
     asked = gaps.where("touched > 0 and verdict <> 'PAD'").select(F.col("lo").alias("target"), "lo", "hi")
     within = asof(accesses.where("site <> 0"), asked, [], "target", ["lo", "hi"], ties=["anchor_lo"], width=width).where("target < anchor_hi")
-    held = within.join(claims, "fn", "left").withColumn("offset", F.col("site") - F.col("fn"))
-    fits = held.join(definitions, ["library", "name", "offset"], "left")
     facts = ["base", "addend", "symbol", "size", "storage", "library", "member"]
-    hit = F.when(F.col("addend").isNotNull(), F.struct(*facts))
-    told = fits.withColumn("base", F.col("target") - F.col("addend")).groupBy(F.col("anchor_lo").alias("gap_lo"), "fn", "site", "target").agg(F.count_distinct(hit).alias("hits"), F.min(hit).alias("h"))
+    said = ["addend", "symbol", "size", "storage", "library", "member"]
+    offset = (F.col("site") - F.col("fn")).alias("offset")
+    place = within.select(F.col("anchor_lo").alias("gap_lo"), "fn", "site", "target", offset).distinct()
+    # What fits is summed up for a function's claim and an offset, not for each access; few functions have several claims.
+    known = definitions.where("addend is not null").select("library", "name", "offset", "addend", "symbol", "size", "storage", "member").distinct()
+    summed = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("hits"), F.min(F.struct(*said)).alias("h"))
+    every = claims.select("fn", "library", "name").distinct()
+    many = cut(every.groupBy("fn").agg(F.count("*").alias("n"), F.min(F.struct("library", "name")).alias("c")))
+    fits = many.where("n = 1").select("fn", "c.*").join(summed(known, ["library", "name", "offset"]), ["library", "name"]).select("fn", "offset", "hits", "h")
+    several = cut(many.where("n > 1").select("fn"))
+    if not several.isEmpty():
+        at = accesses.join(several, "fn", "left_semi").select("fn", offset).distinct().join(every, "fn")
+        fits = fits.unionByName(summed(at.join(known, ["library", "name", "offset"]).select("fn", "offset", *said).distinct(), ["fn", "offset"]))
+    told = place.join(fits, ["fn", "offset"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    told = told.withColumn("h", F.struct((F.col("target") - F.col("h.addend")).alias("base"), "h.*"))
     verdict = F.when(F.col("hits") == 1, "FOUND").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("UNKNOWN")
     only = [F.when(F.col("hits") == 1, F.col(f"h.{c}")).alias(c) for c in facts if c != "addend"]
     return told.select("gap_lo", "fn", "site", "target", verdict.alias("verdict"), "hits", *only)
