@@ -13,6 +13,8 @@ from tallyframe.operators.graph import cut
 RUNS = (4, 2, 1)
 #: Values of a sequence that are compared in one row; its pieces overlap by the longest signature.
 PIECE = 2048
+#: Remainders of runs' hashes by which they are told apart first: the most rows that are broadcast.
+REMAINDERS = 1 << 20
 
 
 def trimmed(payload: Column, pads: Sequence) -> Column:
@@ -49,20 +51,28 @@ def probe(texts: DataFrame, signatures: DataFrame, pads: Sequence = (), piece: i
     for n in reversed(RUNS):
         best = F.when(F.size(fixed_runs(n)) > 0, fixed_runs(n)).otherwise(best)
     runs = cut(sigs.select("_s", F.inline(best)))
-    known = texts.where("payload is not null").withColumn("_t", F.monotonically_increasing_id()).select("_t", "unit", "payload", none("sites").alias("sites"))
+    # A text is known by its unit and content, so that nothing of it has to be kept; equal ones are counted.
+    known = texts.where("payload is not null").select("unit", "payload", none("sites").alias("sites"))
+    known = known.withColumn("_t", F.struct("unit", F.xxhash64("payload", "sites").alias("one"), F.xxhash64(F.lit(1), "payload", "sites").alias("two")))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("payload") / piece).cast("int") - 1, F.lit(0))), lambda k: F.struct(k.cast("long").alias("piece"), F.slice("payload", k * piece + 1, piece + longest).alias("part"), F.filter("sites", lambda s: (s >= k * piece) & (s < k * piece + piece + longest)).alias("near"), F.size("payload").alias("size")))
-    pieces = cut(known.select("_t", "unit", F.inline(parts)))
+    pieces = known.select("_t", F.inline(parts))
     kinds = [r["run"] for r in runs.select("run").distinct().collect()]
     place = lambda n: F.transform(F.sequence(F.lit(0), F.least(F.lit(piece), F.size("part")) - 1), lambda i: F.struct(F.lit(n).alias("run"), (F.col("piece") * piece + i).alias("pos"), F.xxhash64(F.slice("part", i + 1, n)).alias("value")))
     # A run over the end of a text is shorter than n, and equals none.
     said = pieces.where("size(part) > 0").select("_t", F.inline(F.concat(F.array().cast("array<struct<run:int,pos:bigint,value:bigint>>"), *[place(n) for n in kinds])))
-    counts = cut(said.join(runs.select("run", "value").distinct(), ["run", "value"], "left_semi").groupBy("run", "value").agg(F.count("*").alias("n")))
-    index = runs.join(counts, ["run", "value"], "left").groupBy("_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "run", "value")).alias("r")).where("r.n > 0").select("_s", "r.offset", "r.run", "r.value")
-    hits = said.join(index, ["run", "value"]).select("_t", "_s", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").withColumn("piece", F.floor(F.col("start") / piece))
+    # Most runs of texts are in no signature: they go before anything is dealt out, by the remainders of those that are.
+    low = lambda c: F.col(c).bitwiseAND(F.lit(REMAINDERS - 1)).alias("_low")
+    some = lambda index: said.withColumn("_low", low("value")).join(F.broadcast(index.select(low("value")).distinct()), "_low", "left_semi").drop("_low")
+    counts = cut(some(runs).select("run", "value").join(runs.select("run", "value").distinct(), ["run", "value"], "left_semi").groupBy("run", "value").agg(F.count("*").alias("n")))
+    index = cut(runs.join(counts, ["run", "value"], "left").groupBy("_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "run", "value")).alias("r")).where("r.n > 0").select("_s", "r.offset", "r.run", "r.value"))
+    hits = some(index).join(index, ["run", "value"]).select("_t", "_s", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").withColumn("piece", F.floor(F.col("start") / piece))
+    # Equal texts have equal hits and pieces: one of each is compared, and what it finds is found as often as it is there.
+    hits = hits.groupBy("_t", "piece", "_s", "start").agg(F.count("*").alias("_times"))
     full = sigs.select("_s", "sig", F.col("payload").alias("_payload"), F.col("sites").alias("_sites"))
-    j = hits.join(pieces, ["_t", "piece"]).join(full, "_s")
+    j = hits.join(pieces.dropDuplicates(["_t", "piece"]), ["_t", "piece"]).join(full, "_s")
     length, base = F.size("_payload"), (F.col("start") - F.col("piece") * piece).cast("int")
     forth = F.forall(F.sequence(F.lit(0), length - 1), lambda i: F.array_contains("_sites", i) | F.coalesce(F.get("part", base + i) == F.get("_payload", i), F.lit(False)))
     back = F.forall("near", lambda s: (s < F.col("start")) | (s >= F.col("start") + length) | F.array_contains("_sites", (s - F.col("start")).cast("int")))
     found = j.where((F.col("start") + length <= F.col("size")) & forth & back)
-    return found.select("unit", "start", "sig", length.alias("length"), (length - F.size("_sites")).alias("fixed"))
+    found = found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return found.select(F.col("_t.unit").alias("unit"), "start", "sig", length.alias("length"), (length - F.size("_sites")).alias("fixed"))

@@ -57,3 +57,13 @@ def test_nothing_to_look_for(spark):
     texts = spark.createDataFrame([(1, [1, 2], None)], f"unit int, {KIND}")
     assert signatures.probe(texts, spark.createDataFrame([], f"sig int, {KIND}")).collect() == []
     assert signatures.probe(texts.where("false"), spark.createDataFrame([(1, [1], None)], f"sig int, {KIND}")).collect() == []
+
+
+def test_texts_are_not_kept_between_steps(spark, monkeypatch):
+    """What is written between steps has no column of texts but those of the signatures."""
+    kept = []
+    monkeypatch.setattr(signatures, "cut", lambda df, cut=signatures.cut: kept.append(df.columns) or cut(df))
+    texts = [(u, [u, 2, 3, 4, 5], None) for u in (1, 1, None)]
+    got = signatures.probe(spark.createDataFrame(texts, f"unit int, {KIND}"), spark.createDataFrame([(7, [2, 3, 4], None)], f"sig int, {KIND}"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 1, 7, 3, 3), (1, 1, 7, 3, 3), (None, 1, 7, 3, 3)]
+    assert not any({"part", "near"} & set(c) for c in kept) and len(kept) == 4
