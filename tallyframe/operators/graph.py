@@ -7,6 +7,7 @@ cut to the checkpoint folder, so plans stay short and a lost executor costs one
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -107,14 +108,24 @@ def effective_incoming(edges: DataFrame, forwards: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): everything a node includes, at its least depth; circles add nothing new.
 
-    Paths double in length each round, so rounds are as the logarithm of the depth, which is not capped.
+    Rounds go one step further from what the last one found, so a pair is made once for each way that its last step may
+    go, not for each node between, and they are as many as the depth, which is not capped. What is found is compared with
+    all that is known in rounds whose number is a power of two only, and what is known is written anew then: in between a
+    pair may come again, deeper, and the least depth is taken at the end.
     """
-    known = cut(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    links = edges.select("src", "dst").distinct()
+    found = [cut(links.withColumn("depth", F.lit(1)))]
     least = lambda rows: rows.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
-    while True:
-        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("depth").alias("_more"))
-        longer = known.join(on, "dst").select("src", F.col("_to").alias("dst"), (F.col("depth") + F.col("_more")).alias("depth"))
-        step = cut(least(known.unionByName(longer)))
-        if step.join(known, ["src", "dst", "depth"], "left_anti").isEmpty():
-            return step
-        known = step
+    frontier = found[0]
+    for depth in count(2):
+        on = links.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
+        step = frontier.join(on, "dst").select("src", F.col("_to").alias("dst")).distinct()
+        known = reduce(DataFrame.unionByName, found)
+        if depth & (depth - 1) == 0:
+            step = step.join(known, ["src", "dst"], "left_anti")
+        frontier = cut(step.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return least(known)
+        found.append(frontier)
+        if depth & (depth - 1) == 0 and depth > 16:
+            found = [cut(least(reduce(DataFrame.unionByName, found)))]
