@@ -110,18 +110,23 @@ def blank_comments(code: Column) -> Column:
     return F.array_join(F.zip_with(parts, comments, lambda p, c: F.when(c != "", F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used and in whatever functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_top(text: Column) -> Column:
     """What commas outside of all brackets part, trimmed; nothing after the last one is no part.
 
     Cut at every comma first; a piece begins a part where the brackets opened and closed before it are as many.
     """
-    pieces = F.split(text, ",")
     count = lambda p, marks: F.length(p) - F.length(F.translate(p, marks, ""))
-    change = F.transform(pieces, lambda p: count(p, "(<[") - count(p, ")>]"))
-    before = F.aggregate(change, F.array(F.lit(0)), lambda depths, x: F.array_append(depths, F.element_at(depths, -1) + x))
-    begins = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.get(before, k) == 0)
-    parts = F.transform(begins, lambda k, i: F.trim(F.array_join(F.slice(pieces, k + 1, F.coalesce(F.get(begins, i + 1), F.size(pieces)) - k), ",")))
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    change = lambda pieces: F.transform(pieces, lambda p: count(p, "(<[") - count(p, ")>]"))
+    before = lambda pieces: F.aggregate(change(pieces), F.array(F.lit(0)), lambda depths, x: F.array_append(depths, F.element_at(depths, -1) + x))
+    begins = lambda pieces: once(before(pieces), lambda b: F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.get(b, k) == 0))
+    cut = lambda pieces, at: F.transform(at, lambda k, i: F.trim(F.array_join(F.slice(pieces, k + 1, F.coalesce(F.get(at, i + 1), F.size(pieces)) - k), ",")))
+    last = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(text, ","), lambda pieces: once(begins(pieces), lambda at: once(cut(pieces, at), last)))
 
 
 #: Words of a sentence that says both sides agree, that they do not, and that it is about trials.
