@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.scalars import split_top
+from tallyframe.functions.scalars import once, split_top
 
 #: Letters after the qualified name, by what they say of a function.
 STORAGE = {"virtual": "EFMNUV", "virtual-thunk": "GHOPWX", "non-virtual": "ABIJQR", "static": "CDKLST", "free function": "YZ"}
@@ -64,12 +64,18 @@ def parameter_bytes(parameters: Column) -> Column:
     base = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^(?:class|struct|union|enum) ", ""), r"\b(?:const|volatile)\b", ""))
     pointer = lambda p: p.rlike(r"[*&]$") | p.rlike(FUNCTION_POINTER)
     size = lambda p: F.when(pointer(p), 4).when(p.rlike(MEMBER_POINTER), -1).when(p.startswith("enum "), 4).when(base(p).rlike(EIGHT), 8).when(base(p).rlike(FOUR), 4).otherwise(-2)
-    parts = split_top(F.when(F.trim(parameters).isin("void", ""), F.lit("")).otherwise(parameters))
-    dots = F.array_position(parts, "...").cast("int")
-    sizes = F.transform(F.when(dots > 0, F.slice(parts, F.lit(1), dots - 1)).otherwise(parts), size)
-    # Sizes below zero are no sizes but reasons.
-    reasons = F.filter(sizes, lambda s: s < 0)
-    blind = F.when(dots > 0, "varargs").when(F.size(reasons) == 0, "").when(F.element_at(reasons, -1) == -1, "member-pointer").otherwise("object")
-    known = F.aggregate(F.filter(sizes, lambda s: s > 0), F.lit(0), lambda a, s: a + s)
+    whole = split_top(F.when(F.trim(parameters).isin("void", ""), F.lit("")).otherwise(parameters))
+
+    def summed(parts: Column, dots: Column) -> Column:
+        return once(F.transform(F.when(dots > 0, F.slice(parts, F.lit(1), dots - 1)).otherwise(parts), size), lambda sizes: told(sizes, dots))
+
+    def told(sizes: Column, dots: Column) -> Column:
+        # Sizes below zero are no sizes but reasons.
+        reasons = F.filter(sizes, lambda s: s < 0)
+        blind = F.when(dots > 0, "varargs").when(F.size(reasons) == 0, "").when(F.element_at(reasons, -1) == -1, "member-pointer").otherwise("object")
+        known = F.aggregate(F.filter(sizes, lambda s: s > 0), F.lit(0), lambda a, s: a + s)
+        return F.struct(known.alias("known"), F.size(reasons).alias("objects"), blind.alias("blind"))
+
     none = F.struct(F.lit(0).alias("known"), F.lit(0).alias("objects"), F.lit("no-parameters").alias("blind"))
-    return F.when(parameters.isNull(), none).otherwise(F.struct(known.alias("known"), F.size(reasons).alias("objects"), blind.alias("blind")))
+    given = once(whole, lambda parts: once(F.array_position(parts, "...").cast("int"), lambda dots: summed(parts, dots)))
+    return F.when(parameters.isNull(), none).otherwise(given)

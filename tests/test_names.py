@@ -31,3 +31,14 @@ def test_parameter_bytes(spark):
         "int, ...": (4, 0, "varargs"), "class C, ..., int": (0, 1, "varargs"), "void (__cdecl *)(int, int), int": (8, 0, ""), "int (__thiscall C::*)(void)": (0, 1, "member-pointer"), "int (__thiscall C::*)(void), class D": (0, 2, "object"), "class map<int, class X>, __int64": (8, 1, "object"), None: (0, 0, "no-parameters"),
     }
     assert [tuple(x) for x in values(spark, [(n,) for n in told], "n string", names.parameter_bytes(F.col("n")))] == list(told.values())
+
+
+def test_a_list_is_cut_once(spark):
+    """However often its parts are looked at."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions import names, scalars
+
+    for f in (names.parameter_bytes, scalars.split_top):
+        plan = spark.range(1).select(f(F.concat(F.lit("a, "), F.col("id").cast("string"))).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(") == 1 and plan.count("aggregate(") <= 2
