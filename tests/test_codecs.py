@@ -95,3 +95,12 @@ def test_decoded_column(spark):
     df = spark.createDataFrame([(1, bytearray(c.word_rle_encode([4, 4]))), (2, bytearray(b"\1")), (3, None)], "id int, data binary")
     rows = {r.id: (r.value, r.error) for r in c.decoded(df, "data", c.word_rle_decode).collect()}
     assert rows == {1: ("[4, 4]", None), 2: (None, "truncated"), 3: (None, None)}
+
+
+def test_huffman_takes_time_as_the_text():
+    import time
+
+    raw = bytes(range(97, 123)) * 40_000
+    codec, began = c.Huffman([raw.count(bytes([i])) for i in range(256)]), time.process_time()
+    assert codec.decode(*codec.encode(raw)) == raw
+    assert time.process_time() - began < 10
