@@ -9,6 +9,8 @@ pointers that double, so a long straight unit takes no more rounds than a short
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,14 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return led.unionByName(own.select("unit", "block", F.col("block").alias("head"), F.lit(0).cast("long").alias("hops")))
 
 
-def avoided(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Rounds after which what they found is written as one table, so that plans and tasks of a round stay few.
+TOGETHER = 8
+
+
+def avoided(nodes: DataFrame, links: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """chains(), and (unit, head, without): heads of chains that a path from the entry reaches without passing a block.
 
-    without is 0 for heads that are reached at all. A least fixed point: what a round finds anew is joined to the edges
+    without is 0 for heads that are reached at all, else a block of asked (unit, by). A least fixed point: what a round finds anew is joined to the edges
     that lead to where paths meet. Pairs are as many as heads times blocks of a unit at most.
     """
     chain = cut(chains(nodes, links))
@@ -62,20 +68,24 @@ def avoided(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     meets = chain.where("hops = 0").select("unit", F.col("block").alias("dst"))
     steps = cut(links.select("unit", "src", "dst").distinct().join(src, ["unit", "src"]).join(meets, ["unit", "dst"]).select("unit", "head", "hops", "dst"))
     places = chain.select("unit", F.col("block").alias("without"), F.col("head").alias("w_head"), F.col("hops").alias("w_hops"))
+    places = places.join(asked.select("unit", F.col("by").alias("without")).distinct(), ["unit", "without"], "left_semi")
     none = nodes.select("unit").distinct().select("unit", F.lit(0).cast("long").alias("without"), F.lit(0).cast("long").alias("w_head"), F.lit(0).cast("long").alias("w_hops"))
     every = places.unionByName(none)
     known = frontier = cut(every.where("without <> 1").withColumn("head", F.lit(1).cast("long")))
-    while not frontier.isEmpty():
+    for turn in count(1):
+        if frontier.isEmpty():
+            break
         passed = frontier.join(steps, ["unit", "head"]).where("dst <> without and not (w_head = head and w_hops <= hops)")
         new = passed.select("unit", F.col("dst").alias("head"), "without", "w_head", "w_hops").distinct()
         frontier = cut(new.join(known.select("unit", "head", "without"), ["unit", "head", "without"], "left_anti"))
         known = known.unionByName(frontier)
+        known = known if turn % TOGETHER else cut(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
     return chain, known.select("unit", "head", "without")
 
 
 def dominated(nodes: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (unit, block, by) with dominates: every path from the entry to the block passes `by`; null for a block without a path."""
-    chain, free = avoided(nodes, links)
+    chain, free = avoided(nodes, links, asked)
     by = chain.select("unit", F.col("block").alias("by"), F.col("head").alias("_by_head"), F.col("hops").alias("_by_hops"))
     j = asked.join(chain, ["unit", "block"], "left").join(by, ["unit", "by"], "left")
     reached = free.where("without = 0").select("unit", "head", F.lit(True).alias("_reached"))
@@ -119,10 +129,13 @@ def reaching(blocked: DataFrame, links: DataFrame, name: str = "defines", uses:
     ahead = lambda found: found.join(way, ["unit", "block"]).select("unit", F.col("_to").alias("block"), "reg", "def_at").distinct()
     known = frontier = cut(ahead(leaves.join(wanted, ["unit", "reg"])))
     stops = leaves.select("unit", "block", "reg")
-    while not frontier.isEmpty():
+    for turn in count(1):
+        if frontier.isEmpty():
+            break
         passed = frontier.join(stops, ["unit", "block", "reg"], "left_anti")
         frontier = cut(ahead(passed).join(known, ["unit", "block", "reg", "def_at"], "left_anti"))
         known = known.unionByName(frontier)
+        known = known if turn % TOGETHER else cut(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
     inside = asked.where("def_at is not null").select("unit", "at", "reg", "def_at")
     outside = asked.where("def_at is null").drop("def_at").join(known, ["unit", "block", "reg"], "left").select("unit", "at", "reg", "def_at")
     return inside.unionByName(outside)

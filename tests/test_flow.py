@@ -89,3 +89,10 @@ def test_no_code(spark):
     blocked = flow.blocks(spark.createDataFrame([], CODE))
     links, nodes = flow.edges(blocked), blocked.select("unit", "block").distinct()
     assert blocked.collect() == links.collect() == flow.loop_heads(nodes, links).collect() == flow.reaching(blocked, links).collect() == []
+
+
+def test_only_asked_blocks_are_walked_around(spark):
+    links = spark.createDataFrame([(1, a, a + 1) for a in range(1, 30)] + [(1, a, a - 4) for a in range(6, 30, 5)], "unit int, src long, dst long")
+    nodes = links.select("unit", "src").union(links.select("unit", "dst")).distinct().toDF("unit", "block")
+    _, free = flow.avoided(nodes, links, spark.createDataFrame([(1, 9, 7)], "unit int, block long, by long"))
+    assert {r.without for r in free.collect()} == {0, 7}
