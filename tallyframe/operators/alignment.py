@@ -24,6 +24,8 @@ from tallyframe.operators.graph import cut
 
 #: Tokens of both sides of a pair that is aligned whole.
 SHORT = 20_000
+#: Below so many, plain lists are faster than arrays.
+FEW = 64
 
 
 def rising(values: Sequence[int]) -> list[int]:
@@ -40,15 +42,23 @@ def rising(values: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def lengths(a: Sequence[int], b: Sequence[int]) -> Sequence[int]:
     """Lengths of longest common subsequences of a and each beginning of b."""
-    row = np.zeros(len(b) + 1, np.int64)
+    if len(b) < FEW:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(max(row[k + 1], row[k] + (x == y), new[k]))
+            row = new
+        return row
+    b, row = np.asarray(b), np.zeros(len(b) + 1, np.int64)
     for x in a:
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
     return row
 
 
-def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def common(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Matched places of a longest common subsequence, found by halving a; of equals b is parted as early as possible."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -62,30 +72,35 @@ def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if i == i_end or j == j_end:
             continue
         if i_end - i == 1:
-            at = np.flatnonzero(b[j:j_end] == a[i])
-            if len(at):
-                out.append((i, j + int(at[0])))
+            at = next((k for k in range(j, j_end) if b[k] == a[i]), None)
+            if at is not None:
+                out.append((i, at))
             continue
         half = (i + i_end) // 2
         left, right = lengths(a[i:half], b[j:j_end]), lengths(a[half:i_end][::-1], b[j:j_end][::-1])[::-1]
-        cut_ = j + int((left + right).argmax())
+        both = np.add(left, right) if j_end - j >= FEW else [x + y for x, y in zip(left, right)]
+        cut_ = j + (int(both.argmax()) if j_end - j >= FEW else both.index(max(both)))
         todo += [(i, half, j, cut_), (half, i_end, cut_, j_end)]
     return sorted(out)
 
 
-def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def match(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Matched places of two sequences of numbers, by anchors, then by gaps."""
+    a, b = (x.tolist() if isinstance(x, np.ndarray) else x for x in (a, b))
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, i_end, j, j_end = todo.pop()
         if i == i_end or j == j_end:
             continue
-        one, two = (dict(zip(*[v.tolist() for v in np.unique(x, return_index=True)])) for x in (a[i:i_end], b[j:j_end]))
-        n_one, n_two = Counter(a[i:i_end].tolist()), Counter(b[j:j_end].tolist())
-        both = sorted((one[t], two[t]) for t in one if n_one[t] == 1 and n_two.get(t) == 1)
+        ours, theirs = a[i:i_end], b[j:j_end]
+        n_one, n_two = Counter(ours), Counter(theirs)
+        if n_one.keys().isdisjoint(n_two):
+            continue
+        two = {t: k for k, t in enumerate(theirs)}
+        both = [(k, two[t]) for k, t in enumerate(ours) if n_one[t] == 1 and n_two.get(t) == 1]
         chain = [both[k] for k in rising([x[1] for x in both])]
         if not chain:
-            out += [(i + x, j + y) for x, y in common(a[i:i_end], b[j:j_end])]
+            out += [(i + x, j + y) for x, y in common(ours, theirs)]
             continue
         ends = [(-1, -1), *chain, (i_end - i, j_end - j)]
         out += [(i + x, j + y) for x, y in chain]
@@ -113,6 +128,30 @@ def _within(keys: Sequence[str], aligner):
     return run
 
 
+def _whole(keys: Sequence[str]):
+    """Batches of pairs (keys, _l and _r: lists of places and tokens in order) to their matched places (keys, i, j)."""
+
+    def run(batches):
+        for batch in batches:
+            sides = []
+            for c in ("_l", "_r"):
+                column = batch.column(c)
+                rows = column.flatten()
+                sides.append((np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).tolist(), rows.field("pos").to_pylist(), rows.field("token").to_pylist()))
+            (l_at, l_pos, l_token), (r_at, r_pos, r_token) = sides
+            which, i, j = [], [], []
+            for k in range(batch.num_rows):
+                p, q = l_at[k], r_at[k]
+                for x, y in match(l_token[p : l_at[k + 1]], r_token[q : r_at[k + 1]]):
+                    which.append(k)
+                    i.append(l_pos[p + x])
+                    j.append(r_pos[q + y])
+            rows = batch.select(list(keys)).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=[*keys, "i", "j"])
+
+    return run
+
+
 def _chained(keys: Sequence[str]):
     """A segment of anchors (keys, i, j) to those of its longest chain."""
 
@@ -146,9 +185,13 @@ def matches(tokens: DataFrame, keys: Sequence[str], short: int = SHORT) -> DataF
     keys = list(keys)
     rows = cut(tokens.select(*keys, "ours", F.col("pos").cast("long").alias("pos"), F.xxhash64("token").alias("token")))
     long_ = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > short).select(*keys))
-    small = rows.join(long_, keys, "left_anti")
-    out = small.groupBy(*keys).applyInArrow(_within(keys, match), f"{_fields(rows, keys)}, i long, j long")
-    if long_.isEmpty():
+    none = long_.isEmpty()
+    small = rows if none else rows.join(long_, keys, "left_anti")
+    # Short pairs go to Python many at a time, and only those that have a token on both sides: the others match nothing.
+    side = lambda ours: F.array_sort(F.collect_list(F.when(F.col("ours") == ours, F.struct("pos", "token"))))
+    short_ = small.groupBy(*keys).agg(side(True).alias("_l"), side(False).alias("_r")).where(F.arrays_overlap("_l.token", "_r.token"))
+    out = short_.mapInArrow(_whole(keys), f"{_fields(rows, keys)}, i long, j long")
+    if none:
         return out
     stretch = [*keys, "gap"]
     open_ = cut(rows.join(long_, keys).withColumn("gap", F.lit(0).cast("long")))
@@ -213,11 +256,6 @@ def stripped(code: Column) -> Column:
     return F.concat(F.replace(F.regexp_replace(head, REGISTERS, "r"), F.lit("+0x0]"), F.lit("]")), ref)
 
 
-def over(rows: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
-    """(keys, by, d): by how many more of a value the side that is ours has than the other; equal values have no row."""
-    return rows.groupBy(*keys, by).agg(F.sum(F.when(F.col("ours"), F.col("n")).otherwise(-F.col("n"))).alias("d")).where("d <> 0")
-
-
 def residual_classes(tokens: DataFrame, matched: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, class, deficit) of every pair, by what its unmatched instructions differ in; the first that fits of
 
@@ -227,44 +265,58 @@ def residual_classes(tokens: DataFrame, matched: DataFrame, sizes: DataFrame, ke
     pointer is made with), displacement, referent (a name that the other side has nowhere), selection (other operations)
     and operand. deficit: instructions the other side has more, registers aside.
 
-    Differences of bags are sums of counts by pair and value, so no pair is gathered.
+    Differences of bags are sums of counts by pair and value, so no pair is gathered. Matched places hold equal codes, so
+    what is left of the bags differs as the whole bags do: of the matches only their number counts, which tells whether
+    anything is left.
     """
     keys = list(keys)
-    all_ = tokens.select(*keys, "ours", "pos", F.col("token").alias("code"))
-    side = lambda ours, c: matched.select(*keys, F.lit(ours).alias("ours"), F.col(c).alias("pos"))
-    rest = all_.join(side(True, "i").unionByName(side(False, "j")), [*keys, "ours", "pos"], "left_anti")
-    exact = cut(over(rest.withColumn("n", F.lit(1)), keys, "code"))
-    signed = lambda df: df.withColumn("ours", F.col("d") > 0).withColumn("n", F.abs("d")).drop("d")
-    net = signed(over(signed(exact).withColumn("key", stripped(F.col("code"))), keys, "key")).withColumn("bare", F.substring_index("key", "|", 1))
-    net = cut(net)
-    count = lambda cond, ours, name: F.coalesce(F.sum(F.when(cond & (F.col("ours") == ours), F.col("n"))), F.lit(0)).alias(name)
-    copy, store = F.col("bare").rlike(COPY), F.col("bare").rlike(STORE)
-    facts = net.groupBy(*keys).agg(*[count(c, s, f"{m}{name}") for name, c in (("all", F.lit(True)), ("copy", copy), ("store", store)) for m, s in (("b_", True), ("t_", False))])
-    have = all_.where("ours").groupBy(*keys, "code").agg(F.count("*").alias("_times")).where("_times > 1")
-    again = signed(exact).where("ours").where(F.substring_index(stripped(F.col("code")), "|", 1).rlike(STORE)).join(have, [*keys, "code"], "left_semi").select(*keys, F.lit(True).alias("again")).distinct()
-    part = lambda pattern, group: net.select(*keys, "ours", "n", F.explode(F.regexp_extract_all("bare", F.lit(pattern), F.lit(group))).alias("_x"))
-    differs = lambda df, name: over(df, keys, "_x").select(*keys, F.lit(True).alias(name)).distinct()
+    count = lambda cond, c="d": F.sum(F.when(cond, F.abs(c)).otherwise(0))
+    code = tokens.select(*keys, "ours", F.col("token").alias("code")).groupBy(*keys, "code").agg(F.count_if("ours").alias("_b"), F.count_if(~F.col("ours")).alias("_t"))
+    code = code.withColumn("key", stripped(F.col("code"))).withColumn("_again", (F.col("_b") > F.col("_t")) & (F.col("_b") > 1))
+    net = code.groupBy(*keys, "key").agg(F.sum(F.col("_b") - F.col("_t")).alias("d"), F.sum("_b").alias("_b"), F.sum("_t").alias("_t"), F.max("_again").alias("_again"), F.max(F.col("_b") != F.col("_t")).alias("inexact"))
+    net = cut(net.withColumn("bare", F.substring_index("key", "|", 1)))
+    copy, store, ours, theirs = F.col("bare").rlike(COPY), F.col("bare").rlike(STORE), F.col("d") > 0, F.col("d") < 0
+    # The parts of what differs, and all names, each summed up by pair and value.
     number = F.coalesce(F.conv(F.regexp_extract("_x", "0x([0-9a-f]+)", 1), 16, 10).try_cast("long"), F.lit(0)) * F.when(F.col("_x").startswith("-"), -1).otherwise(1)
-    places = cut(part(DISPLACEMENT, 1).groupBy(*keys, "ours", number.alias("_x")).agg(F.sum("n").alias("n")))
+    each = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("_x")))
+    all_of = lambda pattern: F.coalesce(F.regexp_extract_all("bare", F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+    displaced = all_of(DISPLACEMENT)
+    parts = F.concat(each("immediate", all_of(IMMEDIATE)), each("operation", F.array(F.substring_index("bare", " ", 1))), each("displaced", displaced))
+    names = each("referent", F.filter(F.array(F.regexp_extract("key", r"\|(.*)$", 1)), lambda x: x != ""))
+    valued = net.select(*keys, "d", "_b", "_t", F.inline(F.when(F.col("d") != 0, F.concat(parts, names)).otherwise(names)))
+    valued = valued.withColumn("_x", F.when(F.col("kind") == "displaced", number.cast("string")).otherwise(F.col("_x")))
+    valued = valued.groupBy(*keys, "kind", "_x").agg(F.sum("d").alias("d"), F.sum("_b").alias("_b"), F.sum("_t").alias("_t"))
+    valued = valued.where((F.col("d") != 0) & ((F.col("kind") != "referent") | F.when(ours, F.col("_t") == 0).otherwise(F.col("_b") == 0)))
+    odd = valued.groupBy(*keys).agg(*[F.max(F.col("kind") == k).alias(k) for k in ("immediate", "operation", "displaced", "referent")])
+    shown = F.size(displaced)
+    facts = net.groupBy(*keys).agg(
+        F.sum(F.col("_b") + F.col("_t")).alias("tokens"), F.max("inexact").alias("inexact"), F.max(F.col("_again") & store).alias("again"),
+        *[count(c & s).alias(f"{m}{name}") for name, c in (("all", F.lit(True)), ("copy", copy), ("store", store)) for m, s in (("b_", ours), ("t_", theirs))],
+        F.sum(F.when(ours, F.col("d") * shown).otherwise(0)).alias("b_shown"), F.sum(F.when(theirs, -F.col("d") * shown).otherwise(0)).alias("t_shown"),
+    )
+    facts = cut(facts)
+    # Displacements move together only where one side has two and the other has any.
+    may = facts.where("least(b_shown, t_shown) >= 1 and greatest(b_shown, t_shown) >= 2").select(*keys)
+    constant = F.coalesce(*[F.nullif(F.regexp_extract("bare", MATERIAL, g), F.lit("")) for g in (1, 2)])
+    moving = cut(net.where((F.col("d") != 0) & (shown > 0) | constant.isNotNull()).join(may, keys, "left_semi"))
+    places = moving.where("d <> 0").select(*keys, ours.alias("ours"), F.abs("d").alias("n"), F.explode(displaced).alias("_x"))
+    places = places.groupBy(*keys, "ours", number.alias("_x")).agg(F.sum("n").alias("n"))
     # Constants that a pointer is made with, on either side, tried in both directions.
-    made = all_.select(*keys, F.coalesce(*[F.nullif(F.regexp_extract(F.substring_index(stripped(F.col("code")), "|", 1), MATERIAL, g), F.lit("")) for g in (1, 2)]).alias("_x")).where("_x is not null")
+    made = moving.select(*keys, constant.alias("_x")).where("_x is not null")
     made = made.select(*keys, number.alias("_k")).where("_k <> 0").distinct().select(*keys, "_k", F.explode(F.array(F.lit(True), F.lit(False))).alias("_split"))
     moved = places.join(made, keys).withColumn("n", F.when((F.col("_split") == F.col("ours")) & (F.col("_x") == F.col("_k")), F.col("n") - 1).otherwise(F.col("n"))).where("n > 0")
     moved = moved.withColumn("_x", F.when(F.col("_split") == F.col("ours"), F.col("_x") + F.col("_k")).otherwise(F.col("_x")))
-    total = moved.groupBy(*keys, "_k", "_split").agg(F.sum(F.when(F.col("_split") != F.col("ours"), F.col("n")).otherwise(0)).alias("_folded"), F.count_distinct("ours").alias("_sides"))
-    off = over(moved, [*keys, "_k", "_split"], "_x").select(*keys, "_k", "_split").distinct()
-    shifted = total.join(off, [*keys, "_k", "_split"], "left_anti").where("_folded >= 2 and _sides = 2").select(*keys, F.lit(True).alias("shifted")).distinct()
-    ref = F.regexp_extract("code", r"\|(.*)$", 1)
-    named = over(signed(exact).withColumn("_x", ref).where("_x <> ''"), keys, "_x")
-    anywhere = all_.withColumn("_x", ref).where("_x <> ''").select(*keys, "_x", (~F.col("ours")).alias("_ours")).distinct()
-    claims = named.withColumn("_ours", F.col("d") > 0).join(anywhere, [*keys, "_x", "_ours"], "left_anti").select(*keys, F.lit(True).alias("referent")).distinct()
-    operation = differs(net.withColumn("_x", F.substring_index("bare", " ", 1)), "operation")
-    j = sizes.select(*keys).join(facts, keys, "left")
-    for more in (again, differs(part(IMMEDIATE, 1), "immediate"), over(places, keys, "_x").select(*keys, F.lit(True).alias("displaced")).distinct(), shifted, claims, operation, rest.select(*keys, F.lit(True).alias("some")).distinct(), exact.select(*keys, F.lit(True).alias("inexact")).distinct()):
-        j = j.join(more, keys, "left")
-    deficit = F.coalesce(F.col("t_all") - F.col("b_all"), F.lit(0))
+    tried = moved.groupBy(*keys, "_k", "_split", "_x").agg(
+        F.sum(F.when(F.col("ours"), F.col("n")).otherwise(-F.col("n"))).alias("d"), F.sum(F.when(F.col("_split") != F.col("ours"), F.col("n")).otherwise(0)).alias("_folded"), F.max("ours").alias("_b"), F.max(~F.col("ours")).alias("_t")
+    )
+    tried = tried.groupBy(*keys, "_k", "_split").agg(F.max(F.col("d") != 0).alias("off"), F.sum("_folded").alias("_folded"), F.max("_b").alias("_b"), F.max("_t").alias("_t"))
+    shifted = tried.where("not off and _folded >= 2 and _b and _t").select(*keys, F.lit(True).alias("shifted")).distinct()
+    found = matched.groupBy(*keys).agg(F.count("*").alias("found"))
+    j = sizes.select(*keys).join(facts, keys, "left").join(odd, keys, "left").join(shifted, keys, "left").join(found, keys, "left")
     c = F.col
-    kind = F.when(c("some").isNull(), "none").when(c("inexact").isNull(), "schedule").when(c("b_all").isNull(), "regname")
+    deficit = F.coalesce(c("t_all") - c("b_all"), F.lit(0))
+    left = F.coalesce(c("tokens"), F.lit(0)) > 2 * F.coalesce(c("found"), F.lit(0))
+    kind = F.when(~left, "none").when(~c("inexact"), "schedule").when(c("b_all") + c("t_all") == 0, "regname")
     kind = kind.when((deficit > 0) & (c("t_copy") >= deficit) & (c("b_copy") == 0), "arm-copy").when((deficit < 0) & (c("b_copy") >= -deficit) & (c("t_copy") == 0), "extra-copy")
     kind = kind.when((deficit < 0) & (c("b_store") >= -deficit) & (c("t_store") == 0), F.when(c("again"), "dup-store").otherwise("extra-store")).when((deficit > 0) & (c("t_store") >= deficit) & (c("b_store") == 0), "missing-store")
     kind = kind.when(c("immediate"), "immediate").when(c("displaced") & c("shifted"), "subobject").when(c("displaced"), "displacement").when(c("referent"), "referent").when(c("operation"), "selection").otherwise("operand")

@@ -117,3 +117,25 @@ def test_turns_and_orders(spark):
     assert all(abs(r.n - r.m) <= r.residual <= r.n + r.m for r in rows)
     kinds = {r["class"] for r in catalog.QUERIES["instruction_residuals"](spark, sf).collect()}
     assert len(kinds) > 5 and kinds <= set(CASES)
+
+
+def test_short_pairs_go_to_python_in_batches(spark, capsys):
+    """Not a call and a table for each pair; what shares no token needs none."""
+    df = spark.createDataFrame([(k, [f"a{k}", "x", "y"], ["x", f"b{k}", "y"]) for k in range(50)] + [(60, ["p"], ["q"]), (61, ["p"], [])], "k long, a array<string>, b array<string>")
+    found = al.matches(al.spread(df, ["k"], "a", "b"), ["k"])
+    assert sorted(map(tuple, found.collect())) == sorted(x for k in range(50) for x in ((k, 1, 0), (k, 2, 2)))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def test_few_are_counted_as_many(monkeypatch):
+    rnd = random.Random(7)
+    for _ in range(200):
+        a, b = random_pair(rnd, rnd.randrange(50), rnd.choice([1, 2, 4, 30]))
+        got = {}
+        for few in (0, 10**6):
+            monkeypatch.setattr(al, "FEW", few)
+            got[few] = al.match(a, b), al.common(a, b)
+        assert got[0] == got[10**6]
