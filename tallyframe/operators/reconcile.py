@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyframe.operators.graph import cut, terminals
 from tallyframe.operators.intervals import asof
 
+#: Rows that a task of a join with ancestors makes, and rows of one key that a task has.
+PART, HOT = 1_000_000, 50_000
+
 
 def _pair(*columns: Column) -> list[Column]:
     """Two hashes of the same values."""
@@ -96,27 +99,55 @@ def audit(ours: DataFrame, actual: DataFrame, names: DataFrame, defined: DataFra
     return odd.unionByName(fake)
 
 
-def bound_slots(bases: DataFrame, bindings: DataFrame) -> DataFrame:
+def dealt(many: DataFrame, few: DataFrame, on: Sequence[str], rows: float, hot: int = HOT) -> DataFrame:
+    """many joined with few by a key, about rows rows, in tasks of a counted size.
+
+    A key that more than `hot` rows of many have is dealt out by their hashes, with copies of few's rows for each part.
+    """
+    on = list(on)
+    crowded = cut(many.groupBy(*on).agg(F.ceil(F.count("*") / hot).alias("_k")).where("_k > 1"))
+    n = 1 + int(rows // PART)
+    if crowded.isEmpty():
+        return many.repartition(n, *on).join(few.repartition(n, *on), on)
+    # At most a row for each `hot` rows of many.
+    one, parts = F.coalesce("_k", F.lit(1)), F.broadcast(crowded)
+    part = F.pmod(F.xxhash64(*[c for c in many.columns if c not in on]), one).cast("int")
+    left = many.join(parts, on, "left").withColumn("_s", part).drop("_k")
+    right = few.join(parts, on, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), (one - 1).cast("int")))).drop("_k")
+    by = [*on, "_s"]
+    return left.repartition(n, *by).join(right.repartition(n, *by), by).drop("_s")
+
+
+def bound_slots(bases: DataFrame, bindings: DataFrame, hot: int = HOT) -> DataFrame:
     """(class, slot, owner, symbol, depth): what each slot of a class is bound to, by itself or its nearest ancestor.
 
     bases: (class, base), several bases allowed; bindings: (class, slot, symbol). Of ancestors as near the smallest owner,
-    then symbol, wins. Links to ancestors double in length each round, and what is bound within a length is taken over
-    from the ancestor at that length, the nearest binding of a slot first: rounds are as the logarithm of the depth, which
-    is not capped. Circles end as no nearer binding is found.
+    then symbol, wins. Links to ancestors double in length each round, and slots that are not bound within a length are
+    taken over from the ancestors at that length, the nearest binding of a slot first: rounds are as the logarithm of the
+    depth, which is not capped. A class with every slot there is needs no longer links, nor does one below it that they
+    would pass through. Ancestors that many classes have are dealt out; symbols are looked up at the end.
     """
-    best = F.min(F.struct("depth", "owner", "symbol")).alias("_b")
-    nearest = lambda rows: rows.groupBy("class", "slot").agg(best).select("class", "slot", "_b.*")
-    bound = cut(nearest(bindings.select("class", "slot", F.lit(0).cast("long").alias("depth"), F.col("class").alias("owner"), "symbol")))
+    best = F.min(F.struct("depth", "owner")).alias("_b")
+    own = cut(bindings.groupBy("class", "slot").agg(F.min("symbol").alias("symbol")))
+    bound = own.select("class", "slot", F.lit(0).cast("long").alias("depth"), F.col("class").alias("owner"))
+    slots = own.select("slot").distinct().count()
     up = cut(bases.select("class", F.col("base").alias("ancestor")).where("class is not null and base is not null and class <> base").distinct())
     most = up.select("class").distinct().count()
     length = 1
-    while length <= most and not up.isEmpty():
-        above = bound.select(F.col("class").alias("ancestor"), "slot", F.col("depth") + F.lit(length), "owner", "symbol").toDF("ancestor", "slot", "depth", "owner", "symbol")
-        bound = cut(nearest(bound.unionByName(up.join(above, "ancestor").select("class", "slot", "depth", "owner", "symbol"))))
+    while length <= most and (links := up.count()):
+        held = bound.groupBy("class").agg(F.count("*").alias("n"))
+        each = held.agg(F.avg("n")).first()[0] or 1
+        above = bound.select(F.col("class").alias("ancestor"), "slot", (F.col("depth") + F.lit(length)).alias("depth"), "owner")
+        found = dealt(up, above, ["ancestor"], links * each, hot).groupBy("class", "slot").agg(best).select("class", "slot", "_b.*")
+        # What is bound is bound within the length, and nearer than anything from here.
+        bound = bound.unionByName(cut(found.join(bound, ["class", "slot"], "left_anti")))
+        full = bound.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") == slots).select("class")
+        live = cut(up.join(full, "class", "left_anti"))
         on = up.select(F.col("class").alias("ancestor"), F.col("ancestor").alias("_next"))
-        up = cut(up.join(on, "ancestor").select("class", F.col("_next").alias("ancestor")).distinct())
+        up = cut(dealt(live, on, ["ancestor"], live.count() * links / most, hot).select("class", F.col("_next").alias("ancestor")).distinct())
         length *= 2
-    return bound.select("class", "slot", "owner", "symbol", "depth")
+    symbols = own.select(F.col("class").alias("owner"), "slot", "symbol")
+    return dealt(bound, symbols, ["owner", "slot"], bound.count(), hot).select("class", "slot", "owner", "symbol", "depth")
 
 
 def slot_findings(bound: DataFrame, tables: DataFrame) -> DataFrame:

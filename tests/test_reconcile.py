@@ -73,6 +73,21 @@ def test_bound_slots_against_plain_code(spark):
         assert {(r["class"], r.slot): (r.owner, r.symbol, r.depth) for r in got.collect()} == want
 
 
+def test_a_root_of_many_classes_is_dealt_out(spark):
+    """An ancestor that all classes share is not the work of one task, with the same slots as without dealing out."""
+    bases = [(i, i // 40) for i in range(1, 1500)] + [(i, 0) for i in range(3, 1500, 3)]
+    own = [(i, i % 5, f"s{i % 7}") for i in range(0, 60, 2)] + [(1499, 9, "late")]
+    b, o = spark.createDataFrame(bases, "class long, base long"), spark.createDataFrame(own, "class long, slot int, symbol string")
+    want, got = (sorted(map(tuple, reconcile.bound_slots(b, o, hot).collect())) for hot in (10**9, 20))
+    assert got == want and len(want) > 2000
+    many = spark.createDataFrame([(1, k) for k in range(1000)] + [(2, 7)], "a long, x long")
+    few = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "a long, y string")
+    joined = reconcile.dealt(many, few, ["a"], 3 * reconcile.PART, 50)
+    assert sorted(map(tuple, joined.select("x", "y").collect())) == sorted((k, y) for k in range(1000) for y in "pq")
+    sizes = joined.rdd.glom().map(len).collect()
+    assert max(sizes) < 2000
+
+
 def test_slot_findings(spark):
     bound = spark.createDataFrame([("A", 0, "x"), ("A", 1, "y"), ("B", 0, "z")], "class string, slot int, symbol string")
     tables = spark.createDataFrame([("A", 0, "x"), ("A", 2, "q"), ("A", 0, None)], "class string, slot int, symbol string")
