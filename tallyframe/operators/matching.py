@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.graph import cut
@@ -81,9 +81,12 @@ def runs_of(hashes: Column, width: int) -> Column:
     if width == 1:
         return hashes
     half = width // 2
-    one, two = runs_of(hashes, half), runs_of(hashes, width - half)
     n = F.greatest(F.size(hashes) - (width - 1), F.lit(0))
-    return F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
+    both = lambda one, two: F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
+    if 2 * half < width or half == 1:
+        return both(runs_of(hashes, half), runs_of(hashes, width - half))
+    # Equal halves are hashed once, as the one entry of an array.
+    return F.get(F.transform(F.array(runs_of(hashes, half)), lambda h: both(h, h)), 0)
 
 
 def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, stride: int = 1) -> DataFrame:
@@ -97,16 +100,18 @@ def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, st
     spans = (wide - narrow) // stride + 1
     t = rows.select(key, tokens.alias("_t")).where(F.size("_t") >= narrow)
     t = t.withColumn("_t", F.transform("_t", lambda w: F.xxhash64(w)))
-    t = t.withColumn("_h", F.filter(runs_of(F.col("_t"), narrow), lambda _, i: i % stride == 0))
+    runs_ = runs_of(F.col("_t"), narrow)
+    t = t.withColumn("_h", F.filter(runs_, lambda _, i: i % stride == 0) if stride > 1 else runs_)
     alike = lambda k: (F.get("_h", k) == F.get("_h", k + (spans - 1))) & (F.size(F.array_distinct(F.slice("_h", k + 1, spans))) == 1)
     last = F.floor((F.size("_t") - wide) / stride).cast("int")
     again = F.when(F.size("_t") >= wide, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), alike)).otherwise(F.array().cast("array<int>"))
     runs = F.transform(again, lambda k: F.xxhash64(F.lit("wide"), F.slice("_t", k * stride + 1, wide)))
     kind = lambda digests, bit: F.transform(digests, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
-    # A narrow digest is odd. They are dealt once, for the count and the join: a digest has a row a document at most.
+    # A narrow digest is odd. They are dealt and sorted once, and not joined with their counts: a digest has a row a document at most.
     s = t.select(F.col(key).alias("row"), F.explode(F.array_distinct(F.concat(kind("_h", 1), kind(runs, 0)))).alias("digest")).repartition("digest")
-    common = s.groupBy("digest").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one <> other").select("digest")
-    s = cut(s.join(common, "digest").select("row", "digest", F.col("digest").bitwiseAND(F.lit(1)).alias("narrow")).distinct())
+    w = Window.partitionBy("digest")
+    common = s.withColumn("one", F.min("row").over(w)).withColumn("other", F.max("row").over(w)).where("one <> other")
+    s = cut(common.select("row", "digest", F.col("digest").bitwiseAND(F.lit(1)).alias("narrow")).distinct())
     mark = lambda c: [F.count("*").alias("n"), F.bit_xor(F.xxhash64(c)).alias("x"), F.sum(F.xxhash64(F.lit(1), c).cast("decimal(38,0)")).alias("y")]
     sets = cut(s.groupBy("row").agg(*mark("digest"), F.sum("narrow").alias("shared")))
     classes = cut(sets.groupBy("n", "x", "y").agg(F.min("row").alias("a")))

@@ -67,6 +67,20 @@ def test_clones_link_copies(spark):
     assert rows(matching.clones(df, "id", F.split("text", " "), 24, 12), "a", "b") == [(1, 2)]
 
 
+def test_equal_halves_of_runs_are_hashed_once(spark):
+    df = spark.createDataFrame([([*range(30)],), ([*range(12)],), ([1, 2],), ([],)], "t array<bigint>")
+    plan = df.select(matching.runs_of(F.col("t"), 12).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 4
+    h = lambda *xs: F.xxhash64(*xs)
+    two = lambda k: h(F.col("t")[k], F.col("t")[k + 1])
+    three = lambda k: h(F.col("t")[k], two(k + 1))
+    six = lambda k: h(three(k), three(k + 3))
+    sizes = [len(r[0]) for r in df.select(matching.runs_of(F.col("t"), 12)).collect()]
+    assert sizes == [19, 1, 0, 0]
+    run = df.limit(1).select(matching.runs_of(F.col("t"), 12).alias("r"), h(six(0), six(6)).alias("a"), h(six(18), six(24)).alias("z")).first()
+    assert (run.r[0], run.r[-1]) == (run.a, run.z)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("0x1f",), (" 12 ",), ("no",), (None,)], "t string")
     assert [r[0] for r in df.select(sc.parse_int(F.col("t"))).collect()] == [31, 12, None, None]
