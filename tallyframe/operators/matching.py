@@ -75,6 +75,9 @@ def byte_histogram(rows: DataFrame, by: str, text: str) -> DataFrame:
     kind = rows.schema[by].dataType.simpleString()
     return rows.select(by, text).mapInArrow(run, f"`{by}` {kind}, code int, n long").groupBy(by, "code").agg(F.sum("n").alias("n"))
 
+#: Pairs, both ways, that a task of a join of rows with a common shingle makes.
+PAIRS = 4_000_000
+
 
 def runs_of(hashes: Column, width: int) -> Column:
     """The hash of every run of `width` hashes: runs are joined from two halves, so in steps as the width's logarithm."""
@@ -118,10 +121,15 @@ def clones(rows: DataFrame, key: str, tokens: Column, wide: int, narrow: int, st
     same = sets.join(classes, ["n", "x", "y"]).where("row <> a and (shared >= 2 or n > shared)").select("a", F.col("row").alias("b"), "shared", F.lit(True).alias("same"))
     reps = s.join(classes.select(F.col("a").alias("row")), "row", "left_semi")
     found = cut(reps.groupBy("digest", "narrow").agg(*mark("row")).where("n > 1"))
-    weighed = found.groupBy("n", "x", "y", "narrow").agg(F.min("digest").alias("digest"), F.count("*").alias("weight"))
-    p = cut(reps.drop("narrow").join(weighed.select("digest", "narrow", "weight"), "digest"))
-    two = p.select("digest", F.col("row").alias("b"))
-    pairs = p.select("digest", F.col("row").alias("a"), "narrow", "weight").join(two, "digest").where("a < b").groupBy("a", "b")
+    weighed = cut(found.groupBy("n", "x", "y", "narrow").agg(F.min("digest").alias("digest"), F.count("*").alias("weight")))
+    # Tasks by the pairs they make; the rows of a shingle that makes more are dealt out, each part with all to pair with.
+    parts = F.ceil(F.col("n").cast("double") * F.col("n") / PAIRS).cast("int")
+    p = cut(reps.drop("narrow").join(weighed.select("digest", "narrow", "weight", parts.alias("_k")), "digest"))
+    tasks = 1 + int((weighed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) // PAIRS)
+    two = p.select("digest", F.col("row").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_s"))
+    one = p.select("digest", F.pmod(F.xxhash64("row"), F.col("_k")).cast("int").alias("_s"), F.col("row").alias("a"), "narrow", "weight")
+    by = ["digest", "_s"]
+    pairs = one.repartition(tasks, *by).join(two.repartition(tasks, *by), by).where("a < b").groupBy("a", "b")
     pairs = pairs.agg(F.sum(F.col("narrow") * F.col("weight")).alias("shared"), F.min("narrow").alias("least")).where("shared >= 2 or least = 0")
     return same.unionByName(pairs.select("a", "b", "shared", F.lit(False).alias("same")))
 

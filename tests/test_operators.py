@@ -67,6 +67,16 @@ def test_clones_link_copies(spark):
     assert rows(matching.clones(df, "id", F.split("text", " "), 24, 12), "a", "b") == [(1, 2)]
 
 
+def test_pairs_of_a_shingle_are_dealt_out(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(14))
+    df = spark.createDataFrame([(k, f"{text} own{k} more{k % 5}") for k in range(30)] + [(90 + k, f"x{k} {text} y{k}") for k in range(9)], "id long, text string")
+    got = {}
+    for most in (10**9, 100):
+        monkeypatch.setattr(matching, "PAIRS", most)
+        got[most] = sorted(map(tuple, matching.clones(df, "id", F.split("text", " "), 24, 12).collect()))
+    assert got[100] == got[10**9] and len(got[100]) > 20
+
+
 def test_equal_halves_of_runs_are_hashed_once(spark):
     df = spark.createDataFrame([([*range(30)],), ([*range(12)],), ([1, 2],), ([],)], "t array<bigint>")
     plan = df.select(matching.runs_of(F.col("t"), 12).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
