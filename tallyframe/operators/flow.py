@@ -2,7 +2,7 @@
 
 code has one row an instruction: unit, at (its place in the unit), targets (array of places it may branch to, null or empty
 for none) and falls (whether the next instruction may follow it). Windows are partitioned by unit and sort its
-instructions; nothing gathers a unit, and fixed points are reached by joins of what a round has found, cut to the shared
+instructions; nothing gathers a unit, and fixed points are reached by joins of what a round has found, written to the shared
 folder each time. Rounds follow the graph of blocks at which paths meet: blocks with one predecessor are skipped over by
 pointers that double, so a long straight unit takes no more rounds than a short one.
 """
@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.graph import cut, terminals
+from tallyframe.operators.graph import kept, terminals
 
 
 def blocks(code: DataFrame) -> DataFrame:
@@ -63,23 +63,23 @@ def avoided(nodes: DataFrame, links: DataFrame, asked: DataFrame) -> tuple[DataF
     without is 0 for heads that are reached at all, else a block of asked (unit, by). A least fixed point: what a round finds anew is joined to the edges
     that lead to where paths meet. Pairs are as many as heads times blocks of a unit at most.
     """
-    chain = cut(chains(nodes, links))
+    chain = kept(chains(nodes, links))
     src = chain.select("unit", F.col("block").alias("src"), "head", "hops")
     meets = chain.where("hops = 0").select("unit", F.col("block").alias("dst"))
-    steps = cut(links.select("unit", "src", "dst").distinct().join(src, ["unit", "src"]).join(meets, ["unit", "dst"]).select("unit", "head", "hops", "dst"))
+    steps = kept(links.select("unit", "src", "dst").distinct().join(src, ["unit", "src"]).join(meets, ["unit", "dst"]).select("unit", "head", "hops", "dst"))
     places = chain.select("unit", F.col("block").alias("without"), F.col("head").alias("w_head"), F.col("hops").alias("w_hops"))
     places = places.join(asked.select("unit", F.col("by").alias("without")).distinct(), ["unit", "without"], "left_semi")
     none = nodes.select("unit").distinct().select("unit", F.lit(0).cast("long").alias("without"), F.lit(0).cast("long").alias("w_head"), F.lit(0).cast("long").alias("w_hops"))
     every = places.unionByName(none)
-    known = frontier = cut(every.where("without <> 1").withColumn("head", F.lit(1).cast("long")))
+    known = frontier = kept(every.where("without <> 1").withColumn("head", F.lit(1).cast("long")))
     for turn in count(1):
         if frontier.isEmpty():
             break
         passed = frontier.join(steps, ["unit", "head"]).where("dst <> without and not (w_head = head and w_hops <= hops)")
         new = passed.select("unit", F.col("dst").alias("head"), "without", "w_head", "w_hops").distinct()
-        frontier = cut(new.join(known.select("unit", "head", "without"), ["unit", "head", "without"], "left_anti"))
+        frontier = kept(new.join(known.select("unit", "head", "without"), ["unit", "head", "without"], "left_anti"))
         known = known.unionByName(frontier)
-        known = known if turn % TOGETHER else cut(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
+        known = known if turn % TOGETHER else kept(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
     return chain, known.select("unit", "head", "without")
 
 
@@ -121,21 +121,21 @@ def reaching(blocked: DataFrame, links: DataFrame, name: str = "defines", uses:
     used = blocked.select("unit", "block", "at", F.explode(F.array_distinct(uses)).alias("reg"), F.lit(0).alias("_defines")).where("reg is not null")
     defined = blocked.where(F.col(name).isNotNull()).select("unit", "block", "at", F.col(name).alias("reg"), F.lit(1).alias("_defines"))
     scanned = used.unionByName(defined).withColumn("def_at", F.max(F.when(F.col("_defines") == 1, F.col("at"))).over(w))
-    asked = cut(scanned.where("_defines = 0").drop("_defines"))
-    leaves = cut(defined.groupBy("unit", "block", "reg").agg(F.max("at").alias("def_at")))
+    asked = kept(scanned.where("_defines = 0").drop("_defines"))
+    leaves = kept(defined.groupBy("unit", "block", "reg").agg(F.max("at").alias("def_at")))
     # Only registers that some use looks for beyond its block travel.
     wanted = asked.where("def_at is null").select("unit", "reg").distinct()
     way = links.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to")).distinct()
     ahead = lambda found: found.join(way, ["unit", "block"]).select("unit", F.col("_to").alias("block"), "reg", "def_at").distinct()
-    known = frontier = cut(ahead(leaves.join(wanted, ["unit", "reg"])))
+    known = frontier = kept(ahead(leaves.join(wanted, ["unit", "reg"])))
     stops = leaves.select("unit", "block", "reg")
     for turn in count(1):
         if frontier.isEmpty():
             break
         passed = frontier.join(stops, ["unit", "block", "reg"], "left_anti")
-        frontier = cut(ahead(passed).join(known, ["unit", "block", "reg", "def_at"], "left_anti"))
+        frontier = kept(ahead(passed).join(known, ["unit", "block", "reg", "def_at"], "left_anti"))
         known = known.unionByName(frontier)
-        known = known if turn % TOGETHER else cut(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
+        known = known if turn % TOGETHER else kept(known.coalesce(known.sparkSession.sparkContext.defaultParallelism))
     inside = asked.where("def_at is not null").select("unit", "at", "reg", "def_at")
     outside = asked.where("def_at is null").drop("def_at").join(known, ["unit", "block", "reg"], "left").select("unit", "at", "reg", "def_at")
     return inside.unionByName(outside)

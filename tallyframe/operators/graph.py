@@ -1,30 +1,51 @@
 """Graph operators on edge tables (src, dst): multiplicities, forwarders, reachability, ancestors, closures.
 
 Iterations run to a fixed point, in steps that double where the result allows it, or as deep as the caller asks; each round's result is
-cut to the checkpoint folder, so plans stay short and a lost executor costs one round.
+written to the checkpoint folder, so plans stay short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the session names; a temporary one only where it names none and is a local one."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder, in the shared one the session names; a temporary one only where it names none and is a local one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """What a round of an iteration found, written as a table in the shared folder, which goes when the driver's JVM ends.
+
+    A checkpoint keeps its plan's estimate of its size, which every join multiplies: round by round it becomes a number of
+    so many digits that it fills the driver. A table has the size of its files, written plainly, as large as its rows.
+    """
+    spark = df.sparkSession
+    at = f"{folder(spark)}/tallyframe-{uuid.uuid4().hex}"
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def callers(edges: DataFrame) -> DataFrame:
     """(dst, src, n): who refers to a node, how often."""
     return edges.groupBy("dst", "src").agg(F.count("*").alias("n"))
@@ -83,11 +104,11 @@ def terminals(forwards: DataFrame) -> DataFrame:
     Steps are doubled each round, so rounds are as the logarithm of the longest chain. What still moves when a step is
     longer than there are forwarders goes in a circle and leads nowhere.
     """
-    now = cut(forwards.select("node", F.col("next").alias("target"), F.lit(1).cast("long").alias("hops")))
+    now = kept(forwards.select("node", F.col("next").alias("target"), F.lit(1).cast("long").alias("hops")))
     count, step = now.count(), 1
     while step <= count:
         on = now.select(F.col("node").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
-        moved = cut(now.join(on, "target", "left"))
+        moved = kept(now.join(on, "target", "left"))
         now = moved.select("node", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
         if moved.where("_next is not null").isEmpty():
             return now

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tallyframe.operators import flow
+from tallyframe.operators.graph import terminals
 
 CODE = "unit int, at long, targets array<long>, falls boolean, defines string, uses array<string>"
 
@@ -96,3 +99,13 @@ def test_only_asked_blocks_are_walked_around(spark):
     nodes = links.select("unit", "src").union(links.select("unit", "dst")).distinct().toDF("unit", "block")
     _, free = flow.avoided(nodes, links, spark.createDataFrame([(1, 9, 7)], "unit int, block long, by long"))
     assert {r.without for r in free.collect()} == {0, 7}
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """What rounds find has the size of its files for the planner, not a product of sizes over all rounds."""
+    digits = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    links = spark.createDataFrame([(1, a, a + 1) for a in range(1, 40)] + [(1, a, a - 2) for a in range(4, 40, 3)], "unit int, src long, dst long")
+    nodes = links.select("unit", "src").union(links.select("unit", "dst")).distinct().toDF("unit", "block")
+    chain, free = flow.avoided(nodes, links, links.select("unit", F.col("src").alias("block"), F.col("dst").alias("by")).where("by < block"))
+    assert digits(chain) < 40 and digits(free) < 40
+    assert digits(terminals(spark.range(1, 300).select(F.col("id").alias("node"), (F.col("id") + 1).alias("next")))) < 40
