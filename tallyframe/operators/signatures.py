@@ -13,8 +13,10 @@ from tallyframe.operators.graph import cut
 RUNS = (4, 2, 1)
 #: Values of a sequence that are compared in one row; its pieces overlap by the longest signature.
 PIECE = 2048
-#: Remainders of runs' hashes by which they are told apart first: the most rows that are broadcast.
-REMAINDERS = 1 << 20
+#: Buckets of runs' hashes with 64 bits each, by which runs are told apart first: the most rows that are broadcast.
+BUCKETS = 1 << 19
+#: The three bits that a run sets in its bucket.
+BITS = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(value, {k}) & 63 as int))" for k in (40, 46, 52))
 
 
 def trimmed(payload: Column, pads: Sequence) -> Column:
@@ -41,38 +43,52 @@ def probe(texts: DataFrame, signatures: DataFrame, pads: Sequence = (), piece: i
     of them. One without fixed values stands nowhere. A null payload is empty, null sites are none; a unit or sig that is
     there twice is found twice.
 
-    Runs of fixed values are counted in the texts first, and each signature is looked up by its rarest one, so a run that
-    all texts have brings no candidates unless a signature has no other. Candidates meet pieces of texts, not whole ones.
+    A signature is looked up by a run of its fixed values, by the one that texts have least if it has several, so a run
+    that all texts have brings no candidates unless a signature has no other. Texts are read where they are: only places
+    whose run may be looked for are dealt out, each with as many values around it as a signature may have.
     """
     sigs = signatures.where("payload is not null and size(payload) > 0").withColumn("_s", F.monotonically_increasing_id()).withColumn("payload", trimmed(F.col("payload"), pads))
     sigs = cut(sigs.select("_s", "sig", "payload", F.filter(F.array_distinct(none("sites")), lambda x: (x >= 0) & (x < F.size("payload"))).alias("sites")))
-    longest = sigs.agg(F.max(F.size("payload"))).first()[0] or 1
     best = F.lit(None)
     for n in reversed(RUNS):
         best = F.when(F.size(fixed_runs(n)) > 0, fixed_runs(n)).otherwise(best)
     runs = cut(sigs.select("_s", F.inline(best)))
-    # A text is known by its unit and content, so that nothing of it has to be kept; equal ones are counted.
-    known = texts.where("payload is not null").select("unit", "payload", none("sites").alias("sites"))
-    known = known.withColumn("_t", F.struct("unit", F.xxhash64("payload", "sites").alias("one"), F.xxhash64(F.lit(1), "payload", "sites").alias("two")))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("payload") / piece).cast("int") - 1, F.lit(0))), lambda k: F.struct(k.cast("long").alias("piece"), F.slice("payload", k * piece + 1, piece + longest).alias("part"), F.filter("sites", lambda s: (s >= k * piece) & (s < k * piece + piece + longest)).alias("near"), F.size("payload").alias("size")))
-    pieces = known.select("_t", F.inline(parts))
     kinds = [r["run"] for r in runs.select("run").distinct().collect()]
-    place = lambda n: F.transform(F.sequence(F.lit(0), F.least(F.lit(piece), F.size("part")) - 1), lambda i: F.struct(F.lit(n).alias("run"), (F.col("piece") * piece + i).alias("pos"), F.xxhash64(F.slice("part", i + 1, n)).alias("value")))
-    # A run over the end of a text is shorter than n, and equals none.
-    said = pieces.where("size(part) > 0").select("_t", F.inline(F.concat(F.array().cast("array<struct<run:int,pos:bigint,value:bigint>>"), *[place(n) for n in kinds])))
-    # Most runs of texts are in no signature: they go before anything is dealt out, by the remainders of those that are.
-    low = lambda c: F.col(c).bitwiseAND(F.lit(REMAINDERS - 1)).alias("_low")
-    some = lambda index: said.withColumn("_low", low("value")).join(F.broadcast(index.select(low("value")).distinct()), "_low", "left_semi").drop("_low")
-    counts = cut(some(runs).select("run", "value").join(runs.select("run", "value").distinct(), ["run", "value"], "left_semi").groupBy("run", "value").agg(F.count("*").alias("n")))
-    index = cut(runs.join(counts, ["run", "value"], "left").groupBy("_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "run", "value")).alias("r")).where("r.n > 0").select("_s", "r.offset", "r.run", "r.value"))
-    hits = some(index).join(index, ["run", "value"]).select("_t", "_s", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").withColumn("piece", F.floor(F.col("start") / piece))
-    # Equal texts have equal hits and pieces: one of each is compared, and what it finds is found as often as it is there.
-    hits = hits.groupBy("_t", "piece", "_s", "start").agg(F.count("*").alias("_times"))
+    # Only signatures with several runs have a choice; where none has, no text is read for it.
+    choice = runs.join(runs.groupBy("_s").agg(F.count("*").alias("n")).where("n > 1").select("_s"), "_s", "left_semi")
+    counts = _places(texts, choice, kinds, piece, 0, max(kinds, default=0)).groupBy("run", "value").agg(F.count("*").alias("n"))
+    counts = cut(counts.join(choice.select("run", "value").distinct(), ["run", "value"], "left_semi"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "run", "value")).alias("r")
+    index = runs.join(counts, ["run", "value"], "left").groupBy("_s").agg(rarest, F.count("*").alias("_n")).where("_n = 1 or r.n > 0")
     full = sigs.select("_s", "sig", F.col("payload").alias("_payload"), F.col("sites").alias("_sites"))
-    j = hits.join(pieces.dropDuplicates(["_t", "piece"]), ["_t", "piece"]).join(full, "_s")
-    length, base = F.size("_payload"), (F.col("start") - F.col("piece") * piece).cast("int")
-    forth = F.forall(F.sequence(F.lit(0), length - 1), lambda i: F.array_contains("_sites", i) | F.coalesce(F.get("part", base + i) == F.get("_payload", i), F.lit(False)))
-    back = F.forall("near", lambda s: (s < F.col("start")) | (s >= F.col("start") + length) | F.array_contains("_sites", (s - F.col("start")).cast("int")))
-    found = j.where((F.col("start") + length <= F.col("size")) & forth & back)
-    found = found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return found.select(F.col("_t.unit").alias("unit"), "start", "sig", length.alias("length"), (length - F.size("_sites")).alias("fixed"))
+    index = cut(index.join(full, "_s").select("sig", "_payload", "_sites", F.col("r.offset").cast("int").alias("offset"), "r.run", "r.value"))
+    length, base = F.size("_payload"), F.col("pos") - F.col("offset") - F.col("first")
+    before, after = index.agg(F.max("offset"), F.max(length - F.col("offset"))).first()
+    j = _places(texts, index, kinds, piece, before or 0, after or 0).join(index, ["run", "value"])
+    forth = F.forall(F.sequence(F.lit(0), length - 1), lambda i: F.array_contains("_sites", i) | F.coalesce(F.get("around", base + i) == F.get("_payload", i), F.lit(False)))
+    back = F.forall("near", lambda s: (s < base) | (s >= base + length) | F.array_contains("_sites", s - base))
+    found = j.where((base >= 0) & (base + length <= F.size("around"))).where(forth & back)
+    return found.select("unit", (F.col("pos") - F.col("offset")).cast("long").alias("start"), "sig", length.alias("length"), (length - F.size("_sites")).alias("fixed"))
+
+
+def _places(texts: DataFrame, wanted: DataFrame, kinds: Sequence[int], piece: int, before: int, after: int) -> DataFrame:
+    """(unit, run, value, pos, first, around, near): places in texts with a run that wanted (run, value) has, and a few others.
+
+    around has the values from `first`, up to `before` ahead of the place, to `after` from it on; near the sites among them, counted from `first`.
+    """
+    known = texts.select("unit", "payload", none("sites").alias("sites"), F.size("payload").alias("size"))
+    # Pieces and places come from sequences, in generated code: a row has its text at hand and copies none of it.
+    whole = F.sequence(F.lit(0), F.col("size") - 1, F.lit(piece))
+    pieces = known.select("*", F.explode(F.when(F.col("size") > 0, whole)).alias("at")).withColumn("from", F.greatest(F.col("at") - before, F.lit(0)))
+    pieces = pieces.select("unit", "sites", "at", "from", F.slice("payload", F.col("from") + 1, F.col("at") + piece + after - F.col("from")).alias("part"), F.least(F.lit(piece), F.col("size") - F.col("at")).alias("n"))
+    places = pieces.select("unit", "sites", "from", "part", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("pos"))
+    # A run over the end of a text is shorter than n, and equals none.
+    said = F.array(*[F.struct(F.lit(n).alias("run"), F.xxhash64(F.slice("part", F.col("pos") - F.col("from") + 1, n)).alias("value")) for n in kinds])
+    said = places.select("*", F.inline(said.cast("array<struct<run:int,value:bigint>>")))
+    # Most runs of texts are in no signature: they go before anything is dealt out.
+    bucket, bits = F.col("value").bitwiseAND(F.lit(BUCKETS - 1)).alias("_bucket"), F.expr(BITS)
+    marks = wanted.select(bucket, bits.alias("_bits")).groupBy("_bucket").agg(F.bit_or("_bits").alias("_marks"))
+    some = said.withColumns({"_bucket": bucket, "_bits": bits}).join(F.broadcast(marks), "_bucket").where("_marks & _bits = _bits")
+    some = some.withColumn("first", F.greatest(F.col("pos") - before, F.lit(0)))
+    near = F.transform(F.filter("sites", lambda s: (s >= F.col("first")) & (s < F.col("pos") + after)), lambda s: s - F.col("first"))
+    return some.select("unit", "run", "value", "pos", "first", F.slice("part", F.col("first") - F.col("from") + 1, F.col("pos") + after - F.col("first")).alias("around"), near.alias("near"))

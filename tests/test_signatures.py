@@ -1,6 +1,7 @@
 """Masked signatures against a comparison at every place."""
 
 import random
+import re
 
 from tallyframe.operators import signatures
 
@@ -67,3 +68,17 @@ def test_texts_are_not_kept_between_steps(spark, monkeypatch):
     got = signatures.probe(spark.createDataFrame(texts, f"unit int, {KIND}"), spark.createDataFrame([(7, [2, 3, 4], None)], f"sig int, {KIND}"))
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, 1, 7, 3, 3), (1, 1, 7, 3, 3), (None, 1, 7, 3, 3)]
     assert not any({"part", "near"} & set(c) for c in kept) and len(kept) == 4
+
+
+def test_texts_are_not_dealt_out(spark):
+    """Pieces of texts are cut where the texts are read: none is grouped or joined."""
+    texts = spark.range(40).selectExpr("id as unit", "transform(sequence(1, 3000), x -> cast(x * (id + 1) as int)) as payload", "cast(null as array<int>) as sites")
+    sigs = spark.createDataFrame([(k, [k + 1, 0, 3 * k + 3, 4 * k + 4, 5 * k + 5, 6 * k + 6], [1]) for k in range(40)], f"sig int, {KIND}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = signatures.probe(texts, sigs)
+        assert sorted((r.unit, r.start, r.sig) for r in got.collect()) == [(u, 0, u) for u in range(40)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join" in x for x in plan) and not any("part#" in x and re.search("Aggregate|Join|Sort", x) for x in plan)
